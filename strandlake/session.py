@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +71,31 @@ def small_or_none(df: DataFrame, max_rows: int) -> list | None:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """df with a broadcast hint if its counted size is below max_rows, else df unhinted (Catalyst shuffles)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_shipped_to: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped_to:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandlake-")) / "strandlake_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped_to.add(app)
+
+
+def shipped(query: Callable) -> Callable:
+    """The query, run after the package has been given to the executors."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
