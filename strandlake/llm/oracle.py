@@ -46,3 +46,19 @@ ORACLES = {
     "p4_found": P4_FOUND,
     "p5_found": P5_FOUND,
 }
+
+P7_FOUND = r"""SELECT spec_id, doc_id FROM documents, pack_specs
+ WHERE text IS NOT NULL AND regexp_matches(text, '[^ \t\n\v\f\r]') AND octet_length(encode(text)) + 1 > capacity"""
+
+_TOKENS = r"""regexp_extract_all(regexp_replace(lower(text),
+  '<[^<>]*>(?:[\s>]*[a-z]+="[^"<>]*"\s*/?>)?|\[[^\[\]]*\]|&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});', ' ', 'g'), '[\p{L}\p{N}]+')"""
+
+P8_FOUND = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+ i AS (SELECT item_id, {_TOKENS} AS w FROM eval_items WHERE text IS NOT NULL),
+ dw AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM d)),
+ iw AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM i))
+ SELECT DISTINCT item_id, doc_id FROM dw JOIN iw USING (g)"""
+
+P8_CLEAN = f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8_FOUND}))"
+
+ORACLES |= {"p7_found": P7_FOUND, "p8_found": P8_FOUND, "p8_clean_documents": P8_CLEAN}
