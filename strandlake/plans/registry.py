@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import coverage, oracle_coverage
+from strandlake.plans import alignments, coverage, oracle_alignments, oracle_coverage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "p3_periods": coverage.p3_periods,
     "p6_found": coverage.p6_found,
     "p6_contig_profile": coverage.p6_contig_profile,
+    **alignments.QUERIES,
 }
 
-ORACLES: dict[str, str] = {**oracle_coverage.ORACLES}
+ORACLES: dict[str, str] = {**oracle_coverage.ORACLES, **oracle_alignments.ORACLES}
