@@ -70,13 +70,16 @@ def _position(at: Column, anchor: Column, offset: Column, right: bool) -> Column
 
 
 def with_match_interval(df: DataFrame) -> DataFrame:
-    """df (pos, cigar, offset, width) with p_min and p_max of each match. Reads that are one aligned run, nearly all, take
-    no operation table."""
+    """df (pos, cigar, offset, width) with p_min and p_max of each match. Matches inside a read that is one aligned run,
+    nearly all, take no operation table."""
     anchor, first, last = F.col("pos"), F.col("offset"), F.col("offset") + F.col("width") - 1
-    whole = F.col("cigar").rlike(r"^\d+[M=X]$")
+    run = F.regexp_extract("cigar", r"^(\d+)[M=X]$", 1)
+    whole = F.when(run != "", run.cast("bigint") > last)
     rows = df.withColumn("__whole", F.coalesce(whole, F.lit(False)))
     rows = with_placed_ops(rows, F.when(~F.col("__whole"), F.col("cigar")), anchor, "__ops")
     rows = rows.withColumn("__a", _op_at(F.col("__ops"), first)).withColumn("__z", _op_at(F.col("__ops"), last))
     rows = rows.withColumn("__x", F.when(F.col("__whole"), anchor + first).otherwise(_position(F.col("__a"), anchor, first, False)))
     rows = rows.withColumn("__y", F.when(F.col("__whole"), anchor + last).otherwise(_position(F.col("__z"), anchor, last, True)))
-    return rows.withColumn("p_min", F.least("__x", "__y")).withColumn("p_max", F.greatest("__x", "__y")).drop("__whole", "__ops", "__a", "__z", "__x", "__y")
+    # As a generator's output the two can be filtered on without the optimizer copying their expressions into the filter.
+    both = F.inline(F.array(F.struct(F.least("__x", "__y").alias("p_min"), F.greatest("__x", "__y").alias("p_max"))))
+    return rows.select(*df.columns, both)

@@ -8,14 +8,44 @@ text position. No suffix is ever written out, no text has to fit a task, and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.ordering import with_rank
 from strandlake.session import materialize
 
-FIRST = 64
 SYMBOLS = "$ACGTN#"
+#: Symbols in one 63-bit key, of three bits each; three keys are made at first.
+PER_KEY = 21
+FIRST = 3 * PER_KEY
+SLICE = 1 << 18
+
+_CODE = np.full(256, 5, np.uint8)
+_CODE[[ord(c) for c in SYMBOLS]] = range(len(SYMBOLS))
+
+
+def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every suffix of every text with its first FIRST symbols as numbers, in slices of SLICE suffixes."""
+    names = ["text_id", "s_pos", "k1", "k2", "k3", "code", "bwt"]
+    for batch in batches:
+        for text_id, s in zip(batch.column(0), batch.column(1).to_pylist()):
+            codes = np.concatenate(([0], _CODE[np.frombuffer(s.encode("ascii", "replace"), np.uint8)], np.zeros(FIRST + 1, np.uint8)))
+            for a in range(0, len(s) + 1, SLICE):
+                n = min(SLICE, len(s) + 1 - a)
+                part = codes[a + 1 : a + 1 + n + FIRST].astype(np.int64)
+                keys = []
+                for k in range(3):
+                    key = np.zeros(n, np.int64)
+                    for j in range(PER_KEY):
+                        key = key << 3 | part[k * PER_KEY + j : k * PER_KEY + j + n]
+                    keys.append(key)
+                columns = [np.arange(a, a + n), *keys, codes[a + 1 : a + 1 + n].astype(np.int32), codes[a : a + n].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(text_id, n), *map(pa.array, columns)], names=names)
+
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,23 +68,14 @@ def suffix_array(texts: DataFrame) -> DataFrame:
     """text_id, row, s_pos, code, bwt: row is the place of the suffix at s_pos among its text's suffixes, code its first
     symbol, bwt the symbol before it ('$' for the whole text's suffix).
 
-    The end mark has the position length(s). Texts that are null have no rows, an empty one its end mark only; text_id
+    Letters other than A, C, G, T count as N. The end mark has the position length(s). Texts that are null have no rows, an empty one its end mark only; text_id
     must be unique; an empty table gives none; other columns are dropped.
     """
-    coded = texts.where("s is not null").select("text_id", "s", F.translate("s", "ACGTN#", "BCDEFG").alias("c"), F.length("s").alias("n"))
-    rows = coded.select(
-        "text_id",
-        F.col("c"),
-        F.col("s"),
-        F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s_pos"),
-    ).select(
-        "text_id",
-        F.col("s_pos").cast("bigint").alias("s_pos"),
-        F.col("c").substr(F.col("s_pos") + 1, F.lit(FIRST)).alias("key"),
-        F.when(F.col("s_pos") == F.length("s"), "$").otherwise(F.col("s").substr(F.col("s_pos") + 1, F.lit(1))).alias("code"),
-        F.when(F.col("s_pos") == 0, "$").otherwise(F.col("s").substr(F.col("s_pos"), F.lit(1))).alias("bwt"),
-    )
-    state = materialize(_ranked(rows, ["text_id", "key"]).drop("key"), "ranks")
+    kind = texts.schema["text_id"].dataType.simpleString()
+    rows = texts.where("s is not null").select("text_id", "s").mapInArrow(_first_keys, f"text_id {kind}, s_pos bigint, k1 bigint, k2 bigint, k3 bigint, code int, bwt int")
+    symbol = lambda c: F.substring(F.lit(SYMBOLS), F.col(c) + 1, F.lit(1)).alias(c)
+    rows = rows.select("text_id", "s_pos", "k1", "k2", "k3", symbol("code"), symbol("bwt"))
+    state = materialize(_ranked(rows, ["text_id", "k1", "k2", "k3"]).drop("k1", "k2", "k3"), "ranks")
     done, open_, width = state.where("__same = 1"), state.where("__same > 1"), FIRST
     while not open_.isEmpty():
         known = done.unionByName(open_)

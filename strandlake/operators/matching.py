@@ -16,6 +16,7 @@ from strandlake.functions.mapping import with_match_interval
 from strandlake.functions.patterns import Region, orientations, parse
 from strandlake.operators.ordering import with_rank
 from strandlake.schema import EngineError, ErrorCode, Overlap, Strand
+from strandlake.session import materialize
 
 #: Up to so many words are searched by one expression each; more are joined by hash on all substrings of their lengths.
 MANY_WORDS = 64
@@ -127,7 +128,8 @@ def sorted_matches(matches: DataFrame, limit: int | None = None) -> DataFrame:
     order = ["pattern", *LOCATE_ORDER]
     if limit is not None:
         ranked = ranked.orderBy(*order).limit(limit)
-    return with_rank(ranked, order, "ord").drop("strand_rank", "sa_key")
+    # a range sort samples its input first: the search behind it should run once
+    return with_rank(materialize(ranked, "matches"), order, "ord").drop("strand_rank", "sa_key")
 
 
 def in_region(matches: DataFrame, chrom_id: int | None, region: Region) -> DataFrame:

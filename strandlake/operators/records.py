@@ -84,7 +84,7 @@ def reads_without(reads: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def invariants(reads: DataFrame, contigs: DataFrame) -> DataFrame:
-    """check, bad: how many rows break each rule of the order: dense ids, ascending order, text places that follow each
+    """check, bad: how many rows break each rule of the order: dense ids, ascending order (repeated rows may share a key), text places that follow each
     other, known contigs, positions from 1, lengths above 0. Neighbours are compared by a join on read_id."""
     before = reads.select((F.col("read_id") + 1).alias("read_id"), *[F.col(c).alias(f"b_{c}") for c in ("build_id", "chrom_id", "pos", "source_file_id", "bam_offset", "record_id", "s_start", "l_seq")])
     pairs = reads.join(before, "read_id", "left")
@@ -95,7 +95,7 @@ def invariants(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
     checks = {
         "dense_ids": n(F.col("b_build_id").isNull() & (F.col("read_id") != 0)),
-        "order": n(F.col("b_build_id").isNotNull() & (key("b_") >= key(""))),
+        "order": n(F.col("b_build_id").isNotNull() & (key("b_") > key(""))),
         "text_places": n(~follows),
         "contigs": n(F.col("__known").isNull()),
         "positions": n(F.col("pos") < 1),
