@@ -70,7 +70,7 @@ class _Packer:
 
     def pack(self, final: bool) -> None:
         items: dict[int, list] = {}
-        for x in sorted(self.waiting, reverse=True):
+        for x in sorted(self.waiting, key=lambda item: -item[0]):
             items.setdefault(x[0], []).append(x)
         counts = {l: len(v) for l, v in items.items()}
         lengths = sorted(counts, reverse=True)

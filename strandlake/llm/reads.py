@@ -123,7 +123,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    """Field values of every read by truth discovery over its deliveries; sources are the source files."""
-    reads = _deliveries(spark, folder, "source_file_id", "cigar")
+    """For every read delivered twice or more, the field values that truth discovery supports most; sources are the
+    source files."""
+    reads = _deliveries(spark, folder, "source_file_id", "cigar").where("name is not null")
+    again = reads.groupBy("name", "mate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "mate")
     reads = reads.withColumn("mapq", dna.usable_mapq(F.col("mapq"))).withColumn("cigar", F.when(F.col("cigar") != "*", F.col("cigar")))
+    reads = materialize(reads.join(again, ["name", "mate"], "left_semi").select("name", "mate", "source_file_id", "mapq", "pos", "cigar"), "deliveries")
     return survivor.truth_discovery(reads, ["name", "mate"], "source_file_id", ["mapq", "pos", "cigar"])

@@ -36,8 +36,8 @@ def survivors(df: DataFrame, keys: list[str], winners: dict[str, tuple[Column |
 def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[str], rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
     """keys and, per field, the value with the highest support and its share of the support (name and name_support).
 
-    A source's reliability is the smoothed share of its claims that agree with the current choice; a claim votes with
-    the log odds of its source's reliability (at least a little, so that no source is silenced). Votes and reliabilities
+    A source's reliability is the smoothed share of its contested claims (of a group's field with different values; the
+    others tell nothing) that agree with the current choice; a claim votes with the log odds of its source's reliability (at least a little, so that no source is silenced). Votes and reliabilities
     are estimated in turn until no reliability moves by more than `tolerance`, at most `rounds` times.
 
     Claims are first counted per (group, field, value, source), with partial counts before the shuffle. Ties go to the
@@ -58,15 +58,15 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
         votes = claims.join(trust, "__source").groupBy(*keys, "__field", "__value").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__k"))
         # a group's different values are few however many rows it has: rows were counted away above
         place = Window.partitionBy(*keys, "__field")
-        ranked = votes.withColumn("__all", F.sum("__w").over(place)).withColumn(
+        ranked = votes.withColumn("__all", F.sum("__w").over(place)).withColumn("__values", F.count(F.lit(1)).over(place)).withColumn(
             "__rank", F.row_number().over(place.orderBy(F.round("__w", 9).desc(), F.col("__k").desc(), "__value"))
         )
-        chosen = materialize(ranked.where("__rank = 1").select(*keys, "__field", F.col("__value").alias("__best"), (F.col("__w") / F.col("__all")).alias("__support")), "chosen")
+        chosen = materialize(ranked.where("__rank = 1").select(*keys, "__field", F.col("__value").alias("__best"), "__values", (F.col("__w") / F.col("__all")).alias("__support")), "chosen")
         if i == rounds - 1:
             break
         agree = F.sum(F.when(F.col("__value") == F.col("__best"), F.col("__n")).otherwise(0))
-        fresh = claims.join(chosen, [*keys, "__field"]).groupBy("__source").agg(((agree + 4) / (F.sum("__n") + 5)).alias("__new"))
-        both = materialize(trust.join(fresh, "__source"), "trust")
+        fresh = claims.join(chosen.where("__values > 1"), [*keys, "__field"]).groupBy("__source").agg(((agree + 4) / (F.sum("__n") + 5)).alias("__new"))
+        both = materialize(trust.join(fresh, "__source", "left").withColumn("__new", F.coalesce("__new", "__r")), "trust")
         moved = both.agg(F.max(F.abs(F.col("__new") - F.col("__r")))).first()[0]
         trust = both.select("__source", F.least(F.col("__new"), F.lit(0.999)).alias("__r"))
         if moved is None or moved <= tolerance:
