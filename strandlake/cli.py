@@ -76,10 +76,11 @@ def _load(spark, inputs: list[str]):
 
 
 def run(args: argparse.Namespace, out=sys.stdout) -> None:
+    from strandlake.functions.digests import manifest
     from strandlake.plans.index import ReadIndex
     from strandlake.session import local_session, ship
     from strandlake.sources import sinks
-    from strandlake.sources.alignment_files import register
+    from strandlake.sources.alignment_files import header_bytes, register
 
     say = lambda x: print(json.dumps(x), file=out)
     if getattr(args, "approx", None) is not None:
@@ -89,7 +90,9 @@ def run(args: argparse.Namespace, out=sys.stdout) -> None:
     ship(spark)
     if args.command == "build":
         config = BuildConfig(window_size=args.window_size, quality_codec=args.quality_codec, quality_bins=args.quality_bins, strand=Strand(args.strand), enhanced=args.enhanced, bidirectional=args.bidirectional)
-        say(ReadIndex.build(spark, _load(spark, args.inputs), args.output, config).info)
+        files = [p for p in args.inputs if p.endswith(("bam", "sam"))]
+        digest = manifest([(p, header_bytes(p)) for p in files]) if files else ""
+        say(ReadIndex.build(spark, _load(spark, args.inputs), args.output, config, manifest=digest).info)
         return
     index = ReadIndex(spark, args.index)
     strand = Strand(args.strand) if getattr(args, "strand", None) else None

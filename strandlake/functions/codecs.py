@@ -146,6 +146,20 @@ def arithmetic_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def pack_text(symbols: list[int]) -> bytes:
+    """A block of transformed text: move-to-front, runs, arithmetic coding, behind the number of symbols and of run bytes."""
+    runs = rle(mtf(symbols, 7))
+    return struct.pack("<QQ", len(symbols), len(runs)) + arithmetic_encode(runs)
+
+
+def unpack_text(data: bytes) -> list[int]:
+    n, _ = struct.unpack_from("<QQ", data)
+    out = unmtf(unrle(arithmetic_decode(data[16:])), 7)
+    if len(out) != n:
+        raise ValueError("damaged data")
+    return out
+
+
 def pack_meta(flag: int, cigar: str, aux: bytes | None) -> bytes:
     """Flag (16 bits), number of operations, (length << 4 | operation) as varints, then the aux bytes."""
     ops = re.findall(r"(\d+)([MIDNSHP=X])", cigar or "")

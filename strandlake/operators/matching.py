@@ -121,11 +121,15 @@ def locate(reads: DataFrame, patterns: list[str], strand: Strand = Strand.COMPLE
 LOCATE_ORDER = ["strand_rank", "chrom", "p_min", "p_max", "read_id", "sa_key"]
 
 
-def sorted_matches(matches: DataFrame, limit: int | None = None) -> DataFrame:
-    """matches (with chrom and read_id) and ord, their place in the reported order per pattern list; the first `limit`
-    only, if given: a top-k, of which each task keeps no more than k."""
+#: Order of the suffixes that matches begin, forward block first; suffixes that agree up to the read's end go by read.
+SUFFIX_ORDER = ["strand_rank", "sa_key", "read_id"]
+
+
+def sorted_matches(matches: DataFrame, limit: int | None = None, by_suffix: bool = False) -> DataFrame:
+    """matches (with chrom and read_id) and ord, their place per pattern in the reported order, or in suffix order; the
+    first `limit` only, if given: a top-k, of which each task keeps no more than k."""
     ranked = matches.withColumn("strand_rank", (F.col("strand") != "+").cast("int"))
-    order = ["pattern", *LOCATE_ORDER]
+    order = ["pattern", *(SUFFIX_ORDER if by_suffix else LOCATE_ORDER)]
     if limit is not None:
         ranked = ranked.orderBy(*order).limit(limit)
     # a range sort samples its input first: the search behind it should run once

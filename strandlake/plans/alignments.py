@@ -189,6 +189,13 @@ def locate_topk(spark: SparkSession, folder: str) -> DataFrame:
     return matching.sorted_matches(found, 25).select("ord", "pattern", *sinks.MATCH)
 
 
+@query
+def locate_suffix_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The first matches in suffix order, forward strand first: what a capped unsorted search reports."""
+    found = _named(matching.locate(_aligned(spark, folder), ["TTAGGG"]), spark, folder)
+    return matching.sorted_matches(found, 40, by_suffix=True).select("ord", "pattern", *sinks.MATCH)
+
+
 @query
 def locate_many_words(spark: SparkSession, folder: str) -> DataFrame:
     """The hash-join form of the search: all 6-base words that begin with GA, on both strands."""

@@ -160,11 +160,12 @@ class ReadIndex:
         return matching.locate(own, [pattern], strand or self.strand)
 
     def locate(self, pattern: str, strand: Strand | None = None, ordered: bool = True, limit: int | None = None) -> DataFrame:
-        """strand, chrom, p_min, p_max, read_id; in the reported order with `ord` if ordered or limited."""
+        """strand, chrom, p_min, p_max, read_id. Ordered: in the reported order, with `ord`. Unordered with a limit: the
+        first in suffix order, forward strand first. Unordered without: as they are found."""
         found = self._locate(self.reads, pattern, strand)
         if not ordered and limit is None:
             return found.select("strand", "chrom", "p_min", "p_max", "read_id")
-        return matching.sorted_matches(found, limit).select("ord", "strand", "chrom", "p_min", "p_max", "read_id").orderBy("ord")
+        return matching.sorted_matches(found, limit, not ordered).select("ord", "strand", "chrom", "p_min", "p_max", "read_id").orderBy("ord")
 
     def iterate(self, pattern: str, strand: Strand | None = None) -> Iterator[dict]:
         for row in self.locate(pattern, strand).toLocalIterator():

@@ -118,6 +118,7 @@ ORACLES = {
     "locate_clipped": f"WITH {_located(MOTIFS, where='contains(cigar, chr(83))')} {_REPORT}",
     "locate_indel": f"WITH {_located(['ACG', 'TTG', 'CCA'], where='regexp_matches(cigar, chr(91) || chr(73) || chr(68) || chr(78) || chr(93))')} {_REPORT}",
     "locate_topk": f"WITH {_located(['ACGT'])} SELECT {_ORD}, pattern, strand, chrom, p_min, p_max, read_id FROM loc ORDER BY ord LIMIT 25",
+    "locate_suffix_order": f"WITH {_located(['TTAGGG'])} SELECT CAST(row_number() OVER (ORDER BY strand <> '+', {_SA_KEY}, read_id) - 1 AS BIGINT) AS ord, pattern, strand, chrom, p_min, p_max, read_id FROM loc ORDER BY ord LIMIT 40",
     "locate_many_words": f"""WITH {SCOPE}, six AS (SELECT substr(seq, p, 6) AS k FROM (SELECT seq, unnest(range(1, l_seq - 4)) AS p FROM rd)),
       f AS (SELECT k AS pattern, '+' AS strand FROM six WHERE regexp_matches(k, '^GA[ACGT]+$')
         UNION ALL SELECT translate(reverse(k), 'ACGT', 'TGCA'), '-' FROM six WHERE regexp_matches(k, '^[ACGT]+TC$') AND translate(reverse(k), 'ACGT', 'TGCA') <> k)

@@ -73,6 +73,14 @@ def read_header(stream: _Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, contigs
 
 
+def header_bytes(path: str) -> bytes:
+    """A file's header as it stands: the text of a BAM header, or the lines of a SAM file that begin with '@'."""
+    if path.endswith("bam"):
+        return read_header(_Stream(inflate(path)))[0].encode()
+    with open(path, "rb") as f:
+        return b"".join(iter(lambda: x if (x := f.readline()).startswith(b"@") else b"", b""))
+
+
 def bam_records(path: str) -> Iterator[tuple]:
     """The first nine columns of every record, in file order."""
     stream = _Stream(inflate(path))

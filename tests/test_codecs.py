@@ -20,6 +20,12 @@ def test_arithmetic(data):
     assert codecs.arithmetic_decode(codecs.arithmetic_encode(data)) == data
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=300))
+def test_text_blocks(xs):
+    assert codecs.unpack_text(codecs.pack_text(xs)) == xs
+
+
 def test_arithmetic_is_smaller():
     data = bytes(random.Random(1).choices([0, 1, 5], [90, 8, 2], k=5000))
     packed = codecs.arithmetic_encode(codecs.rle(list(data)))

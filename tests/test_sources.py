@@ -69,7 +69,8 @@ def test_cli(spark, tmp_path, capsys):
     df = spark.createDataFrame(TEN_READS, READ_SCHEMA)
     df.coalesce(1).write.format("bam").mode("append").option("contigs", CONTIGS).save(f"{tmp_path}/in")
     bam, index = glob.glob(f"{tmp_path}/in/*.bam")[0], f"{tmp_path}/index"
-    assert json.loads(run("build", bam, "-o", index))["n_reads"] == 10
+    built = json.loads(run("build", bam, "-o", index))
+    assert built["n_reads"] == 10 and len(built["manifest"]) == 64
     assert json.loads(run("count", index, "acgt")) == {"count": 13}
     assert set(json.loads(run("count", index, "ACGT", "--benchmark"))) == {"count", "load_seconds", "search_seconds", "total_seconds"}
     assert json.loads(run("exists", index, "GATTACA")) == {"exists": False}
