@@ -175,9 +175,10 @@ def agreed_levels(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, least_words: int = 40) -> Model:
     """Fit on the graded posts among docs (doc_id, text) that have at least least_words own words."""
     graded = agreed_levels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").join(graded, "doc_id")
+    # graded has at most MAX_LABELLED rows of two numbers: with it broadcast, no text is shuffled
+    rows = docs.select("doc_id", "text").join(F.broadcast(graded), "doc_id")
     seen = rows.select("doc_id", "text").mapInArrow(_feature_task, "doc_id bigint, own_words bigint, features array<double>")
-    got = seen.join(graded, "doc_id").where(F.col("own_words") >= least_words).orderBy("doc_id").select("features", "level").collect()
+    got = seen.join(F.broadcast(graded), "doc_id").where(F.col("own_words") >= least_words).orderBy("doc_id").select("features", "level").collect()
     return fit(np.array([r["features"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["level"] for r in got], float))
 
 
