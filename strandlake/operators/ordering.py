@@ -7,10 +7,16 @@ BLOCK ranks, plus the sums of earlier blocks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from strandlake.session import materialize
+from strandlake.session import broadcast_if_small, materialize
 
 BLOCK = 1 << 16
 ORDER = ["build_id", "chrom_id", "pos", "source_file_id", "bam_offset", "record_id"]
@@ -44,11 +50,56 @@ def with_running_sum(df: DataFrame, group: str, rank: str, value: str, name: str
     return joined.withColumn(name, F.col("__in") + F.col("__before")).drop("__g", "__b", "__block", "__in", "__before")
 
 
+def _places(group: int, width: int):
+    """Adds to sorted rows their place in the partition and, per group, the sum of the widths before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, before = TaskContext.get().partitionId(), 0, {}
+        for batch in batches:
+            groups = batch.column(group).to_numpy(zero_copy_only=False)
+            widths = batch.column(width).to_numpy(zero_copy_only=False).astype(np.int64)
+            sums = np.empty(len(groups), np.int64)
+            cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+            for a, z in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(groups)]))):
+                if z > a:
+                    run = np.cumsum(widths[a:z])
+                    sums[a:z] = before.get(groups[a], 0) + run - widths[a:z]
+                    before[groups[a]] = before.get(groups[a], 0) + int(run[-1])
+            own = [pa.repeat(pa.scalar(part, pa.int64()), len(groups)), pa.array(np.arange(n, n + len(groups))), pa.array(sums)]
+            n += len(groups)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "__part", "__place", "__sum"])
+
+    return run
+
+
+def with_rank_and_sum(df: DataFrame, keys: list[str], rank: str, group: str, width: str, name: str) -> DataFrame:
+    """df with `rank`, the place of each row under keys, and `name`, the sum of `width` over the earlier rows of the same
+    group. keys begin with group; group and width hold whole numbers without nulls.
+
+    One shuffle: rows are numbered and summed where the range sort leaves them and written once; what came in earlier
+    partitions, one row per partition and group, is added afterwards without moving rows, so that the result is still
+    sorted.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    schema = StructType([*df.schema.fields, *[StructField(c, LongType()) for c in ("__part", "__place", "__sum")]])
+    placed = materialize(placed.mapInArrow(_places(df.columns.index(group), df.columns.index(width)), schema), "placed")
+    per = placed.groupBy("__part", group).agg(F.count(F.lit(1)).alias("__n"), F.sum(width).alias("__w"))
+    same = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = per.groupBy("__part").agg(F.sum("__n").alias("__n"))
+    ranks = parts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__rank"))
+    sums = per.select("__part", F.col(group).alias("__group"), F.coalesce(F.sum("__w").over(same), F.lit(0)).alias("__before"))
+    offsets = broadcast_if_small(sums.join(ranks, "__part").withColumnRenamed("__part", "__p"))
+    joined = placed.join(offsets, (F.col("__part") == F.col("__p")) & (F.col(group) == F.col("__group")))
+    return joined.select(*df.columns, (F.col("__rank") + F.col("__place")).alias(rank), (F.col("__before") + F.col("__sum")).alias(name))
+
+
 def order_reads(reads: DataFrame) -> DataFrame:
     """read_id (dense rank over all builds in order), and s_start, the start of the read in its build's text, where reads
     are joined by one separator. reads: the ORDER columns and l_seq; rows delivered twice are ordered by record_id."""
-    ranked = with_rank(reads.select(*ORDER, "l_seq"), ORDER, "read_id")
-    return with_running_sum(ranked.withColumn("__width", F.col("l_seq") + 1), "build_id", "read_id", "__width", "s_start").drop("__width")
+    rows = reads.select(*ORDER, "l_seq").withColumn("__width", F.col("l_seq") + 1)
+    return with_rank_and_sum(rows, ORDER, "read_id", "build_id", "__width", "s_start").drop("__width")
 
 
 def text_lengths(reads: DataFrame) -> DataFrame:

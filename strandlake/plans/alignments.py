@@ -87,7 +87,12 @@ def order_reads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def text_lengths(spark: SparkSession, folder: str) -> DataFrame:
+def read_starts(spark: SparkSession, folder: str) -> DataFrame:
+    return order_reads(spark, folder).select("read_id", "s_start")
+
+
+@query
+def s_length(spark: SparkSession, folder: str) -> DataFrame:
     return ordering.text_lengths(_ordered(spark, folder))
 
 
@@ -124,6 +129,11 @@ def batch_motif_count(spark: SparkSession, folder: str) -> DataFrame:
     return matching.count_matches(_scan(spark, folder), MOTIFS)
 
 
+@query
+def global_count_complete(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.count_matches(_scan(spark, folder), ["ACGTA"])
+
+
 @query
 def global_count_single(spark: SparkSession, folder: str) -> DataFrame:
     return matching.count_matches(_scan(spark, folder), MOTIFS, Strand.SINGLE)
@@ -347,6 +357,12 @@ def map_delta_decode(spark: SparkSession, folder: str) -> DataFrame:
     return sums.join(first, ["build_id", "chrom_id"]).select("read_id", (F.col("sum") - F.col("start")).alias("pos"))
 
 
+@query
+def abs_pos_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Absolute positions of the reads that begin a block of the directory, from the deltas."""
+    return map_delta_decode(spark, folder).where(F.col("read_id") % 1024 == 0)
+
+
 def _qualities(spark: SparkSession, folder: str) -> DataFrame:
     rows = records.indexed_reads(spark, folder, "qual").where("qual is not null and not exists(qual, x -> x is null)")
     return rows.select("record_id", quality.filled(F.col("qual")).alias("qual"))

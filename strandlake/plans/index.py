@@ -73,12 +73,10 @@ class ReadIndex:
                 kept = kept.withColumn(name, default)
         qual = quality.binned(quality.filled(F.col("qual")), config.quality_bins or (8 if config.quality_codec == "BINNED_RANGE" else 0))
         kept = kept.withColumn("seq", dna.bases(F.col("seq"))).withColumn("qual", qual).withColumn("l_seq", F.length("seq").cast("bigint")).withColumn("span", cigar.ref_span(F.col("cigar")))
-        ranked = ordering.with_rank(kept, ordering.ORDER, "read_id")
-        summed = ordering.with_running_sum(ranked.withColumn("__width", F.col("l_seq") + 1), "build_id", "read_id", "__width", "s_start")
+        kept = kept.select(*[c for c in _READ_COLUMNS if c not in ("read_id", "s_start")]).withColumn("__width", F.col("l_seq") + 1)
+        placed = ordering.with_rank_and_sum(kept, ordering.ORDER, "read_id", "build_id", "__width", "s_start")
         path = path.rstrip("/")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = summed.select(*_READ_COLUMNS).repartitionByRange(n, "read_id").sortWithinPartitions("read_id")
-        placed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/reads")
+        placed.select(*_READ_COLUMNS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/reads")
         reads = spark.read.parquet(f"{path}/reads")
         if reads.isEmpty():
             raise EngineError(ErrorCode.INVALID_BAM_INPUT, "no read passed the inclusion rule")

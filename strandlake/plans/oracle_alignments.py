@@ -98,7 +98,8 @@ ORACLES = {
     "normalised_bases": f"WITH {SCOPE} SELECT record_id, seq FROM rd",
     "contigs": "SELECT chrom_id, contig_name FROM contigs",
     "order_reads": "SELECT * FROM ordered_reads",
-    "text_lengths": "SELECT build_id, CAST(sum(l_seq) + count(*) - 1 AS BIGINT) AS s_length FROM ordered_reads GROUP BY 1",
+    "read_starts": "SELECT read_id, s_start FROM ordered_reads",
+    "s_length": "SELECT build_id, CAST(sum(l_seq) + count(*) - 1 AS BIGINT) AS s_length FROM ordered_reads GROUP BY 1",
     "cigar_ops": f"WITH {SCOPE}, {_OPS} SELECT record_id, CAST(idx AS BIGINT) AS op_idx, op, len, rs AS read_start, fs AS ref_start, pa AS prev_aligned_ref, na AS next_aligned_ref, nr AS next_aligned_read FROM nb",
     "cigar_ref_span": f"WITH {SCOPE} SELECT record_id, CAST({_SPAN} AS BIGINT) AS span FROM rd",
     "reverse_complement": f"WITH {SCOPE} SELECT record_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM rd",
@@ -106,6 +107,7 @@ ORACLES = {
       SELECT pattern, pattern AS word, '+' AS strand FROM p UNION ALL
       SELECT pattern, translate(reverse(pattern), 'ACGT', 'TGCA'), '-' FROM p WHERE translate(reverse(pattern), 'ACGT', 'TGCA') <> pattern""",
     "batch_motif_count": _count(MOTIFS),
+    "global_count_complete": _count(["ACGTA"]),
     "global_count_single": _count(MOTIFS, Strand.SINGLE),
     "global_count_palindrome": _count(PALINDROMES),
     "global_count_nonoverlap": _greedy(["AAA", "ACAGACAG", *MOTIFS]),
@@ -144,6 +146,7 @@ ORACLES = {
       UNION ALL SELECT build_id, s_start + l_seq, read_id, l_seq, true FROM ordered_reads""",
     "map_delta_encode": "SELECT read_id, pos - coalesce(lag(pos) OVER (PARTITION BY build_id, chrom_id ORDER BY read_id), 0) AS delta FROM ordered_reads",
     "map_delta_decode": "SELECT read_id, pos FROM ordered_reads",
+    "abs_pos_table": "SELECT read_id, pos FROM ordered_reads WHERE read_id % 1024 = 0",
     "qual_fill_missing": f"{_QUAL} SELECT * FROM ql",
     "qual_lossy_bin": f"{_QUAL} SELECT record_id, list_transform(qual, lambda q: CAST(least(93, (q // 11) * 11 + 5) AS INTEGER)) AS qual FROM ql",
     "qual_rans_delta": f"{_QUAL} SELECT record_id, list_transform(qual, lambda q, i: CASE WHEN i = 1 THEN q ELSE CAST((q - qual[i - 1] + 128 + 256) % 256 AS INTEGER) END) AS qual FROM ql",
