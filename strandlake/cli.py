@@ -24,6 +24,7 @@ def _parser() -> argparse.ArgumentParser:
     build.add_argument("--quality-codec", default="RANGE_CYCLE")
     build.add_argument("--quality-bins", type=int, default=0)
     build.add_argument("--strand", choices=[s.value for s in Strand], default="complete")
+    build.add_argument("--word-size", type=int, default=0, help="also write postings of words of so many bases")
     build.add_argument("--enhanced", action="store_true")
     build.add_argument("--bidirectional", action="store_true")
     for name in ("count", "exists", "locate", "region-count", "region-exists"):
@@ -89,7 +90,7 @@ def run(args: argparse.Namespace, out=sys.stdout) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     if args.command == "build":
-        config = BuildConfig(window_size=args.window_size, quality_codec=args.quality_codec, quality_bins=args.quality_bins, strand=Strand(args.strand), enhanced=args.enhanced, bidirectional=args.bidirectional)
+        config = BuildConfig(window_size=args.window_size, quality_codec=args.quality_codec, quality_bins=args.quality_bins, strand=Strand(args.strand), enhanced=args.enhanced, word_size=args.word_size, bidirectional=args.bidirectional)
         files = [p for p in args.inputs if p.endswith(("bam", "sam"))]
         digest = manifest([(p, header_bytes(p)) for p in files]) if files else ""
         say(ReadIndex.build(spark, _load(spark, args.inputs), args.output, config, manifest=digest).info)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar, codecs, dna, quality
 from strandlake.functions.mapping import with_placed_ops
 from strandlake.functions.patterns import Region, orientations
-from strandlake.operators import fm, matching, ordering, records, windows
+from strandlake.operators import fm, matching, ordering, postings, records, windows
 from strandlake.schema import Overlap, Strand
+from strandlake.session import materialize
 from strandlake.sources import sinks
 from strandlake.sources.tables import contig_names, included_reads, table
 
@@ -223,6 +224,21 @@ def locate_json_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.json_summary(matching.locate(_aligned(spark, folder), ["TTAGGG"]))
 
 
+@query
+def word_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """How many reads hold each word of six bases."""
+    reads = _scan(spark, folder).select(F.col("record_id").alias("read_id"), "seq")
+    return postings.build_postings(reads, 6).groupBy("word").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+@query
+def count_by_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """A count by way of postings of eight bases."""
+    reads = _scan(spark, folder).select(F.col("record_id").alias("read_id"), "seq")
+    found = postings.candidates(reads, materialize(postings.build_postings(reads, 8), "postings"), 8, "TTGGGATTGGGA")
+    return matching.count_matches(found, ["TTGGGATTGGGA"])
+
+
 def _in_region(spark: SparkSession, folder: str, pattern: str, region: Region) -> DataFrame:
     chrom = _chrom_id(spark, folder, region.chrom)
     near = matching.near_region(_aligned(spark, folder), chrom, region)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandlake import __version__
 from strandlake.functions import cigar, digests, dna, quality
 from strandlake.functions.patterns import Region, parse
-from strandlake.operators import fm, matching, ordering, records, windows
+from strandlake.operators import fm, matching, ordering, postings, records, windows
 from strandlake.schema import BuildConfig, EngineError, ErrorCode, Overlap, Strand
 from strandlake.session import broadcast_if_small
 from strandlake.sources.tables import chrom_key
@@ -53,6 +53,8 @@ class ReadIndex:
         self.reads = spark.read.parquet(f"{self.path}/reads")
         self.windows = spark.read.parquet(f"{self.path}/windows")
         self.contigs = spark.read.parquet(f"{self.path}/contigs")
+        self.word_size = self.info["config"].get("word_size", 0)
+        self.postings = spark.read.parquet(f"{self.path}/postings") if self.word_size else None
 
     # --- build
 
@@ -81,6 +83,8 @@ class ReadIndex:
         if reads.isEmpty():
             raise EngineError(ErrorCode.INVALID_BAM_INPUT, "no read passed the inclusion rule")
         windows.window_table(reads, config.window_size).write.mode("overwrite").parquet(f"{path}/windows")
+        if config.word_size:
+            postings.build_postings(reads, config.word_size).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
         contigs.select("chrom_id", "chrom").write.mode("overwrite").parquet(f"{path}/contigs")
         facts = reads.agg(F.count(F.lit(1)).alias("n_reads"), F.sum("l_seq").alias("n_bases"), F.count_distinct("build_id").alias("n_builds"), F.min("l_seq").alias("shortest"), F.max("l_seq").alias("longest")).first().asDict()
         info = {
@@ -91,7 +95,7 @@ class ReadIndex:
             "s_length": facts["n_bases"] + facts["n_reads"] - facts["n_builds"],
             "n_windows": spark.read.parquet(f"{path}/windows").count(),
             "n_contigs": contigs.count(),
-            "mode": "ENHANCED" if config.enhanced else "BASE",
+            "mode": "ENHANCED" if config.enhanced or config.word_size else "BASE",
             "is_lossless": config.lossless,
             "manifest": manifest,
             "ordering_digest": digests.ordering_tree(reads),
@@ -135,8 +139,14 @@ class ReadIndex:
 
     # --- queries
 
+    def _reads_for(self, pattern: str, strand: Strand | None) -> DataFrame:
+        """The reads a search must look at: all, or those the postings leave."""
+        if self.postings is None:
+            return self.reads
+        return postings.candidates(self.reads, self.postings, self.word_size, pattern, strand or self.strand)
+
     def count(self, pattern: str, strand: Strand | None = None, overlap: Overlap = Overlap.ALL) -> int:
-        return matching.count_matches(self.reads, [pattern], strand or self.strand, overlap).first()["n"]
+        return matching.count_matches(self._reads_for(pattern, strand), [pattern], strand or self.strand, overlap).first()["n"]
 
     def timed_count(self, pattern: str, strand: Strand | None = None) -> dict:
         """count with seconds: load (opening the tables), search, total."""
@@ -151,7 +161,7 @@ class ReadIndex:
         return matching.count_matches(self.reads, patterns, strand or self.strand)
 
     def exists(self, pattern: str, threshold: int = 1, strand: Strand | None = None) -> bool:
-        return matching.exists(self.reads, pattern, threshold, strand or self.strand).first()["exists"]
+        return matching.exists(self._reads_for(pattern, strand), pattern, threshold, strand or self.strand).first()["exists"]
 
     def _locate(self, reads: DataFrame, pattern: str, strand: Strand | None) -> DataFrame:
         own = reads.select("read_id", "record_id", "chrom_id", "chrom", "pos", "cigar", "seq")
@@ -160,7 +170,7 @@ class ReadIndex:
     def locate(self, pattern: str, strand: Strand | None = None, ordered: bool = True, limit: int | None = None) -> DataFrame:
         """strand, chrom, p_min, p_max, read_id. Ordered: in the reported order, with `ord`. Unordered with a limit: the
         first in suffix order, forward strand first. Unordered without: as they are found."""
-        found = self._locate(self.reads, pattern, strand)
+        found = self._locate(self._reads_for(pattern, strand), pattern, strand)
         if not ordered and limit is None:
             return found.select("strand", "chrom", "p_min", "p_max", "read_id")
         return matching.sorted_matches(found, limit, not ordered).select("ord", "strand", "chrom", "p_min", "p_max", "read_id").orderBy("ord")

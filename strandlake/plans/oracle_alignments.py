@@ -125,6 +125,10 @@ ORACLES = {
       f AS (SELECT k AS pattern, '+' AS strand FROM six WHERE regexp_matches(k, '^GA[ACGT]+$')
         UNION ALL SELECT translate(reverse(k), 'ACGT', 'TGCA'), '-' FROM six WHERE regexp_matches(k, '^[ACGT]+TC$') AND translate(reverse(k), 'ACGT', 'TGCA') <> k)
       SELECT pattern, strand, count(*) AS n FROM f GROUP BY ALL""",
+    "word_postings": f"""WITH {SCOPE}, six AS (SELECT DISTINCT record_id, substr(seq, p, 6) AS k FROM (SELECT record_id, seq, unnest(range(1, l_seq - 4)) AS p FROM rd)),
+      c AS (SELECT translate(k, 'ACGT', '0123') AS d, count(*) AS n_reads FROM six WHERE NOT contains(k, 'N') GROUP BY k)
+      SELECT {' + '.join(f'CAST(substr(d, {i + 1}, 1) AS BIGINT) * {4 ** (5 - i)}' for i in range(6))} AS word, n_reads FROM c""",
+    "count_by_postings": _count(["TTGGGATTGGGA"]),
     "locate_bed": f"WITH {_located(['TTAGGG'])} SELECT chrom, p_min - 1 AS start, p_max AS \"end\", 'read_' || CAST(read_id AS VARCHAR) AS name, CAST(0 AS BIGINT) AS score, strand FROM loc",
     "locate_json_summary": f"WITH {_hits(['TTAGGG'])} SELECT '{{\"mode\":\"sorted\",\"count\":' || CAST(count(*) AS VARCHAR) || '}}' AS json FROM hit",
     "region_count": _region("ACGT", "chrM", 1_000, 9_000, "count(*) AS region_count"),

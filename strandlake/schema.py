@@ -52,7 +52,8 @@ MAP_CODECS = ("DELTA_RANGE", "RAW")
 
 @dataclass(frozen=True)
 class BuildConfig:
-    """Settings of an index build. Those that have no effect on results are accepted and recorded."""
+    """Settings of an index build. Those that have no effect on results are accepted and recorded.
+    word_size above 0 adds postings of words of so many bases."""
 
     window_size: int = 100_000
     sample_step: int = 64
@@ -66,6 +67,7 @@ class BuildConfig:
     overlap: Overlap = Overlap.ALL
     enhanced: bool = False
     bidirectional: bool = False
+    word_size: int = 0
     reference: str = ""
     threads: int = 1
     entropy_k: int = 0
