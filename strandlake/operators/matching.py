@@ -20,6 +20,7 @@ from strandlake.session import materialize
 
 #: Up to so many words are searched by one expression each; more are joined by hash on all substrings of their lengths.
 MANY_WORDS = 64
+LONG = 1024
 
 _HIT = "array<struct<pattern:string,strand:string,offset:bigint,width:bigint>>"
 
@@ -29,16 +30,34 @@ def _words(patterns: list[str], strand: Strand) -> list[tuple[str, str, str]]:
     return [(p, w, s) for p in dict.fromkeys(parse(x) for x in patterns) for w, s in orientations(p, strand)]
 
 
-def _offsets(seq: Column, word: str) -> Column:
-    n = len(word)
-    return F.filter(F.sequence(F.lit(0), F.length(seq) - n), lambda i: seq.substr(i + 1, F.lit(n)) == word)
+def _places(seq: Column, word: Column) -> Column:
+    n = F.length(word)
+    return F.filter(F.sequence(F.lit(0), F.length(seq) - n), lambda i: seq.substr(i + 1, n) == word)
 
 
-def _found(seq: Column, pattern: str, word: str, sign: str) -> Column:
-    """The occurrences of one word in a read, as an array of _HIT entries."""
-    fixed = [F.lit(pattern).alias("pattern"), F.lit(sign).alias("strand")]
-    entries = F.transform(_offsets(seq, word), lambda i: F.struct(*fixed, i.cast("bigint").alias("offset"), F.lit(len(word)).cast("bigint").alias("width")))
-    return F.when(seq.contains(word), entries).otherwise(F.array().cast(_HIT))
+def _offsets(seq: Column, word: Column) -> Column:
+    """Starts of the word in seq, which contains it. substr() counts characters from the start, so a long sequence is
+    searched in overlapping blocks of LONG bases, each only if it contains the word."""
+
+    def inside(start: Column) -> Column:
+        block = seq.substr(start + 1, F.length(word) + (LONG - 1))
+        return F.when(block.contains(word), F.transform(_places(block, word), lambda i: i + start)).otherwise(F.array().cast("array<int>"))
+
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.length(seq) - 1, F.lit(LONG)), inside))
+    return F.when(F.length(seq) <= 2 * LONG, _places(seq, word)).otherwise(blocks)
+
+
+def _found(seq: Column, words: list[tuple[str, str, str]]) -> Column:
+    """The occurrences of all words in a read, as an array of _HIT entries: one expression over a constant list of words,
+    so that the plan doesn't grow with their number."""
+    known = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(w).alias("word"), F.lit(sign).alias("strand")) for p, w, sign in words])
+
+    def entries(x: Column) -> Column:
+        width = F.length(x["word"]).cast("bigint").alias("width")
+        one = lambda i: F.struct(x["pattern"].alias("pattern"), x["strand"].alias("strand"), i.cast("bigint").alias("offset"), width)
+        return F.when(seq.contains(x["word"]), F.transform(_offsets(seq, x["word"]), one)).otherwise(F.array().cast(_HIT))
+
+    return F.flatten(F.transform(known, entries))
 
 
 def _taken(places: Column, width: int) -> Column:
@@ -62,7 +81,7 @@ def hits(reads: DataFrame, patterns: list[str], strand: Strand = Strand.COMPLETE
     s = F.col(seq)
     if len(words) <= MANY_WORDS:
         some = reduce(lambda a, b: a | b, [s.contains(w) for _, w, _ in words])
-        return reads.where(some).select("*", F.inline(F.concat(*[_found(s, p, w, sign) for p, w, sign in words])))
+        return reads.where(some).select("*", F.inline(_found(s, words)))
     spark = reads.sparkSession
     table = spark.createDataFrame([(w, p, sign, len(w)) for p, w, sign in words], "__word string, pattern string, strand string, width bigint")
     out = None
@@ -91,7 +110,7 @@ def count_matches(reads: DataFrame, patterns: list[str], strand: Strand = Strand
         each = []
         for name in names:
             own = [w for p, w, _ in words if p == name]
-            places = F.array_sort(F.concat(*[F.when(s.contains(w), _offsets(s, w)).otherwise(F.array().cast("array<int>")) for w in own]))
+            places = F.array_sort(F.concat(*[F.when(s.contains(w), _offsets(s, F.lit(w))).otherwise(F.array().cast("array<int>")) for w in own]))
             each.append(F.sum(F.when(reduce(lambda a, b: a | b, [s.contains(w) for w in own]), _taken(places, len(name))).otherwise(0)))
     row = reads.agg(*[F.coalesce(e, F.lit(0)).cast("bigint").alias(f"c{i}") for i, e in enumerate(each)])
     pairs = F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(f"c{i}").alias("n")) for i, n in enumerate(names)])

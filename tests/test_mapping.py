@@ -110,6 +110,17 @@ def test_many_words_equals_few(spark):
     assert many == want
 
 
+def test_long_reads(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choices("ACGT", k=n)) for n in (2047, 2048, 2049, 3072, 5000, 30_000)] + ["A" * 4000, "C" * 2500 + "ACGTACGT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id bigint, seq string")
+    words = ["ACG", "A", "CCCCC", "TTTTTTTTT"]
+    got = sorted(map(tuple, matching.hits(df, words, Strand.SINGLE).select("pattern", "record_id", "offset").collect()))
+    assert got == sorted((w, i, o) for w in words for i, t in enumerate(texts) for o in offsets(t, w))
+    counts = {x["pattern"]: x["n"] for x in matching.count_matches(df, words, Strand.SINGLE, Overlap.NONE).collect()}
+    assert counts == {w: sum(greedy(offsets(t, w), len(w)) for t in texts) for w in words}
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, 7, 5, "4M", "ACGT", "x", 3, 9)], "record_id bigint, chrom_id bigint, pos bigint, cigar string, seq string, pattern string, offset bigint, p_min bigint")
     row = matching.locate(df, ["CG"]).first()
