@@ -24,7 +24,8 @@ def indexed_reads(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     rows = rows.join(files, "source_file_id").where("ingested_at <= sealed_at")
     rows = rows.withColumn("l_seq", F.length("seq").cast("bigint"))
     keep = dict.fromkeys(["record_id", "build_id", "chrom_id", "pos", "l_seq", *[c for c in columns if c != "seq"]])
-    return rows.select(*keep, *([dna.bases(F.col("seq")).alias("seq")] if "seq" in columns else []))
+    # As a generator's output, seq is made once a row: the optimizer would copy its expression into every test on it.
+    return rows.select(*keep, *([F.explode(F.array(dna.bases(F.col("seq")))).alias("seq")] if "seq" in columns else []))
 
 
 def with_read_ids(rows: DataFrame, spark: SparkSession, folder: str, *columns: str) -> DataFrame:
