@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import leakage, packing, reading
-from strandlake.sources.tables import table
+from strandlake.sources.tables import spread, table
 
 #: Posts of level 4 and 5: estimates are on a continuous scale.
 HARD = 3.5
@@ -32,7 +32,8 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return leakage.leaks(docs, table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +46,7 @@ def p8_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id")
     model = reading.train(docs, table(spark, folder, "reading_labels"), LEAST_WORDS)
     return reading.reading_levels(docs, model).where(F.col("own_words") >= LEAST_WORDS)
 
