@@ -3,18 +3,20 @@
 Per contig a window opens at a read that starts at l and admits the following reads while they start at or before
 l + size - 1. That is a chain, one window after another, but not one that must be walked over all reads: the text is cut
 into blocks of BLOCK window sizes, each block lists for every read at which a chain may enter it (a read that starts
-within the first window size, and the next one) where that chain leaves, and only these lists are followed per
-contig. Then each block is segmented on its own from its true entry.
+within the first window size, and the next one) where that chain leaves. Chains that enter a block at different reads soon
+run together, so few leaving points are left; only the entries that follow from those of the block before are kept, and
+only these, a few per block, are followed per contig. Then each block is segmented on its own from its true entry.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import materialize
+
 BLOCK = 64
 
 
@@ -27,7 +29,7 @@ def _chain(starts: np.ndarray, entry: int, size: int) -> list[int]:
     return out
 
 
-def _exits(size: int):
+def _exits(size: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each possible entry of a block: the start of the chain's last window in it."""
         starts = np.sort(pdf["s_start"].to_numpy())
@@ -36,9 +38,11 @@ def _exits(size: int):
         for i in range(len(starts) - 1, -1, -1):
             if following[i] < len(starts):
                 last[i] = last[following[i]]
-        base = int(pdf["block"].iloc[0]) * BLOCK * size
+        base = int(pdf["block"].iloc[0]) * width
         keep = np.arange(len(starts)) <= np.searchsorted(starts, base + size)
-        return pd.DataFrame({"build_id": pdf["build_id"].iloc[0], "chrom_id": pdf["chrom_id"].iloc[0], "block": pdf["block"].iloc[0], "entry": starts[keep], "last": last[keep]})
+        names = {k: pdf[k].iloc[0] for k in ("build_id", "chrom_id", "block")}
+        # a block whose reads all start in its first window size may be passed over by a window of an earlier block
+        return pd.DataFrame({**names, "entry": starts[keep], "last": last[keep], "sparse": bool(starts[-1] < base + size)})
 
     return run
 
@@ -73,10 +77,16 @@ def window_starts(reads: DataFrame, size: int) -> DataFrame:
 
     A block holds at most BLOCK * size / 2 reads, whatever the contig holds. An empty table gives none.
     """
-    rows = reads.select("build_id", "chrom_id", "s_start").withColumn("block", F.floor(F.col("s_start") / (BLOCK * size)).cast("bigint"))
+    width = BLOCK * size
+    rows = reads.select("build_id", "chrom_id", "s_start").withColumn("block", F.floor(F.col("s_start") / width).cast("bigint"))
     keys = ["build_id", "chrom_id", "block"]
-    exits = rows.groupBy(*keys).applyInPandas(_exits(size), "build_id bigint, chrom_id bigint, block bigint, entry bigint, last bigint")
-    entries = exits.groupBy("build_id", "chrom_id").applyInPandas(_follow(size), "build_id bigint, chrom_id bigint, block bigint, entry bigint")
+    exits = rows.groupBy(*keys).applyInPandas(_exits(size, width), "build_id bigint, chrom_id bigint, block bigint, entry bigint, last bigint, sparse boolean")
+    exits = materialize(exits, "exits")
+    left = exits.select("build_id", "chrom_id", (F.col("block") + 1).alias("block"), F.col("last").alias("__last"), F.col("sparse").alias("__sparse")).distinct()
+    follows = left.join(exits, keys).where(F.col("entry") >= F.col("__last") + size).groupBy(*keys, "__last").agg(F.min("entry").alias("entry"))
+    certain = left.where("not __sparse").select(*keys).distinct()
+    kept = exits.join(follows.select(*keys, "entry").distinct(), [*keys, "entry"], "left_semi").unionByName(exits.join(certain, keys, "left_anti")).distinct()
+    entries = kept.groupBy("build_id", "chrom_id").applyInPandas(_follow(size), "build_id bigint, chrom_id bigint, block bigint, entry bigint")
     return rows.join(entries, keys).groupBy(*keys).applyInPandas(_segment(size), "build_id bigint, chrom_id bigint, l bigint")
 
 
