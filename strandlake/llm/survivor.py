@@ -7,7 +7,7 @@ field values are estimated alternately until they settle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.session import materialize
@@ -56,12 +56,11 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
     for i in range(rounds):
         weight = F.greatest(F.log(F.col("__r") / (1 - F.col("__r"))), F.lit(0.05))
         votes = claims.join(trust, "__source").groupBy(*keys, "__field", "__value").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__k"))
-        # a group's different values are few however many rows it has: rows were counted away above
-        place = Window.partitionBy(*keys, "__field")
-        ranked = votes.withColumn("__all", F.sum("__w").over(place)).withColumn("__values", F.count(F.lit(1)).over(place)).withColumn(
-            "__rank", F.row_number().over(place.orderBy(F.round("__w", 9).desc(), F.col("__k").desc(), "__value"))
-        )
-        chosen = materialize(ranked.where("__rank = 1").select(*keys, "__field", F.col("__value").alias("__best"), "__values", (F.col("__w") / F.col("__all")).alias("__support")), "chosen")
+        # a minimum of structs, taken in part before the shuffle: a group with many different values is no window of one task
+        best = F.min(F.struct((-F.round("__w", 9)).alias("w"), (-F.col("__k")).alias("k"), F.col("__value").alias("v"), F.col("__w").alias("full")))
+        ranked = votes.groupBy(*keys, "__field").agg(best.alias("__b"), F.sum("__w").alias("__all"), F.count(F.lit(1)).alias("__values"))
+        chosen = ranked.select(*keys, "__field", F.col("__b.v").alias("__best"), "__values", (F.col("__b.full") / F.col("__all")).alias("__support"))
+        chosen = materialize(chosen, "chosen")
         if i == rounds - 1:
             break
         agree = F.sum(F.when(F.col("__value") == F.col("__best"), F.col("__n")).otherwise(0))
