@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.ordering import with_rank
+from strandlake.operators.ordering import with_rank, with_running_sum
 from strandlake.session import materialize
 
 SYMBOLS = "$ACGTN#"
@@ -112,9 +112,9 @@ def lf_mapping(sa: DataFrame) -> DataFrame:
 def occ_checkpoints(sa: DataFrame, step: int = 64) -> DataFrame:
     """text_id, checkpoint, code, n: how often each symbol stands in the BWT before row checkpoint * step."""
     per = sa.groupBy("text_id", F.floor(F.col("row") / step).cast("bigint").alias("checkpoint")).pivot("bwt", list(SYMBOLS)).count().na.fill(0)
-    earlier = Window.partitionBy("text_id").orderBy("checkpoint").rowsBetween(Window.unboundedPreceding, -1)
-    sums = [F.struct(F.lit(x).alias("code"), F.coalesce(F.sum(f"`{x}`").over(earlier), F.lit(0)).alias("n")) for x in SYMBOLS]
-    return per.withColumn("all", F.array(*sums)).select("text_id", "checkpoint", F.inline("all"))
+    each = F.array(*[F.struct(F.lit(x).alias("code"), F.col(f"`{x}`").alias("count")) for x in SYMBOLS])
+    rows = per.select("text_id", "checkpoint", F.inline(each)).withColumn("__line", F.struct("text_id", "code"))
+    return with_running_sum(rows, "__line", "checkpoint", "count", "n").select("text_id", "checkpoint", "code", "n")
 
 
 def backward_search(texts: DataFrame, sa: DataFrame, pattern: str) -> DataFrame:
