@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import materialize
+
 _SUMMARY = "value string, n bigint, delta bigint, bound bigint, seen bigint"
 
 
@@ -66,18 +68,14 @@ def lossy_counts(df: DataFrame, column: str, epsilon: float = 0.0005) -> DataFra
     if not 0 < epsilon < 1:
         raise ValueError("epsilon must be in (0, 1)")
     parts = df.select(F.col(column).cast("string").alias("value")).mapInArrow(_summarise(epsilon), _SUMMARY)
+    parts = materialize(parts, "summaries")
+    tasks = parts.where("value is null").agg(F.sum("bound").alias("bound"), F.sum("seen").alias("seen")).first()
+    bounds, total = tasks["bound"] or 0, tasks["seen"] or 0
     # An entry brings (delta - bound) of its own task; the tasks' bounds are added for all tasks once.
-    merged = parts.groupBy("value").agg(
-        F.sum("n").alias("n"), F.sum(F.col("delta") - F.col("bound")).alias("less"), F.sum("bound").alias("bounds"), F.sum("seen").alias("seen")
-    )
-    tasks = merged.where("value is null").select(F.col("bounds").alias("all_bounds"), F.col("seen").alias("total"))
-    # tasks has one row: the cross join only adds two constants
-    return (
-        merged.where("value is not null")
-        .crossJoin(F.broadcast(tasks))
-        .where(F.col("n") + F.col("less") + F.col("all_bounds") > F.col("total") * epsilon)
-        .select("value", "n", (F.col("less") + F.col("all_bounds")).alias("undercount"), "total")
-    )
+    merged = parts.where("value is not null").groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("delta") - F.col("bound")).alias("less"))
+    undercount = F.col("less") + bounds
+    kept = merged.where(F.col("n") + undercount > total * epsilon)
+    return kept.select("value", "n", undercount.alias("undercount"), F.lit(total).cast("bigint").alias("total"))
 
 
 def frequent_values(df: DataFrame, column: str, share: float, epsilon: float | None = None) -> DataFrame:
