@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import materialize
+
 #: How partial results of each kind are made and put together.
 _PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "count_distinct": F.sum}
@@ -22,9 +24,9 @@ def heavy_keys(df: DataFrame, key: str, heavy_share: float = 0.01) -> list:
     """The keys, null left out, with at least heavy_share of the rows; at most 1 / heavy_share values."""
     if not 0 < heavy_share <= 1:
         raise ValueError("heavy_share must be in (0, 1]")
-    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    rows = counts.crossJoin(F.broadcast(total)).where((F.col("__n") >= heavy_share * F.col("__total")) & F.col("__key").isNotNull())
+    counts = materialize(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    rows = counts.where((F.col("__n") >= heavy_share * total) & F.col("__key").isNotNull())
     return [r["__key"] for r in rows.select("__key").collect()]
 
 

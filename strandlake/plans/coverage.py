@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar, dna
 from strandlake.operators.intervals import interval_gaps, merge_intervals
 from strandlake.operators.skew import salted_aggregate
+from strandlake.session import materialize
 from strandlake.sources.tables import contig_names, included_reads, resolve_chrom, table
 
 ENTITY = ["origin", "source_file_id", "chrom_id"]
@@ -43,9 +44,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     out = None
     for name, df in _sides(spark, folder):
         counts = salted_aggregate(df.select("chrom_id", "record_id"), "chrom_id", {"n": ("count", F.lit(1))}, ["record_id"])
-        total = counts.agg(F.sum("n").alias("total"))
-        # one row beside a handful of counts: the only side of this join with more than a row is per contig
-        part = counts.crossJoin(F.broadcast(total)).where("chrom_id is not null and n * 100 >= total * 5")
+        counts = materialize(counts, "contig_counts")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        part = counts.where((F.col("n") * 100 >= total * 5) & F.col("chrom_id").isNotNull())
         part = part.select(F.lit(name).alias("in_table"), F.col("chrom_id").cast("bigint").alias("chrom_id"))
         out = part if out is None else out.unionByName(part)
     return out
