@@ -45,19 +45,30 @@ def p8_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.without_leaks(docs, p8_leaks(spark, folder)).select("doc_id")
 
 
+def _levels(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """Levels of docs by the model fitted on the graded English posts. Without own words there is no prose to judge: score
+    and level are then null."""
+    english = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id")
+    model = reading.train(english, table(spark, folder, "reading_labels"), LEAST_WORDS)
+    rows = reading.reading_levels(spread(docs.select("doc_id", "text"), "doc_id"), model)
+    judged = F.col("own_words") > 0
+    return rows.select("doc_id", "own_words", *[F.when(judged, F.col(c)).alias(c) for c in ("score", "level")])
+
+
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id")
-    model = reading.train(docs, table(spark, folder, "reading_labels"), LEAST_WORDS)
-    return reading.reading_levels(docs, model).where(F.col("own_words") >= LEAST_WORDS)
+    """Every post with its own words and level, whatever its language and length."""
+    return _levels(spark, folder, table(spark, folder, "documents"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p9_levels(spark, folder).where(F.col("level") >= HARD).select("doc_id")
+    """Of the English posts with enough own prose, the hard ones."""
+    rows = _levels(spark, folder, table(spark, folder, "documents").where("lang = 'en'"))
+    return rows.where((F.col("own_words") >= LEAST_WORDS) & (F.col("level") >= HARD)).select("doc_id")
 
 
 def p9_boards(spark: SparkSession, folder: str) -> DataFrame:
-    """Per board: posts with enough own English prose, their mean level and the share of hard ones."""
+    """Per board: all its posts, how many have own prose and so a level, their mean level and the share of hard ones."""
     boards = table(spark, folder, "documents").select("doc_id", "source")
     return p9_levels(spark, folder).join(boards, "doc_id").groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_posts"), F.avg("level").alias("mean_level"), F.avg((F.col("level") >= HARD).cast("double")).alias("hard_share")
+        F.count(F.lit(1)).alias("n_posts"), F.count("level").alias("n_levels"), F.avg("level").alias("mean_level"), F.avg((F.col("level") >= HARD).cast("double")).alias("hard_share")
     )
