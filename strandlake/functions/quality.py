@@ -6,9 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def filled(qual: Column) -> Column:
-    """255 (missing) becomes 0."""
-    return F.transform(qual, lambda q: F.when(q == 255, 0).otherwise(q))
+def filled(qual: Column, length: Column | None = None) -> Column:
+    """255 (missing) becomes 0. With a length, so many values come out: a null array, null elements and an absent tail are
+    0 too."""
+    if length is None:
+        return F.transform(qual, lambda q: F.when(q == 255, 0).otherwise(q))
+    n = length.cast("int")
+    given = F.coalesce(qual, F.array().cast("array<int>"))
+    padded = F.slice(F.concat(given, F.array_repeat(F.lit(0), F.greatest(n - F.size(given), F.lit(0)))), F.lit(1), n)
+    return F.transform(padded, lambda q: F.when(q.isNull() | (q == 255), 0).otherwise(q))
 
 
 def binned(qual: Column, bins: int) -> Column:

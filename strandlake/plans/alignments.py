@@ -548,3 +548,25 @@ def reconstruct_streams(spark: SparkSession, folder: str) -> DataFrame:
 def reconstruct_read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """A request list is the operator's argument: order and repetitions are kept."""
     return records.reconstruct(_full(spark, folder), read_ids=[5, 3, 3, 40])
+
+
+def _full_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """The records with all four streams: qual of the length of seq, missing values as 0, and aux as it came."""
+    rows = records.indexed_reads(spark, folder, "seq", "qname", "flag", "mapq", "cigar", "qual", "aux")
+    rows = rows.withColumn("qual", quality.filled(F.col("qual"), F.col("l_seq")))
+    return _named(rows, spark, folder).select("read_id", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "aux")
+
+
+@query
+def reconstruct_all_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return records.reconstruct(_full_streams(spark, folder))
+
+
+@query
+def reconstruct_streams_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return records.reconstruct(_full_streams(spark, folder), ["map"])
+
+
+@query
+def reconstruct_read_ids_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return records.reconstruct(_full_streams(spark, folder), read_ids=[5, 3, 3, 40])
