@@ -570,3 +570,44 @@ def reconstruct_streams_whole(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def reconstruct_read_ids_whole(spark: SparkSession, folder: str) -> DataFrame:
     return records.reconstruct(_full_streams(spark, folder), read_ids=[5, 3, 3, 40])
+
+
+# --- qualities of every read, as many as it has bases
+
+
+def _whole_qualities(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records.indexed_reads(spark, folder, "qual")
+    return rows.select("record_id", quality.filled(F.col("qual"), F.col("l_seq")).alias("qual"))
+
+
+@query
+def qual_fill_missing_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole_qualities(spark, folder)
+
+
+@query
+def qual_lossy_bin_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole_qualities(spark, folder).select("record_id", quality.binned(F.col("qual"), 8).alias("qual"))
+
+
+@query
+def qual_rans_delta_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole_qualities(spark, folder).select("record_id", quality.delta(F.col("qual")).alias("qual"))
+
+
+@query
+def qual_rans_undelta_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole_qualities(spark, folder).select("record_id", quality.undelta(quality.delta(F.col("qual"))).alias("qual"))
+
+
+@query
+def qual_cycle_transpose_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole_qualities(spark, folder).select("record_id", quality.cycle_order(F.col("qual"), 10).alias("qual"))
+
+
+@query
+def quality_postfilter_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches on reads of mean quality 20 or more over all bases; a base without a value counts as 0."""
+    reads = records.indexed_reads(spark, folder, "seq", "cigar", "qual")
+    total = F.aggregate(quality.filled(F.col("qual"), F.col("l_seq")), F.lit(0).cast("bigint"), lambda s, q: s + q)
+    return _report(matching.locate(reads.where(total >= 20 * F.col("l_seq")), ["ACGT", "TTAGGG"]), spark, folder)

@@ -73,7 +73,7 @@ class ReadIndex:
         for name, default in (("build_id", F.lit(0).cast("bigint")), ("record_id", F.xxhash64("source_file_id", "bam_offset", "qname", "flag", "mapq", "cigar", "seq"))):
             if name not in kept.columns:
                 kept = kept.withColumn(name, default)
-        qual = quality.binned(quality.filled(F.col("qual")), config.quality_bins or (8 if config.quality_codec == "BINNED_RANGE" else 0))
+        qual = quality.binned(quality.filled(F.col("qual"), F.length("seq")), config.quality_bins or (8 if config.quality_codec == "BINNED_RANGE" else 0))
         kept = kept.withColumn("seq", dna.bases(F.col("seq"))).withColumn("qual", qual).withColumn("l_seq", F.length("seq").cast("bigint")).withColumn("span", cigar.ref_span(F.col("cigar")))
         kept = kept.select(*[c for c in _READ_COLUMNS if c not in ("read_id", "s_start")]).withColumn("__width", F.col("l_seq") + 1)
         placed = ordering.with_rank_and_sum(kept, ordering.ORDER, "read_id", "build_id", "__width", "s_start")
