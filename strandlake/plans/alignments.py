@@ -611,3 +611,19 @@ def quality_postfilter_whole(spark: SparkSession, folder: str) -> DataFrame:
     reads = records.indexed_reads(spark, folder, "seq", "cigar", "qual")
     total = F.aggregate(quality.filled(F.col("qual"), F.col("l_seq")), F.lit(0).cast("bigint"), lambda s, q: s + q)
     return _report(matching.locate(reads.where(total >= 20 * F.col("l_seq")), ["ACGT", "TTAGGG"]), spark, folder)
+
+
+# --- absolute positions
+
+
+@query
+def abs_pos_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """The position of every read, from the deltas."""
+    return map_delta_decode(spark, folder)
+
+
+@query
+def abs_pos_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The reads with an absolute entry: the first of every contig in a build."""
+    first = _ordered(spark, folder).groupBy("build_id", "chrom_id").agg(F.min(F.struct("read_id", "pos")).alias("first"))
+    return first.select("first.read_id", "build_id", "chrom_id", "first.pos")

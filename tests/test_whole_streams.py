@@ -57,3 +57,12 @@ def test_filled(spark):
 
     df = spark.createDataFrame([(0, None, 3), (1, [255, None, 7], 3), (2, [9], 3), (3, [], 0)], "i int, q array<int>, n bigint")
     assert {x[0]: x[1] for x in df.select("i", quality.filled(df.q, df.n)).collect()} == {0: [0, 0, 0], 1: [0, 0, 7], 2: [9, 0, 0], 3: []}
+
+
+def test_absolute_positions(spark, data, given):
+    assert {x["read_id"]: x["pos"] for x in alignments.abs_pos_dense(spark, data).collect()} == {i: x["pos"] for i, x in given.items()}
+    want, last = [], None
+    for i, b, c, p in connect(data).sql("SELECT read_id, build_id, chrom_id, pos FROM ordered_reads ORDER BY read_id").fetchall():
+        want += [(i, b, c, p)] if (b, c) != last else []
+        last = b, c
+    assert sorted(map(tuple, alignments.abs_pos_sparse(spark, data).collect())) == want
