@@ -123,10 +123,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    """For every read delivered twice or more, the field values that truth discovery supports most; sources are the
-    source files."""
-    reads = _deliveries(spark, folder, "source_file_id", "cigar").where("name is not null")
+    """For every read delivered twice or more, the values of mapq, qual, flag, pos and cigar that truth discovery supports
+    most; sources are the source files. An array of qualities is claimed by its hash and joined back; one without a usable
+    value claims nothing."""
+    reads = _deliveries(spark, folder, "source_file_id", "cigar", "qual").where("name is not null")
     again = reads.groupBy("name", "mate").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "mate")
     reads = reads.withColumn("mapq", dna.usable_mapq(F.col("mapq"))).withColumn("cigar", F.when(F.col("cigar") != "*", F.col("cigar")))
-    reads = materialize(reads.join(again, ["name", "mate"], "left_semi").select("name", "mate", "source_file_id", "mapq", "pos", "cigar"), "deliveries")
-    return survivor.truth_discovery(reads, ["name", "mate"], "source_file_id", ["mapq", "pos", "cigar"])
+    reads = reads.withColumn("qual", F.when(F.exists("qual", lambda q: q.between(0, 93)), F.col("qual"))).withColumn("qual_hash", F.when(F.col("qual").isNotNull(), F.xxhash64("qual")).cast("string"))
+    reads = reads.join(again, ["name", "mate"], "left_semi").select("name", "mate", "source_file_id", "mapq", "pos", "cigar", "flag", "qual", "qual_hash")
+    reads = materialize(reads, "deliveries")
+    best = survivor.truth_discovery(reads, ["name", "mate"], "source_file_id", ["mapq", "pos", "cigar", "flag", "qual_hash"])
+    arrays = reads.where("qual is not null").groupBy("name", "mate", "qual_hash").agg(F.min("qual").alias("qual"))
+    return best.join(arrays, ["name", "mate", "qual_hash"], "left").drop("qual_hash").withColumnRenamed("qual_hash_support", "qual_support")
