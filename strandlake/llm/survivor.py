@@ -33,12 +33,14 @@ def survivors(df: DataFrame, keys: list[str], winners: dict[str, tuple[Column |
     return best.where(F.col("n") >= least).select(*keys, "n", *[F.col(f"{name}.report").alias(name) for name in winners])
 
 
-def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[str], rounds: int = 10, tolerance: float = 1e-3) -> DataFrame:
-    """keys and, per field, the value with the highest support and its share of the support (name and name_support).
+def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[str], rounds: int = 50, tolerance: float = 1e-3) -> DataFrame:
+    """keys and, per field, the value with the highest support and its share of the support (name and name_support), and
+    settled: whether the reliabilities came to rest.
 
     A source's reliability is the smoothed share of its contested claims (of a group's field with different values; the
     others tell nothing) that agree with the current choice; a claim votes with the log odds of its source's reliability (at least a little, so that no source is silenced). Votes and reliabilities
-    are estimated in turn until no reliability moves by more than `tolerance`, at most `rounds` times.
+    are estimated in turn until no reliability moves by more than `tolerance`; `rounds` is a bound for safety, and if it is
+    reached first, settled is false in every row.
 
     Claims are first counted per (group, field, value, source), with partial counts before the shuffle. Ties go to the
     value more sources claim and then to the smaller value as text. Null values claim nothing: a field nobody claims is
@@ -52,8 +54,8 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
     claims = claims.dropna(subset=[*keys, "__source", "__value"])
     claims = materialize(claims.groupBy(*keys, "__field", "__value", "__source").agg(F.count(F.lit(1)).alias("__n")), "claims")
     trust = claims.select("__source").distinct().withColumn("__r", F.lit(0.8))
-    chosen = None
-    for i in range(rounds):
+    chosen, settled = None, False
+    for _ in range(rounds):
         weight = F.greatest(F.log(F.col("__r") / (1 - F.col("__r"))), F.lit(0.05))
         votes = claims.join(trust, "__source").groupBy(*keys, "__field", "__value").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__k"))
         # a minimum of structs, taken in part before the shuffle: a group with many different values is no window of one task
@@ -61,17 +63,15 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
         ranked = votes.groupBy(*keys, "__field").agg(best.alias("__b"), F.sum("__w").alias("__all"), F.count(F.lit(1)).alias("__values"))
         chosen = ranked.select(*keys, "__field", F.col("__b.v").alias("__best"), "__values", (F.col("__b.full") / F.col("__all")).alias("__support"))
         chosen = materialize(chosen, "chosen")
-        if i == rounds - 1:
-            break
         agree = F.sum(F.when(F.col("__value") == F.col("__best"), F.col("__n")).otherwise(0))
         fresh = claims.join(chosen.where("__values > 1"), [*keys, "__field"]).groupBy("__source").agg(((agree + 4) / (F.sum("__n") + 5)).alias("__new"))
-        both = materialize(trust.join(fresh, "__source", "left").withColumn("__new", F.coalesce("__new", "__r")), "trust")
+        both = materialize(trust.join(fresh, "__source", "left").withColumn("__new", F.least(F.coalesce("__new", "__r"), F.lit(0.999))), "trust")
         moved = both.agg(F.max(F.abs(F.col("__new") - F.col("__r")))).first()[0]
-        trust = both.select("__source", F.least(F.col("__new"), F.lit(0.999)).alias("__r"))
-        if moved is None or moved <= tolerance:
+        trust = both.select("__source", F.col("__new").alias("__r"))
+        if settled := moved is None or moved <= tolerance:
             break
     out = df.select(*keys).dropna().distinct()
     wide = chosen.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__field") == f, F.col(c))).alias(n) for f in fields for c, n in (("__best", f), ("__support", f"{f}_support"))]
     )
-    return out.join(wide, keys, "left")
+    return out.join(wide, keys, "left").withColumn("settled", F.lit(settled))
