@@ -281,8 +281,11 @@ def region_count_pruned(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def batch_region_motif_count(spark: SparkSession, folder: str) -> DataFrame:
     regions = spark.createDataFrame(REGIONS, "region string, chrom string, start bigint, end bigint").join(_contigs(spark, folder), "chrom")
-    regions = regions.join(table(spark, folder, "contigs").select("chrom_id", "contig_length"), "chrom_id").withColumn("end", F.least("end", F.col("contig_length") + 100_000))
-    return matching.region_batch(matching.locate(_aligned(spark, folder), MOTIFS), regions)
+    # an open region ends at the last match of its contig, so that its bins are bounded and no match is lost
+    found = materialize(matching.locate(_aligned(spark, folder), MOTIFS).select("pattern", "chrom_id", "p_min", "p_max"), "matches")
+    last = found.groupBy("chrom_id").agg(F.max("p_max").alias("last"))
+    regions = regions.join(last, "chrom_id").withColumn("end", F.least("end", "last")).where("start <= end")
+    return matching.region_batch(found, regions)
 
 
 @query
