@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import leakage, packing, reading
-from strandlake.sources.tables import spread, table
+from strandlake.sources.tables import table
 
 #: Posts of level 4 and 5: estimates are on a continuous scale.
 HARD = 3.5
@@ -32,7 +32,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return leakage.leaks(docs, table(spark, folder, "eval_items"))
 
 
@@ -48,9 +48,9 @@ def p8_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
 def _levels(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
     """Levels of docs by the model fitted on the graded English posts. Without own words there is no prose to judge: score
     and level are then null."""
-    english = spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id")
+    english = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
     model = reading.train(english, table(spark, folder, "reading_labels"), LEAST_WORDS)
-    rows = reading.reading_levels(spread(docs.select("doc_id", "text"), "doc_id"), model)
+    rows = reading.reading_levels(docs.select("doc_id", "text"), model)
     judged = F.col("own_words") > 0
     return rows.select("doc_id", "own_words", *[F.when(judged, F.col(c)).alias(c) for c in ("score", "level")])
 
