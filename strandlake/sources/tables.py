@@ -12,14 +12,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """df, a plain scan, over all cores: unchanged where it has as many partitions as there are cores. Fewer mean a small
-    file that Parquet can't split (its row groups); only then are its rows moved, by hash so that a task run again gets
-    the same ones."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
-
-
 def chrom_key(chrom: Column) -> Column:
     """The form in which contig names are compared: without outer blanks, in lower case."""
     return F.lower(F.trim(chrom))
@@ -50,6 +42,4 @@ def included_reads(spark: SparkSession, folder: str, *columns: str) -> DataFrame
     raw = table(spark, folder, "reads_raw")
     if columns:
         raw = raw.select(*dict.fromkeys([*columns, "flag", "pos", "chrom"]))
-    if {"seq", "qual"} & {*columns} and "record_id" in columns:
-        raw = spread(raw, "record_id")
     return resolve_chrom(included(raw), contig_names(spark, folder))
