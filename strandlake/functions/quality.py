@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def filled(qual: Column, length: Column | None = None) -> Column:
@@ -30,13 +34,30 @@ def delta(qual: Column) -> Column:
     return F.transform(qual, lambda q, i: F.when(i == 0, q).otherwise(F.pmod(q - F.get(qual, i - 1) + 128, F.lit(256))))
 
 
-def undelta(coded: Column) -> Column:
-    """Inverse of delta, each value held within 0 .. 93."""
-    def step(out: Column, d: Column) -> Column:
-        value = F.when(F.size(out) == 0, d).otherwise(F.get(out, F.size(out) - 1) + d - 128)
-        return F.concat(out, F.array(F.greatest(F.lit(0), F.least(F.lit(93), value)).cast("int")))
-
-    return F.aggregate(coded, F.array().cast("array<int>"), step)
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def undelta(coded: pa.Array) -> pa.Array:
+    """Inverse of delta: running sums, each value after the first held within 0 .. 93 before the next is added to it. A null
+    difference changes nothing; a null array stays null. Sums of all arrays are taken at once; only an array in which a
+    value leaves the range is walked value by value."""
+    sizes = pc.fill_null(pc.list_value_length(coded), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = pc.fill_null(coded.flatten(), 128).to_numpy(zero_copy_only=False).astype(np.int64) - 128
+    ends = np.cumsum(sizes)
+    begins = (ends - sizes)[sizes > 0]
+    step[begins] += 128
+    total = np.cumsum(step)
+    out = total - np.repeat(np.concatenate(([0], total))[begins], sizes[sizes > 0])
+    wrong = (out < 0) | (out > 93)
+    wrong[begins] = False
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for i in np.unique(owner[wrong]):
+        value, held = 0, []
+        for k, d in enumerate(step[ends[i] - sizes[i] : ends[i]].tolist()):
+            value = d if k == 0 else min(93, max(0, value + d))
+            held.append(value)
+        out[ends[i] - sizes[i] : ends[i]] = held
+    offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+    mask = coded.is_null() if coded.null_count else None
+    return pa.ListArray.from_arrays(offsets, pa.array(out, pa.int32()), mask=mask)
 
 
 def cycle_order(qual: Column, period: int) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.mapping import with_match_interval
+from strandlake.functions.mapping import match_intervals, with_match_interval
 from strandlake.functions.patterns import Region, orientations, parse
 from strandlake.operators.ordering import with_rank
 from strandlake.schema import EngineError, ErrorCode, Overlap, Strand
@@ -39,14 +39,21 @@ def _offsets(seq: Column, word: Column) -> Column:
     """Starts of the word in seq, which contains it. substr() counts characters from the start, so a long sequence is
     searched in overlapping blocks of LONG bases, each only if it contains the word."""
 
-    def inside(start: Column) -> Column:
-        block = seq.substr(start + 1, F.length(word) + (LONG - 1))
-        return F.when(block.contains(word), F.transform(_places(block, word), lambda i: i + start)).otherwise(F.array().cast("array<int>"))
+    # each block is made once, as an element of an array: an expression inside a lambda would be made for every place
+    cut = F.transform(F.sequence(F.lit(0), F.length(seq) - 1, F.lit(LONG)), lambda start: F.struct(start.alias("start"), seq.substr(start + 1, F.length(word) + (LONG - 1)).alias("bases")))
 
-    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.length(seq) - 1, F.lit(LONG)), inside))
+    def inside(block: Column) -> Column:
+        found = F.transform(_places(block["bases"], word), lambda i: i + block["start"])
+        return F.when(block["bases"].contains(word), found).otherwise(F.array().cast("array<int>"))
+
+    blocks = F.flatten(F.transform(cut, inside))
     return F.when(F.length(seq) <= 2 * LONG, _places(seq, word)).otherwise(blocks)
 
 
+def _any(seq: Column, words: list[tuple[str, str, str]]) -> Column:
+    return reduce(lambda a, b: a | b, [seq.contains(w) for _, w, _ in words])
+
+
 def _found(seq: Column, words: list[tuple[str, str, str]]) -> Column:
     """The occurrences of all words in a read, as an array of _HIT entries: one expression over a constant list of words,
     so that the plan doesn't grow with their number."""
@@ -80,8 +87,7 @@ def hits(reads: DataFrame, patterns: list[str], strand: Strand = Strand.COMPLETE
     reads = reads.drop("pattern", "strand", "offset", "width")
     s = F.col(seq)
     if len(words) <= MANY_WORDS:
-        some = reduce(lambda a, b: a | b, [s.contains(w) for _, w, _ in words])
-        return reads.where(some).select("*", F.inline(_found(s, words)))
+        return reads.where(_any(s, words)).select("*", F.inline(_found(s, words)))
     spark = reads.sparkSession
     table = spark.createDataFrame([(w, p, sign, len(w)) for p, w, sign in words], "__word string, pattern string, strand string, width bigint")
     out = None
@@ -131,7 +137,17 @@ def locate(reads: DataFrame, patterns: list[str], strand: Strand = Strand.COMPLE
     reads: record_id, chrom_id, pos, cigar, seq. sa_key orders matches of one read as a suffix array over the build's text
     would ($ < A < C < G < T < N < #): no two suffixes of a read are equal before its separator.
     """
-    found = with_match_interval(hits(reads.drop("p_min", "p_max", "sa_key"), patterns, strand))
+    reads = reads.drop("p_min", "p_max", "sa_key", "pattern", "strand", "offset", "width")
+    words = _words(patterns, strand)
+    if len(words) <= MANY_WORDS:
+        s = F.col("seq")
+        # as a generator's output a read's matches are made once, and placed together: long reads hold many
+        held = reads.where(_any(s, words)).select("*", F.explode(F.array(_found(s, words))).alias("__hits"))
+        held = held.withColumn("__ends", match_intervals(F.col("cigar"), F.col("pos"), F.col("__hits")))
+        both = F.zip_with("__hits", "__ends", lambda h, e: F.struct(*[h[c].alias(c) for c in ("pattern", "strand", "offset", "width")], *[e[c].alias(c) for c in ("p_min", "p_max")]))
+        found = held.select(*reads.columns, F.inline(both))
+    else:
+        found = with_match_interval(hits(reads, patterns, strand))
     key = F.concat(F.translate(F.col("seq").substr((F.col("offset") + 1).cast("int"), F.length("seq")), "ACGTN", "ABCDE"), F.lit("F"))
     return found.withColumn("sa_key", key).drop("seq", "cigar", "width")
 

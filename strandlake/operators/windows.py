@@ -134,12 +134,12 @@ def read_at(positions: DataFrame, reads: DataFrame, bin_width: int = 4096) -> Da
     to the latest read start at or before them.
 
     Both sides meet in bins: a read is listed in every bin that its bases and separator touch, so the join is an equality
-    join that a hot build doesn't gather in one task. Positions outside the text are dropped.
+    join that a hot build doesn't gather in one task. Positions outside the text are dropped; the text ends with the bases
+    of the build's last read, which no separator follows. Positions in a row each are kept; null ones match nothing.
     """
+    ends = reads.groupBy("build_id").agg(F.max(F.col("s_start") + F.col("l_seq")).alias("__end"))  # one row per build
     touched = F.sequence(F.floor(F.col("s_start") / bin_width), F.floor((F.col("s_start") + F.col("l_seq")) / bin_width))
     right = reads.select("build_id", "read_id", "s_start", "l_seq", F.explode(touched).alias("__bin"))
-    left = positions.withColumn("__bin", F.floor(F.col("s_pos") / bin_width))
+    left = positions.join(ends, "build_id").where(F.col("s_pos") < F.col("__end")).withColumn("__bin", F.floor(F.col("s_pos") / bin_width))
     joined = left.join(right, ["build_id", "__bin"]).where("s_pos >= s_start and s_pos <= s_start + l_seq")
     return joined.select(*positions.columns, "read_id", (F.col("s_pos") - F.col("s_start")).alias("offset"), (F.col("s_pos") == F.col("s_start") + F.col("l_seq")).alias("is_separator"))
-
-

@@ -315,11 +315,10 @@ def reads_without_motif(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def quality_postfilter(spark: SparkSession, folder: str) -> DataFrame:
-    """Matches on reads of mean quality 20 or more; missing values count as 0."""
+    """Matches on reads of mean quality 20 or more over all bases; a base without a value counts as 0."""
     reads = records.indexed_reads(spark, folder, "seq", "cigar", "qual")
-    total = F.aggregate(quality.filled(F.col("qual")), F.lit(0).cast("bigint"), lambda s, q: s + q)
-    found = matching.locate(reads.where(F.size("qual") > 0), ["ACGT", "TTAGGG"]).where(total >= 20 * F.size("qual"))
-    return _report(found, spark, folder)
+    total = F.aggregate(quality.filled(F.col("qual"), F.col("l_seq")), F.lit(0).cast("bigint"), lambda s, q: s + q)
+    return _report(matching.locate(reads.where(total >= 20 * F.col("l_seq")), ["ACGT", "TTAGGG"]), spark, folder)
 
 
 @query
@@ -377,14 +376,22 @@ def map_delta_decode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def abs_pos_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Absolute positions of the reads that begin a block of the directory, from the deltas."""
-    return map_delta_decode(spark, folder).where(F.col("read_id") % 1024 == 0)
+def abs_pos_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """The position of every read, from the deltas."""
+    return map_delta_decode(spark, folder)
+
+
+@query
+def abs_pos_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The reads with an absolute entry: the first of every contig in a build."""
+    first = _ordered(spark, folder).groupBy("build_id", "chrom_id").agg(F.min(F.struct("read_id", "pos")).alias("first"))
+    return first.select("first.read_id", "build_id", "chrom_id", "first.pos")
 
 
 def _qualities(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records.indexed_reads(spark, folder, "qual").where("qual is not null and not exists(qual, x -> x is null)")
-    return rows.select("record_id", quality.filled(F.col("qual")).alias("qual"))
+    """Of every read as many values as it has bases: null arrays, null elements, 255 and an absent tail are 0."""
+    rows = records.indexed_reads(spark, folder, "qual")
+    return rows.select("record_id", quality.filled(F.col("qual"), F.col("l_seq")).alias("qual"))
 
 
 @query
@@ -418,12 +425,28 @@ def qual_block_directory(spark: SparkSession, folder: str) -> DataFrame:
     return records.block_directory(rows, F.greatest(F.coalesce(F.size("qual"), F.lit(0)), F.lit(0)).cast("bigint"))
 
 
-@query
-def meta_codec(spark: SparkSession, folder: str) -> DataFrame:
-    """Size of every record's packed metadata."""
+def _meta(spark: SparkSession, folder: str, codec: str) -> DataFrame:
     rows = records.indexed_reads(spark, folder, "flag", "cigar", "aux")
     cig = F.when(F.col("cigar") != "*", F.col("cigar")).otherwise("")
-    return rows.select("record_id", F.octet_length(codecs.meta_bytes(F.col("flag"), cig, F.col("aux"))).cast("bigint").alias("n_bytes"))
+    return rows.select("record_id", codecs.meta_bytes(F.col("flag"), cig, F.col("aux"), codec).alias("packed"))
+
+
+@query
+def meta_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every record's packed metadata, in both layouts."""
+    split, fixed = (_meta(spark, folder, c).select("record_id", F.octet_length("packed").cast("bigint").alias(n)) for c, n in (("TYPED_SPLIT", "n_bytes"), ("ZSTD_FALLBACK", "n_fixed")))
+    return split.join(fixed, "record_id")
+
+
+@query
+def meta_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Flag, CIGAR and aux back from the packed metadata."""
+    return _meta(spark, folder, "TYPED_SPLIT").select("record_id", codecs.meta_fields(F.col("packed")).alias("m")).select("record_id", "m.*")
+
+
+@query
+def meta_decode_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _meta(spark, folder, "ZSTD_FALLBACK").select("record_id", codecs.meta_fields(F.col("packed"), "ZSTD_FALLBACK").alias("m")).select("record_id", "m.*")
 
 
 # --- suffix arrays, on the texts of seq_bundles
@@ -499,7 +522,14 @@ def mtf_encode(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def rle_encode(spark: SparkSession, folder: str) -> DataFrame:
     rows = fm.suffix_array(_texts(spark, folder)).select("text_id", "row", "bwt")
-    return codecs.run_lengths(rows, ["text_id"], "row", "bwt").select("text_id", F.col("run").cast("bigint").alias("run"), "symbol", "n")
+    return codecs.run_lengths(rows, ["text_id"], "row", "bwt")
+
+
+@query
+def seq_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of the transformed text, packed to bytes and unpacked again."""
+    rows = fm.suffix_array(_texts(spark, folder)).select("text_id", "row", "bwt")
+    return codecs.unpacked_blocks(codecs.packed_blocks(rows, ["text_id"], "row", "bwt"), ["text_id"])
 
 
 @query
@@ -527,14 +557,27 @@ def index_info(spark: SparkSession, folder: str) -> DataFrame:
     return per.join(n, "build_id")
 
 
+@query
+def verify_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The same checks on a damaged order: a position 0, a length 0, a text place moved, an unknown contig (which
+    also breaks the order) and a read that is missing."""
+    rows = _ordered(spark, folder)
+    hit = lambda n: F.col("read_id") == n
+    rows = rows.where(~hit(30)).withColumn("pos", F.when(hit(4), 0).otherwise(F.col("pos")).cast("bigint"))
+    rows = rows.withColumn("l_seq", F.when(hit(9), 0).otherwise(F.col("l_seq")).cast("bigint")).withColumn("s_start", F.when(hit(15), F.col("s_start") + 3).otherwise(F.col("s_start")))
+    rows = rows.withColumn("chrom_id", F.when(hit(20), 999).otherwise(F.col("chrom_id")).cast("bigint"))
+    return records.invariants(rows, table(spark, folder, "contigs"))
+
+
 @query
 def verify_invariants(spark: SparkSession, folder: str) -> DataFrame:
     return records.invariants(_ordered(spark, folder), table(spark, folder, "contigs"))
 
-
 def _full(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records.indexed_reads(spark, folder, "seq", "qname", "flag", "mapq", "cigar")
-    return _named(rows, spark, folder).select("read_id", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq")
+    """The records with all four streams: qual as many values as bases, missing ones 0, and aux as it came."""
+    rows = records.indexed_reads(spark, folder, "seq", "qname", "flag", "mapq", "cigar", "qual", "aux")
+    rows = rows.withColumn("qual", quality.filled(F.col("qual"), F.col("l_seq")))
+    return _named(rows, spark, folder).select("read_id", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "aux")
 
 
 @query
@@ -548,85 +591,12 @@ def reconstruct_streams(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def reconstruct_read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """A request list is the operator's argument: order and repetitions are kept."""
-    return records.reconstruct(_full(spark, folder), read_ids=[5, 3, 3, 40])
-
-
-def _full_streams(spark: SparkSession, folder: str) -> DataFrame:
-    """The records with all four streams: qual of the length of seq, missing values as 0, and aux as it came."""
-    rows = records.indexed_reads(spark, folder, "seq", "qname", "flag", "mapq", "cigar", "qual", "aux")
-    rows = rows.withColumn("qual", quality.filled(F.col("qual"), F.col("l_seq")))
-    return _named(rows, spark, folder).select("read_id", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "aux")
-
-
-@query
-def reconstruct_all_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return records.reconstruct(_full_streams(spark, folder))
+def reconstruct_qual_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """The other half of the streams: bases blanked, no place."""
+    return records.reconstruct(_full(spark, folder), ["qual", "meta"])
 
 
 @query
-def reconstruct_streams_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return records.reconstruct(_full_streams(spark, folder), ["map"])
-
-
-@query
-def reconstruct_read_ids_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return records.reconstruct(_full_streams(spark, folder), read_ids=[5, 3, 3, 40])
-
-
-# --- qualities of every read, as many as it has bases
-
-
-def _whole_qualities(spark: SparkSession, folder: str) -> DataFrame:
-    rows = records.indexed_reads(spark, folder, "qual")
-    return rows.select("record_id", quality.filled(F.col("qual"), F.col("l_seq")).alias("qual"))
-
-
-@query
-def qual_fill_missing_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_qualities(spark, folder)
-
-
-@query
-def qual_lossy_bin_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_qualities(spark, folder).select("record_id", quality.binned(F.col("qual"), 8).alias("qual"))
-
-
-@query
-def qual_rans_delta_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_qualities(spark, folder).select("record_id", quality.delta(F.col("qual")).alias("qual"))
-
-
-@query
-def qual_rans_undelta_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_qualities(spark, folder).select("record_id", quality.undelta(quality.delta(F.col("qual"))).alias("qual"))
-
-
-@query
-def qual_cycle_transpose_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_qualities(spark, folder).select("record_id", quality.cycle_order(F.col("qual"), 10).alias("qual"))
-
-
-@query
-def quality_postfilter_whole(spark: SparkSession, folder: str) -> DataFrame:
-    """Matches on reads of mean quality 20 or more over all bases; a base without a value counts as 0."""
-    reads = records.indexed_reads(spark, folder, "seq", "cigar", "qual")
-    total = F.aggregate(quality.filled(F.col("qual"), F.col("l_seq")), F.lit(0).cast("bigint"), lambda s, q: s + q)
-    return _report(matching.locate(reads.where(total >= 20 * F.col("l_seq")), ["ACGT", "TTAGGG"]), spark, folder)
-
-
-# --- absolute positions
-
-
-@query
-def abs_pos_dense(spark: SparkSession, folder: str) -> DataFrame:
-    """The position of every read, from the deltas."""
-    return map_delta_decode(spark, folder)
-
-
-@query
-def abs_pos_sparse(spark: SparkSession, folder: str) -> DataFrame:
-    """The reads with an absolute entry: the first of every contig in a build."""
-    first = _ordered(spark, folder).groupBy("build_id", "chrom_id").agg(F.min(F.struct("read_id", "pos")).alias("first"))
-    return first.select("first.read_id", "build_id", "chrom_id", "first.pos")
+def reconstruct_read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """A request list is the operator's argument: order and repetitions are kept."""
+    return records.reconstruct(_full(spark, folder), read_ids=[5, 3, 3, 40])

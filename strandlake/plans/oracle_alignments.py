@@ -81,14 +81,16 @@ _WINDOWS = f"""WITH RECURSIVE {SCOPE}, {_GREEDY_WINDOWS}, lastr AS (SELECT build
    arg_min(w.pos, w.read_id) AS genomic_start, CAST(max(w.pos + greatest({_SPAN} - 1, 0)) AS BIGINT) AS genomic_end
    FROM rw w JOIN rd USING (record_id) JOIN lastr ON lastr.build_id = w.build_id GROUP BY w.build_id, w.chrom_id, l)"""
 
-_FILL = "list_transform(qual, lambda q: CASE WHEN q = 255 THEN 0 ELSE q END)"
-_QUAL = f"WITH {SCOPE}, ql AS (SELECT record_id, {_FILL} AS qual FROM rd WHERE qual IS NOT NULL AND list_count(qual) = len(qual))"
+_FILL = "list_transform(range(1, l_seq + 1), lambda i: CASE WHEN qual[i] IS NULL OR qual[i] = 255 THEN 0 ELSE qual[i] END)"
+_QUAL = f"WITH {SCOPE}, ql AS (SELECT record_id, {_FILL} AS qual FROM rd)"
 
 _SA = """WITH sx AS (SELECT bundle_id AS text_id, unnest(range(0, length(s) + 1)) AS s_pos, s FROM seq_bundles),
  sa AS (SELECT text_id, s_pos, row_number() OVER (PARTITION BY text_id ORDER BY translate(substr(s, s_pos + 1), 'ACGTN#', 'BCDEFG')) - 1 AS row,
    CASE WHEN s_pos = length(s) THEN '$' ELSE substr(s, s_pos + 1, 1) END AS code, CASE WHEN s_pos = 0 THEN '$' ELSE substr(s, s_pos, 1) END AS bwt FROM sx)"""
 _CODES = "(VALUES ('$', 0), ('A', 1), ('C', 2), ('G', 3), ('T', 4), ('N', 5), ('#', 6)) AS k(code, ord)"
 
+#: Bytes of a number with seven bits a byte.
+_VARINT = "(1 + " + " + ".join(f"CAST({{v}} >= {1 << 7 * k} AS BIGINT)" for k in range(1, 6)) + ")"
 _BEFORE = "CAST(coalesce(sum(n) OVER (PARTITION BY {} ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)"
 
 _regions = ", ".join(f"('{r}', '{c}', {a}, {b})" for r, c, a, b in REGIONS)
@@ -141,16 +143,18 @@ ORACLES = {
     "count_rollup": f"WITH {_hits(['TTAGGG'])} SELECT chrom_id, strand, count(*) AS n FROM hit GROUP BY ROLLUP (chrom_id, strand)",
     "reads_containing": f"WITH {_hits(['ACGT', 'TTAGGG', 'GATTACA'], Strand.SINGLE)} SELECT pattern, count(DISTINCT record_id) AS n_reads, count(*) AS n, count(*) / count(DISTINCT record_id) AS ratio FROM hit GROUP BY 1",
     "reads_without_motif": f"WITH {SCOPE} SELECT record_id FROM rd WHERE NOT contains(seq, 'ACGT')",
-    "quality_postfilter": f"WITH {_located(['ACGT', 'TTAGGG'])} {_REPORT} WHERE len(qual) > 0 AND list_sum({_FILL}) >= 20 * len(qual)",
+    "quality_postfilter": f"WITH {_located(['ACGT', 'TTAGGG'])} {_REPORT} WHERE list_sum({_FILL}) >= 20 * l_seq",
     "repeated_deliveries": "SELECT source_file_id, bam_offset, count(*) AS n, min(record_id) AS first_id, max(record_id) AS last_id FROM reads_raw GROUP BY 1, 2 HAVING count(*) > 1",
     "windows_table": f"{_WINDOWS} SELECT * FROM wt",
     "window_prune_candidates": f"{_WINDOWS} SELECT * FROM wt WHERE chrom_id = 27 AND genomic_start <= 9000 AND genomic_end >= 1000",
     "read_to_window": f"WITH RECURSIVE {_GREEDY_WINDOWS} SELECT read_id, build_id, l AS window_start FROM rw",
     "text_place_to_read": f"""WITH {_hits(['TTAGGG'])} SELECT build_id, s_start + off AS s_pos, read_id, off AS "offset", false AS is_separator FROM hit
-      UNION ALL SELECT build_id, s_start + l_seq, read_id, l_seq, true FROM ordered_reads""",
+      UNION ALL SELECT build_id, s_start + l_seq, read_id, l_seq, true FROM ordered_reads
+      WHERE read_id NOT IN (SELECT max(read_id) FROM ordered_reads GROUP BY build_id)""",
     "map_delta_encode": "SELECT read_id, pos - coalesce(lag(pos) OVER (PARTITION BY build_id, chrom_id ORDER BY read_id), 0) AS delta FROM ordered_reads",
     "map_delta_decode": "SELECT read_id, pos FROM ordered_reads",
-    "abs_pos_table": "SELECT read_id, pos FROM ordered_reads WHERE read_id % 1024 = 0",
+    "abs_pos_dense": "SELECT read_id, pos FROM ordered_reads",
+    "abs_pos_sparse": "SELECT read_id, build_id, chrom_id, pos FROM ordered_reads QUALIFY row_number() OVER (PARTITION BY build_id, chrom_id ORDER BY read_id) = 1",
     "qual_fill_missing": f"{_QUAL} SELECT * FROM ql",
     "qual_lossy_bin": f"{_QUAL} SELECT record_id, list_transform(qual, lambda q: CAST(least(93, (q // 11) * 11 + 5) AS INTEGER)) AS qual FROM ql",
     "qual_rans_delta": f"{_QUAL} SELECT record_id, list_transform(qual, lambda q, i: CASE WHEN i = 1 THEN q ELSE CAST((q - qual[i - 1] + 128 + 256) % 256 AS INTEGER) END) AS qual FROM ql",
@@ -170,10 +174,29 @@ ORACLES = {
     "backward_search": f"{_SA} SELECT text_id, coalesce(min(row) FILTER (WHERE substr(s, s_pos + 1, 4) = 'ACGT'), 0) AS lo, coalesce(max(row + 1) FILTER (WHERE substr(s, s_pos + 1, 4) = 'ACGT'), 0) AS hi FROM sa JOIN sx USING (text_id, s_pos) GROUP BY 1",
     "text_from_bwt": "SELECT bundle_id AS text_id, unnest(range(1, len(l) + 1)) AS read_idx, unnest(l) AS seq FROM (SELECT bundle_id, string_split(s, '#') AS l FROM seq_bundles)",
     "rle_encode": f"{_SA}, d AS (SELECT *, CASE WHEN lag(bwt) OVER (PARTITION BY text_id ORDER BY row) = bwt THEN 0 ELSE 1 END AS x FROM sa), r AS (SELECT *, sum(x) OVER (PARTITION BY text_id ORDER BY row) - 1 AS run FROM d) SELECT text_id, CAST(run AS BIGINT) AS run, bwt AS symbol, count(*) AS n FROM r GROUP BY ALL",
+    "mtf_encode": f"""{_SA}, x AS (SELECT text_id, row, bwt, {', '.join(f"coalesce(max(row) FILTER (WHERE bwt = '{c}') OVER w, {-1 - i}) AS e{i}" for i, c in enumerate('ACGTN#'))} FROM sa
+        WINDOW w AS (PARTITION BY text_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      p AS (SELECT *, CASE bwt {' '.join(f"WHEN '{c}' THEN e{i}" for i, c in enumerate('ACGTN#'))} END AS e FROM x WHERE bwt <> '$')
+      SELECT text_id, row // 65536 AS block, count(*) AS n, list(CAST({' + '.join(f'CAST(e{i} > e AS BIGINT)' for i in range(6))} AS BIGINT) ORDER BY row) AS places FROM p GROUP BY ALL""",
+    "seq_codec": f"{_SA} SELECT text_id, row // 65536 AS block, string_agg(bwt, '' ORDER BY row) AS symbols FROM sa GROUP BY ALL",
+    "meta_codec": f"""WITH {SCOPE}, o AS (SELECT record_id, aux, regexp_extract_all(CASE WHEN cigar <> '*' THEN cigar ELSE '' END, '[0-9]+[MIDNSHP=X]') AS l FROM rd),
+      v AS (SELECT record_id, coalesce(octet_length(aux), 0) AS a, len(l) AS n, list_transform(l, lambda x: CAST(x[:-2] AS BIGINT) * 16 + strpos('MIDNSHP=X', x[-1:]) - 1) AS vs FROM o)
+      SELECT record_id, CAST(2 + {_VARINT.format(v='n')} + coalesce(list_sum(list_transform(vs, lambda x: {_VARINT.format(v='x')})), 0) + a AS BIGINT) AS n_bytes, CAST(12 + 5 * n + a AS BIGINT) AS n_fixed FROM v""",
+    **{name: f"WITH {SCOPE} SELECT record_id, flag, CASE WHEN cigar <> '*' THEN cigar ELSE '' END AS cigar, coalesce(aux, ''::BLOB) AS aux FROM rd" for name in ("meta_decode", "meta_decode_fixed")},
     "bundle_reads": "SELECT bundle_id, unnest(range(0, len(l))) AS read_idx, unnest(l) AS seq FROM (SELECT bundle_id, string_split(s, '#') AS l FROM seq_bundles)",
     "index_info": f"{_WINDOWS}, per AS (SELECT build_id, count(*) AS n_reads, CAST(sum(l_seq) + count(*) - 1 AS BIGINT) AS s_length, count(DISTINCT chrom_id) AS n_contigs_with_reads, count(DISTINCT source_file_id) AS n_files, min(l_seq) AS shortest, max(l_seq) AS longest FROM ordered_reads GROUP BY 1) SELECT per.*, n_windows FROM per JOIN (SELECT build_id, count(*) AS n_windows FROM wt GROUP BY 1) USING (build_id)",
+    "verify_damaged": """WITH d AS (SELECT read_id, build_id, source_file_id, bam_offset, record_id, CASE WHEN read_id = 20 THEN 999 ELSE chrom_id END AS chrom_id, CASE WHEN read_id = 4 THEN 0 ELSE pos END AS pos,
+        CASE WHEN read_id = 9 THEN 0 ELSE l_seq END AS l_seq, CASE WHEN read_id = 15 THEN s_start + 3 ELSE s_start END AS s_start FROM ordered_reads WHERE read_id <> 30),
+      x AS (SELECT d.*, b.read_id AS before, b.build_id AS bb, b.read_id IS NOT NULL AND (b.build_id, b.chrom_id, b.pos, b.source_file_id, b.bam_offset, b.record_id) > (d.build_id, d.chrom_id, d.pos, d.source_file_id, d.bam_offset, d.record_id) AS back, b.s_start + b.l_seq + 1 AS due
+        FROM d LEFT JOIN d b ON b.read_id = d.read_id - 1),
+      s AS (SELECT count(*) FILTER (WHERE before IS NULL AND read_id <> 0) AS dense_ids, count(*) FILTER (WHERE back) AS "order", count(*) FILTER (WHERE s_start <> CASE WHEN bb = build_id THEN due ELSE 0 END) AS text_places,
+        count(*) FILTER (WHERE chrom_id NOT IN (SELECT chrom_id FROM contigs)) AS contigs, count(*) FILTER (WHERE pos < 1) AS positions, count(*) FILTER (WHERE l_seq < 1) AS lengths FROM x)
+      UNPIVOT s ON COLUMNS(*) INTO NAME "check" VALUE bad""",
     "verify_invariants": "SELECT unnest(['dense_ids', 'order', 'text_places', 'contigs', 'positions', 'lengths']) AS \"check\", CAST(0 AS BIGINT) AS bad",
-    "reconstruct_all": f"WITH {SCOPE} SELECT read_id, qname, flag, chrom, pos, mapq, cigar, seq FROM rd",
-    "reconstruct_streams": f"WITH {SCOPE} SELECT read_id, qname, CAST(0 AS BIGINT) AS flag, chrom, pos, mapq, CAST(l_seq AS VARCHAR) || 'M' AS cigar, repeat('N', l_seq) AS seq FROM rd",
-    "reconstruct_read_ids": f"WITH {SCOPE}, w AS (SELECT unnest([5, 3, 3, 40]) AS read_id, CAST(unnest(range(0, 4)) AS BIGINT) AS request) SELECT read_id, request, qname, flag, chrom, pos, mapq, cigar, seq FROM rd JOIN w USING (read_id)",
+    **{name: f"WITH {SCOPE} SELECT read_id, qname, {flag} AS flag, {chrom} AS chrom, {pos} AS pos, mapq, {cig} AS cigar, {seq} AS seq, {qual} AS qual, {aux} AS aux FROM rd" for name, (flag, chrom, pos, cig, seq, qual, aux) in {
+        "reconstruct_all": ("flag", "chrom", "pos", "cigar", "seq", _FILL, "aux"),
+        "reconstruct_streams": ("CAST(0 AS BIGINT)", "chrom", "pos", "CAST(l_seq AS VARCHAR) || 'M'", "repeat('N', l_seq)", "list_transform(range(0, l_seq), lambda i: CAST(255 AS INTEGER))", "CAST(NULL AS BLOB)"),
+        "reconstruct_qual_meta": ("flag", "CAST(NULL AS VARCHAR)", "CAST(0 AS BIGINT)", "cigar", "repeat('N', l_seq)", _FILL, "aux"),
+    }.items()},
+    "reconstruct_read_ids": f"WITH {SCOPE}, w AS (SELECT unnest([5, 3, 3, 40]) AS read_id, CAST(unnest(range(0, 4)) AS BIGINT) AS request) SELECT read_id, request, qname, flag, chrom, pos, mapq, cigar, seq, {_FILL} AS qual, aux FROM rd JOIN w USING (read_id)",
 }

@@ -155,3 +155,27 @@ def test_reverse_complement(spark):
 
     rows = spark.createDataFrame([("acgtn",), ("ACRT",), ("*",), ("",), (None,)], "s string").select(bases(F.col("s")).alias("b")).withColumn("r", reverse_complement(F.col("b"))).collect()
     assert [tuple(x) for x in rows] == [("ACGTN", "NACGT"), ("ACNT", "ANGT"), (None, None), (None, None), (None, None)]
+
+
+def test_long_cigar(spark):
+    """100,000 operations in one read and matches all over it, in time that grows with their number only."""
+    import time
+
+    r = random.Random(9)
+    ops = [(r.randint(1, 9), "M" if k % 2 == 0 else r.choice("IDN")) for k in range(100_000)]
+    seq = "".join(r.choices("ACGT", k=sum(k for k, o in ops if o in "MI")))
+    row = (1, 1, 0, 1000, "".join(f"{k}{o}" for k, o in ops), seq)
+    df = spark.createDataFrame([row, (2, 2, 0, 7, None, "ACGTACGT"), (3, 3, 0, 7, "3M", "ACGTACGT")], "record_id bigint, read_id bigint, chrom_id bigint, pos bigint, cigar string, seq string")
+    began = time.time()
+    got = sorted(tuple(x) for x in matching.locate(df, ["ACGT"]).select("record_id", "offset", "p_min", "p_max").collect())
+    assert time.time() - began < 30
+    spots, ref = [], 1000
+    for k, o in ops:
+        for _ in range(k):
+            if o == "M":
+                spots.append((ref, ref))
+            elif o == "I":
+                spots.append((ref - 1, ref))  # every insertion here stands between two aligned operations
+            ref += o != "I"
+    want = [(1, o, min(spots[o][0], spots[o + 3][1]), max(spots[o][0], spots[o + 3][1])) for o in offsets(seq, "ACGT")]
+    assert got == want + [(2, 0, 7, 7), (2, 4, 7, 7), (3, 0, 7, 7), (3, 4, 7, 7)]

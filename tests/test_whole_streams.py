@@ -20,13 +20,13 @@ def given(data):
 
 
 def test_reconstruct_streams_and_aux(spark, data, given):
-    rows = alignments.reconstruct_all_whole(spark, data).collect()
+    rows = alignments.reconstruct_all(spark, data).collect()
     assert sorted(x["read_id"] for x in rows) == sorted(given)
     assert all(x["qual"] == given[x["read_id"]]["qual"] and x["aux"] == given[x["read_id"]]["aux"] for x in rows)
     assert any(x["aux"] for x in rows)
-    blank = alignments.reconstruct_streams_whole(spark, data).collect()
+    blank = alignments.reconstruct_streams(spark, data).collect()
     assert all(x["qual"] == [255] * len(x["seq"]) and x["aux"] is None for x in blank) and len(blank) == len(given)
-    asked = sorted(alignments.reconstruct_read_ids_whole(spark, data).collect(), key=lambda x: x["request"])
+    asked = sorted(alignments.reconstruct_read_ids(spark, data).collect(), key=lambda x: x["request"])
     assert [x["read_id"] for x in asked] == [5, 3, 3, 40]
     assert all(x["qual"] == given[x["read_id"]]["qual"] and x["aux"] == given[x["read_id"]]["aux"] for x in asked)
 
@@ -35,11 +35,11 @@ def test_qualities_of_every_read(spark, data, given):
     """missing is 0 and the length that of seq; no read is left out."""
     want = {x["record_id"]: x["qual"] for x in given.values()}
     got = lambda q: {x["record_id"]: x["qual"] for x in q(spark, data).collect()}
-    assert got(alignments.qual_fill_missing_whole) == want
-    assert got(alignments.qual_lossy_bin_whole) == {i: [min(93, v // 11 * 11 + 5) for v in q] for i, q in want.items()}
-    assert got(alignments.qual_rans_delta_whole) == {i: [v if not k else (v - q[k - 1] + 128) % 256 for k, v in enumerate(q)] for i, q in want.items()}
-    assert got(alignments.qual_rans_undelta_whole) == want
-    assert got(alignments.qual_cycle_transpose_whole) == {i: [q[k] for k in sorted(range(len(q)), key=lambda k: (k % 10, k))] for i, q in want.items()}
+    assert got(alignments.qual_fill_missing) == want
+    assert got(alignments.qual_lossy_bin) == {i: [min(93, v // 11 * 11 + 5) for v in q] for i, q in want.items()}
+    assert got(alignments.qual_rans_delta) == {i: [v if not k else (v - q[k - 1] + 128) % 256 for k, v in enumerate(q)] for i, q in want.items()}
+    assert got(alignments.qual_rans_undelta) == want
+    assert got(alignments.qual_cycle_transpose) == {i: [q[k] for k in sorted(range(len(q)), key=lambda k: (k % 10, k))] for i, q in want.items()}
 
 
 def test_mean_quality_over_all_bases(spark, data, given):
@@ -47,7 +47,7 @@ def test_mean_quality_over_all_bases(spark, data, given):
     good = {i for i, x in given.items() if sum(x["qual"]) >= 20 * len(x["qual"])}
     short = {i for i, x in given.items() if i not in good and x["raw"] and sum(0 if v in (None, 255) else v for v in x["raw"]) >= 20 * len(x["raw"])}
     every = alignments._report(alignments.matching.locate(alignments._aligned(spark, data), ["ACGT", "TTAGGG"]), spark, data).collect()
-    got = alignments.quality_postfilter_whole(spark, data).collect()
+    got = alignments.quality_postfilter(spark, data).collect()
     assert sorted(map(tuple, got)) == sorted(tuple(x) for x in every if x["read_id"] in good)
     assert not short & {x["read_id"] for x in got}
 
