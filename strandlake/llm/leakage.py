@@ -1,9 +1,11 @@
 """Evaluation passages inside a training corpus, by suffix arrays over the corpus.
 
-The corpus is read once, in shards of about SHARD_WORDS words that a task holds at a time. For each shard the suffixes of
-its word sequence are sorted by their first `least` words (the depth that matters: a shorter match is no case); every
-suffix of every test item is then binary-searched in the shard, for all items at once, and hits that continue each other
-are joined into the longest verbatim matches with their places. Documents are never split between shards.
+The corpus is read once, in shards of about SHARD_WORDS words that a task holds at a time. Of each shard and the test items
+one suffix array is made, by prefix doubling over the words: after the ranks of the first `least` words only suffixes that
+share them with another are ranked further, until a round tells nothing new. Every corpus suffix that shares `least` words
+with an item is then binary-searched among the item's suffixes; its neighbours there hold the longest match, whose length
+is read from the ranks of the rounds. So a place of a document costs one search per item that it matches, however often
+the words repeat in either: pairs of suffixes are never listed. Documents are never split between shards.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_WORDS = 600_000
-#: Test items are given to the tasks in blocks of at most this many characters; the corpus is read once per block.
-BLOCK_CHARS = 8_000_000
+#: Test items are sent to the executors in blocks of at most this many characters; the corpus is read once per block, that
+#: is once for all usual test sets.
+BLOCK_CHARS = 64_000_000
 
 #: What is no word and doesn't interrupt a run: tags (also when a quote mark stands inside them), brackets, entities.
 _MARKUP = re.compile(r'<[^<>\0]*>(?:[\s>]*[a-z]+="[^"<>\0]*"\s*/?>)?|\[[^\[\]\0]*\]|&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{1,30});')
@@ -34,87 +38,148 @@ def words(texts: list[str]) -> list[str]:
     return _WORD.findall(_MARKUP.sub(" ", whole))
 
 
-def _windows(ids: np.ndarray, bits: int, least: int) -> list[np.ndarray]:
-    """For every start, the next `least` ids packed into 64-bit keys, most significant first."""
-    per = 64 // bits
-    n = len(ids) - least + 1
-    keys = []
-    for a in range(0, least, per):
-        key = np.zeros(n, np.uint64)
-        for j in range(a, min(a + per, least)):
-            key = key << np.uint64(bits) | ids[j : j + n]
-        keys.append(key)
-    return keys
-
-
-def _bound(keys: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
-    """Binary search of want[i] in keys[low[i]:high[i]], all at once."""
-    low, high = low.copy(), high.copy()
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
-        mid = (low + high) >> 1
-        at = keys[np.minimum(mid, len(keys) - 1)]
-        up = open_ & ((at <= want) if right else (at < want))
-        low = np.where(up, mid + 1, low)
-        high = np.where(open_ & ~up, mid, high)
-
-
 class _Tests:
-    """The word sequence of the test items and the starts of all their suffixes of at least `least` words."""
+    """The word sequence of the test items, each word with its item and its place in it."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids = np.array([i for i, _ in items], np.int64)
         self.tokens = words([t for _, t in items])
         stop = np.array([t == "\0" for t in self.tokens], bool)
-        ends = np.flatnonzero(stop)
-        begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-        starts = [np.arange(b, e - least + 1) for b, e in zip(begins, ends)]
-        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.item = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
-        self.place = self.starts - begins[self.item] if len(self.starts) else self.starts
+        self.item = np.cumsum(stop) - stop
+        self.begin = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1)) if stop.any() else np.zeros(0, np.int64)
+
+
+def _dense(*keys: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of the tuples of keys, most significant first; equal tuples share one."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+class _Suffixes:
+    """Suffixes of a word sequence, ranked by their first least, 2 least, 4 least, ... words.
+
+    Every text must end with a word that occurs once, so that no match runs over it. Only the suffixes whose first `least`
+    words occur again are held, in `at`; levels[k] has their ranks by the first least * 2^k words, the last level the full
+    order. A suffix that isn't held is like no other; its place in the order is known by its first words.
+    """
+
+    def __init__(self, ids: np.ndarray, least: int):
+        n = len(ids)
+        padded = np.concatenate((ids, np.zeros(least, np.int64)))
+        bits = max(1, int(ids.max()).bit_length())
+        per, keys = 63 // bits, []
+        for a in range(0, least, per):
+            key = np.zeros(n, np.int64)
+            for j in range(a, min(a + per, least)):
+                key = key << bits | padded[j : j + n]
+            keys.append(key)
+        rank = _dense(*keys)
+        again = np.bincount(rank)[rank] > 1
+        self.ids, self.least, self.at = ids, least, np.flatnonzero(again)
+        self.levels, width = [rank[self.at]], least
+        self.where = np.full(n + 1, -1, np.int64)
+        self.where[self.at] = np.arange(len(self.at))
+        rank = np.append(rank, -1)
+        while len(self.at):
+            last = self.levels[-1]
+            spot = np.minimum(self.at + width, n)
+            behind = self.where[spot]
+            fresh = _dense(last, rank[spot], np.where(behind >= 0, last[np.maximum(behind, 0)], 0))
+            self.levels.append(fresh)
+            if fresh.max() == len(self.at) - 1:
+                break
+            width *= 2
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of words that the held suffixes a[i] and b[i] (places in `at`), which share their first words, have in
+        common."""
+        n = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            x, y = self._go(a, n), self._go(b, n)
+            same = (x >= 0) & (y >= 0)
+            same[same] = self.levels[k][x[same]] == self.levels[k][y[same]]
+            n[same] += self.least << k
+        live = np.ones(len(a), bool)
+        for _ in range(self.least):  # fewer than `least` words are left
+            p, q = self.at[a] + n, self.at[b] + n
+            live &= (p < len(self.ids)) & (q < len(self.ids))
+            live[live] = self.ids[p[live]] == self.ids[q[live]]
+            if not live.any():
+                break
+            n[live] += 1
+        return n
+
+    def _go(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.where[np.minimum(self.at[a] + n, len(self.ids))]
 
 
 def _search_shard(doc_ids: list[int], texts: list[str], tests: _Tests, least: int) -> list[np.ndarray]:
-    """Columns of the maximal matches: item, doc (both as numbers in their lists), item_word, doc_word, n_words."""
+    """Columns of the matches: item, doc (both as numbers in their lists), item_word, doc_word, n_words."""
+    none = [np.zeros(0, np.int64)] * 5
     tokens = words(texts)
     vocabulary: dict[str, int] = defaultdict()
     vocabulary.default_factory = lambda: len(vocabulary) + 1
     vocabulary["\0"]
-    ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.uint64, len(tokens))
-    test_ids = np.fromiter((vocabulary.get(t, 0) for t in tests.tokens), np.uint64, len(tests.tokens))
-    if len(ids) < least or not len(tests.starts):
-        return [np.zeros(0, np.int64)] * 5
-    bits = int(len(vocabulary) + 1).bit_length()
-    keys = _windows(ids, bits, least)
-    suffixes = np.lexsort(keys[::-1])
-    known = np.add.accumulate(np.concatenate(([0], test_ids == 0)))
-    usable = np.flatnonzero(known[tests.starts + least] == known[tests.starts])
-    want = [k[tests.starts[usable]] for k in _windows(test_ids, bits, least)]
-    low, high = np.zeros(len(usable), np.int64), np.full(len(usable), len(suffixes))
-    for key, w in zip(keys, want):
-        ordered = key[suffixes]
-        low, high = _bound(ordered, w, low, high, False), _bound(ordered, w, low, high, True)
+    corpus = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
+    test = np.fromiter((vocabulary.get(t, 0) for t in tests.tokens), np.int64, len(tests.tokens))
+    if len(corpus) < least or len(test) < least:
+        return none
+    # ends of texts, and words of items that no document of the shard has, break runs: each is a word of its own
+    ids = np.concatenate((test, corpus))
+    breaks = ids <= 1
+    ids[breaks] = len(vocabulary) + 1 + np.arange(int(breaks.sum()))
+    s = _Suffixes(ids, least)
+    if not len(s.at):
+        return none
+    n_test, size = len(test), len(s.at)
+    first, full = s.levels[0], s.levels[-1]
+    own = np.flatnonzero(s.at < n_test)
+    theirs = np.flatnonzero(s.at >= n_test)
+    # (first words, item): which items hold the words that a corpus suffix begins with
+    item = tests.item[s.at[own]]
+    pairs = np.unique(np.stack([first[own], item]), axis=1) if len(own) else np.zeros((2, 0), np.int64)
+    low, high = np.searchsorted(pairs[0], first[theirs], "left"), np.searchsorted(pairs[0], first[theirs], "right")
     n = high - low
-    test = np.repeat(usable, n)
-    corpus = suffixes[np.repeat(low, n) + np.arange(len(test)) - np.repeat(np.cumsum(n) - n, n)]
-    ends = np.flatnonzero(ids == 1)
-    doc = np.searchsorted(ends, corpus)
-    place = corpus - np.concatenate(([0], ends[:-1] + 1))[doc]
-    item, at = tests.item[test], tests.place[test]
-    order = np.lexsort((at, place - at, doc, item))
-    item, doc, at, place = item[order], doc[order], at[order], place[order]
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    return [item[first], doc[first], at[first], place[first], np.diff(np.append(first, len(item))) + least - 1]
-
-
-def _search(items: list[tuple[int, str]], least: int):
+    place = np.repeat(theirs, n)
+    if not len(place):
+        return none
+    which = pairs[1][np.repeat(low, n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
+    # the corpus suffix among the item's suffixes: the nearest below and above share most with it
+    line = item * (size + 1) + full[own]
+    order = np.argsort(line, kind="stable")
+    line, members = line[order], own[order]
+    spot = np.searchsorted(line, which * (size + 1) + full[place], "left")
+    above, below = members[np.minimum(spot, len(members) - 1)], members[np.maximum(spot - 1, 0)]
+    long = [np.where((tests.item[s.at[m]] == which) & (first[m] == first[place]), s.common(place, m), 0) for m in (below, above)]
+    best, count = np.where(long[0] >= long[1], below, above), np.maximum(*long)
+    ends = np.flatnonzero(corpus == 1)
+    at = s.at[place] - n_test
+    doc = np.searchsorted(ends, at)
+    begin = np.concatenate(([0], ends[:-1] + 1))[doc]
+    # a match that ends where the one before it in the document ends is a part of that one
+    order = np.lexsort((at, doc, which))
+    which, doc, at, begin, count, best = (x[order] for x in (which, doc, at, begin, count, best))
+    new = np.ones(len(at), bool)
+    new[1:] = (which[1:] != which[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] + count[1:] > at[:-1] + count[:-1])
+    which, doc, at, begin, count, best = (x[new] for x in (which, doc, at, begin, count, best))
+    return [which, doc, s.at[best] - tests.begin[which], at - begin, count]
+
+
+_indexed: dict[int, _Tests] = {}
+
+
+def _search(items: Broadcast, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = _Tests(items, least)
-        item_ids = np.array(tests.ids, np.int64)
+        key = id(items.value)  # a worker that is used again has the items' words already
+        if key not in _indexed:
+            _indexed.clear()
+            _indexed[key] = _Tests(items.value)
+        tests = _indexed[key]
         docs: list[int] = []
         texts: list[str] = []
         chars = 0
@@ -122,7 +187,7 @@ def _search(items: list[tuple[int, str]], least: int):
         def search() -> pa.RecordBatch:
             nonlocal chars
             item, doc, at, place, n = _search_shard(docs, texts, tests, least)
-            cols = [item_ids[item] if len(item) else item, np.array(docs, np.int64)[doc] if len(doc) else doc, at, place, n]
+            cols = [tests.ids[item] if len(item) else item, np.array(docs, np.int64)[doc] if len(doc) else doc, at, place, n]
             docs.clear(), texts.clear()
             chars = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in _SPAN.split(", ")])
@@ -140,21 +205,24 @@ def _search(items: list[tuple[int, str]], least: int):
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
-    """item_id, doc_id, item_word, doc_word, n_words: the maximal runs of at least `least` consecutive words of an item
-    that stand in a document, with their word offsets.
+    """item_id, doc_id, item_word, doc_word, n_words: the stretches of a document that stand in an item too, word for word
+    and at least `least` words long: for every place of the document the longest match that begins there, but for those
+    that lie in the one before. item_word is a place of the item that has it. Offsets count words.
 
     docs: doc_id, text; items: item_id, text. Words are runs of letters and digits in lower case; tags, bracketed parts,
     entities, punctuation and line breaks neither are words nor interrupt a run. Null ids or texts match nothing; items
     below `least` words match nothing; repeated documents and items are each reported; empty tables give no rows; other
-    columns are dropped. Items are a stated query set: they are searched in blocks of BLOCK_CHARS characters against all
-    documents, so what a task is given is bounded.
+    columns are dropped. Items are a stated query set: they are sent out as broadcast variables of at most BLOCK_CHARS
+    characters (more only if one item is longer), of which the driver holds one at a time, and searched against all
+    documents.
     """
+    context = docs.sparkSession.sparkContext
     rows = items.select("item_id", "text").where("item_id is not null and text is not null")
     corpus = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     out, block, size = None, [], 0
 
     def flush(done: list[tuple[int, str]]) -> DataFrame:
-        found = corpus.mapInArrow(_search(done, least), _SPAN)
+        found = corpus.mapInArrow(_search(context.broadcast(done), least), _SPAN)
         return found if out is None else out.unionByName(found)
 
     for r in rows.orderBy("item_id").toLocalIterator():

@@ -61,4 +61,14 @@ P8_FOUND = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE tex
 
 P8_CLEAN = f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P8_FOUND}))"
 
-ORACLES |= {"p7_found": P7_FOUND, "p8_found": P8_FOUND, "p8_clean_documents": P8_CLEAN}
+P8_LEAKS = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+ i AS (SELECT item_id, {_TOKENS} AS w FROM eval_items WHERE text IS NOT NULL),
+ dw AS (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM d)),
+ iw AS (SELECT item_id, q, array_to_string(w[q:q + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS q FROM i)),
+ h AS (SELECT item_id, doc_id, p, q, p - row_number() OVER (PARTITION BY item_id, doc_id, p - q ORDER BY p) AS island FROM dw JOIN iw USING (g)),
+ e AS (SELECT item_id, doc_id, p, max(p) OVER (PARTITION BY item_id, doc_id, p - q, island) + 12 AS stop FROM h),
+ m AS (SELECT item_id, doc_id, p, max(stop) AS stop FROM e GROUP BY ALL),
+ n AS (SELECT *, stop > coalesce(max(stop) OVER (PARTITION BY item_id, doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM m)
+ SELECT item_id, doc_id, count(*) AS n_spans, max(stop - p) AS longest FROM n WHERE fresh GROUP BY 1, 2"""
+
+ORACLES |= {"p8_leaks": P8_LEAKS, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p8_clean_documents": P8_CLEAN}
