@@ -72,3 +72,8 @@ P8_LEAKS = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE tex
  SELECT item_id, doc_id, count(*) AS n_spans, max(stop - p) AS longest FROM n WHERE fresh GROUP BY 1, 2"""
 
 ORACLES |= {"p8_leaks": P8_LEAKS, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p8_clean_documents": P8_CLEAN}
+
+_QUAL_SUM = f"""{INCLUDED}, v AS (SELECT chrom_id, list_sum(list_filter(qual, lambda q: q BETWEEN 0 AND 93)) AS v FROM inc WHERE qual IS NOT NULL)"""
+P2_RANK_ERROR = f"""WITH {_QUAL_SUM} SELECT chrom_id, pct, count(*) AS n, true AS contains, true AS within FROM v, (SELECT CAST(unnest([10, 25, 50, 75, 90]) AS BIGINT) AS pct) GROUP BY ALL"""
+
+ORACLES |= {"p2_rank_error": P2_RANK_ERROR, "p2_compression": "SELECT true AS compressed, true AS open, true AS bounded"}

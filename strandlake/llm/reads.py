@@ -38,16 +38,26 @@ def p1_shared_amount(spark: SparkSession, folder: str) -> DataFrame:
     return p1_found(spark, folder).groupBy("rec_kind", "rec_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(size).alias("shared_bases"), F.max(size).alias("longest"))
 
 
+def _digests(spark: SparkSession, folder: str, keys: list[str], bits: int = BITS, epsilon: float = EPSILON) -> DataFrame:
+    """Digests of every usable mapq and of every element 0 .. 93 of qual of the included reads, made in one pass each."""
+    rest = [k for k in keys if k not in ("metric", "chrom_id")]
+    sides = []
+    for metric, value, last in (("mapq", dna.usable_mapq(F.col("mapq")), None), ("qual", F.col("qual"), 93)):
+        rows = included_reads(spark, folder, metric, *rest).withColumn("metric", F.lit(metric))
+        sides.append(qdigest.digest(rows, keys, value, bits, epsilon, last))
+    return sides[0].unionByName(sides[1])
+
+
 def _values(spark: SparkSession, folder: str) -> DataFrame:
-    """metric, chrom_id, source_file_id, v: every usable mapq, every element 0 .. 93 of qual, of the included reads."""
-    mapq = included_reads(spark, folder, "mapq", "source_file_id").select(F.lit("mapq").alias("metric"), "chrom_id", "source_file_id", dna.usable_mapq(F.col("mapq")).alias("v"))
-    qual = included_reads(spark, folder, "qual", "source_file_id").select(F.lit("qual").alias("metric"), "chrom_id", "source_file_id", F.explode("qual").alias("v"))
+    """metric, chrom_id, v: the values themselves."""
+    mapq = included_reads(spark, folder, "mapq").select(F.lit("mapq").alias("metric"), "chrom_id", dna.usable_mapq(F.col("mapq")).alias("v"))
+    qual = included_reads(spark, folder, "qual").select(F.lit("qual").alias("metric"), "chrom_id", F.explode("qual").alias("v"))
     return mapq.where("v is not null").unionByName(qual.where("v between 0 and 93").withColumn("v", F.col("v").cast("bigint")))
 
 
 def p2_slices(spark: SparkSession, folder: str) -> DataFrame:
     """The digests of every source file and contig, to be put together later."""
-    return qdigest.digest(_values(spark, folder), SLICE, F.col("v"), BITS, EPSILON)
+    return _digests(spark, folder, SLICE)
 
 
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,10 +65,10 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return qdigest.percentiles(whole, ["metric", "chrom_id"], BITS, PERCENTS)
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+def p2_found(spark: SparkSession, folder: str, epsilon: float = EPSILON) -> DataFrame:
     """Percentiles below their limits. The digest's bounds decide; only where a limit lies between the two bounds are the
     values of that contig and metric counted exactly."""
-    whole = qdigest.merge(p2_slices(spark, folder), ["metric", "chrom_id"], BITS, EPSILON)
+    whole = qdigest.merge(_digests(spark, folder, SLICE, epsilon=epsilon), ["metric", "chrom_id"], BITS, epsilon)
     bounds = qdigest.percentiles(whole, ["metric", "chrom_id"], BITS, list(LIMITS))
     limit = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])[F.col("pct").cast("int")]
     bounds = materialize(bounds.withColumn("limit", limit.cast("bigint")), "bounds")
@@ -75,6 +85,41 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return sure.join(enough.select("chrom_id"), "chrom_id", "left_semi").select("metric", "pct", "chrom_id")
 
 
+def _quality_sum(bits: int) -> Column:
+    """The sum of a read's usable qualities, held at 2^bits - 1; null without an array."""
+    total = F.aggregate(F.filter("qual", lambda q: q.between(0, 93)), F.lit(0).cast("bigint"), lambda s, q: s + q)
+    return F.when(F.col("qual").isNotNull(), F.least(total, F.lit((1 << bits) - 1)))
+
+
+def p2_rank_error(spark: SparkSession, folder: str, bits: int = 14, epsilon: float = 0.05) -> DataFrame:
+    """The error measured where the digest does compress: the sum of a read's usable qualities, held at 2^bits - 1, per
+    contig, put together from slices per file. contains: the true percentile lies within the bounds; within: the ranks of
+    both bounds are off by at most epsilon of n."""
+    reads = included_reads(spark, folder, "qual", "source_file_id").withColumn("v", _quality_sum(bits))
+    slices = qdigest.digest(reads, ["chrom_id", "source_file_id"], F.col("v"), bits, epsilon)
+    bounds = materialize(qdigest.percentiles(qdigest.merge(slices, ["chrom_id"], bits, epsilon), ["chrom_id"], bits, PERCENTS), "bounds")
+    counts = reads.where("v is not null").groupBy("chrom_id", "v").agg(F.count(F.lit(1)).alias("k"))
+    upto = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    ranks = counts.join(bounds, "chrom_id").groupBy("chrom_id", "pct", "n", "low", "high").agg(
+        upto(F.col("v") < F.col("low")).alias("a"), upto(F.col("v") <= F.col("low")).alias("b"), upto(F.col("v") < F.col("high")).alias("c"), upto(F.col("v") <= F.col("high")).alias("d")
+    )
+    slack = epsilon * 100 * F.col("n")
+    share = F.col("pct") * F.col("n")
+    contains = (F.col("a") * 100 < share) & (F.col("d") * 100 >= share)
+    within = (F.col("b") * 100 >= share - slack) & (F.col("c") * 100 <= share + slack)
+    return ranks.select("chrom_id", "pct", "n", contains.alias("contains"), within.alias("within"))
+
+
+def p2_compression(spark: SparkSession, folder: str, bits: int = 14, epsilon: float = 0.05) -> DataFrame:
+    """One row over all contigs, as for p2_rank_error: compressed, whether the digest holds fewer nodes than there are
+    different values; open, whether a bound is wide; bounded, whether it keeps to 3 * bits / epsilon nodes."""
+    reads = included_reads(spark, folder, "qual").select(F.lit(0).alias("g"), _quality_sum(bits).alias("v")).where("v is not null")
+    nodes = materialize(qdigest.digest(reads, ["g"], F.col("v"), bits, epsilon), "nodes")
+    wide = qdigest.percentiles(nodes, ["g"], bits, PERCENTS).agg(F.max(F.col("high") > F.col("low")).alias("open"))
+    held, values = nodes.count(), reads.agg(F.count_distinct("v")).first()[0]
+    return wide.select(F.lit(held < values).alias("compressed"), "open", F.lit(held <= 3 * bits / epsilon).alias("bounded"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     reads = table(spark, folder, "reads_raw").select(dna.bases(F.col("seq")).alias("seq"))
     return lossy.frequent_values(reads, "seq", 0.005).select(F.col("value").alias("seq"))

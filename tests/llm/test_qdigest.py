@@ -54,3 +54,37 @@ def test_edges(spark):
     one = spark.createDataFrame([("a", 1, 7, "", ""), ("a", 1, 99, "", ""), ("b", 1, None, "", "")], SCHEMA)
     got = qdigest.percentiles(qdigest.digest(one, ["g"], F.col("v"), 4), ["g"], 4, [10, 100]).collect()
     assert [(x["g"], x["n"], x["low"], x["high"]) for x in got] == [("a", 1, 7, 7)] * 2
+
+
+def test_arrays_hot_group_and_small_room(spark, monkeypatch):
+    """Arrays count element by element; digests handed on early, and in many tasks, keep to the bound."""
+    r = random.Random(4)
+    rows = [("hot" if i % 3 else f"g{i % 7}", [r.choice([None, -1, 5000, *[int(r.expovariate(1 / 300)) for _ in range(6)]]) for _ in range(r.randint(0, 9))] if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v array<int>").repartition(5)
+    eps, bits = 0.05, 12
+    values = {}
+    for g, v in rows:
+        values.setdefault(g, []).extend(x for x in v or [] if x is not None and 0 <= x <= 4000)
+    nodes = qdigest.digest(df, ["g"], F.col("v"), bits, eps, last=4000)
+    held = {x["g"]: x["count"] for x in nodes.groupBy("g").count().collect()}
+    assert held["hot"] < len(set(values["hot"])) and held["hot"] <= 3 * bits / eps
+    got = qdigest.percentiles(nodes, ["g"], bits, [1, 10, 50, 90, 99]).collect()
+    wide = 0
+    for x in got:
+        own = sorted(values[x["g"]])
+        n = len(own)
+        assert x["n"] == n and x["low"] <= exact(own, x["pct"]) <= x["high"]
+        assert sum(v <= x["low"] for v in own) >= (x["pct"] / 100 - eps) * n and sum(v < x["high"] for v in own) <= (x["pct"] / 100 + eps) * n
+        wide += x["low"] < x["high"]
+    assert wide
+
+
+def test_open_limits_are_counted(spark, data):
+    """With a coarse digest limits lie between the bounds: the counted rows must be the same."""
+    from strandlake.llm import reads
+
+    fine, coarse = (sorted(map(tuple, reads.p2_found(spark, data, e).collect())) for e in (0.0001, 0.6))
+    assert fine == coarse
+    whole = qdigest.merge(reads._digests(spark, data, reads.SLICE, epsilon=0.6), ["metric", "chrom_id"], reads.BITS, 0.6)
+    bounds = qdigest.percentiles(whole, ["metric", "chrom_id"], reads.BITS, list(reads.LIMITS)).collect()
+    assert any(x["low"] < reads.LIMITS[x["pct"]] <= x["high"] for x in bounds)
