@@ -77,3 +77,15 @@ _QUAL_SUM = f"""{INCLUDED}, v AS (SELECT chrom_id, list_sum(list_filter(qual, la
 P2_RANK_ERROR = f"""WITH {_QUAL_SUM} SELECT chrom_id, pct, count(*) AS n, true AS contains, true AS within FROM v, (SELECT CAST(unnest([10, 25, 50, 75, 90]) AS BIGINT) AS pct) GROUP BY ALL"""
 
 ORACLES |= {"p2_rank_error": P2_RANK_ERROR, "p2_compression": "SELECT true AS compressed, true AS open, true AS bounded"}
+
+P9_AGREEMENT = """SELECT count(*) AS graded, true AS recall, true AS precision FROM documents JOIN
+ (SELECT doc_id FROM reading_labels WHERE read_level IS NOT NULL GROUP BY 1) USING (doc_id) WHERE lang = 'en'"""
+
+ORACLES |= {"p9_agreement": P9_AGREEMENT, "p9_held_out": "SELECT true AS accurate, true AS ordered"}
+
+P7_CHECK = r"""SELECT spec_id, count(*) AS n_docs, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS needless, CAST(0 AS BIGINT) AS doubled, true AS filled
+ FROM documents, pack_specs WHERE regexp_matches(text, '[^ \t\n\v\f\r]') GROUP BY 1"""
+P4_CHECK = f"""WITH s AS (SELECT {BASES} AS seq FROM reads_raw WHERE {HAS_SEQ}), c AS (SELECT seq, count(*) AS n FROM s GROUP BY 1)
+ SELECT CAST((SELECT sum(n) FROM c) AS BIGINT) AS total, count(*) FILTER (WHERE n > 0.001 * (SELECT sum(n) FROM c)) AS frequent, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS outside, true AS tight FROM c"""
+
+ORACLES |= {"p7_check": P7_CHECK, "p4_check": P4_CHECK}

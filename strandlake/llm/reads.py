@@ -132,6 +132,26 @@ def p4_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(F.col("value").alias("seq"), F.col("n").alias("at_least"), (F.col("n") + F.col("undercount")).alias("at_most"), "total")
 
 
+def p4_check(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on the count intervals: sequences counted, those above the share epsilon, how many of these are missing,
+    intervals that don't hold the true count, and whether all are as narrow as epsilon of the total."""
+    epsilon = 0.001
+    reads = table(spark, folder, "reads_raw").select(dna.bases(F.col("seq")).alias("seq")).where("seq is not null")
+    held = materialize(lossy.lossy_counts(reads, "seq", epsilon).withColumnRenamed("value", "seq"), "intervals")
+    true = reads.groupBy("seq").agg(F.count(F.lit(1)).alias("true"))
+    total = reads.count()
+    rows = true.join(held, "seq", "left").select("true", "n", "undercount")
+    often = F.col("true") > epsilon * total
+    add = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("bigint")
+    return rows.agg(
+        F.lit(total).cast("bigint").alias("total"),
+        add(often).alias("frequent"),
+        add(often & F.col("n").isNull()).alias("missing"),
+        add((F.col("true") < F.col("n")) | (F.col("true") > F.col("n") + F.col("undercount"))).alias("outside"),
+        F.coalesce(F.max("undercount") <= epsilon * total, F.lit(True)).alias("tight"),
+    )
+
+
 @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.LongType())]))
 def usable_quality(qual: pa.Array) -> pa.Array:
     """Number and sum of the elements 0 .. 93 of each array."""
