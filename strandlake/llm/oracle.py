@@ -89,3 +89,5 @@ P4_CHECK = f"""WITH s AS (SELECT {BASES} AS seq FROM reads_raw WHERE {HAS_SEQ}),
  SELECT CAST((SELECT sum(n) FROM c) AS BIGINT) AS total, count(*) FILTER (WHERE n > 0.001 * (SELECT sum(n) FROM c)) AS frequent, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS outside, true AS tight FROM c"""
 
 ORACLES |= {"p7_check": P7_CHECK, "p4_check": P4_CHECK}
+
+ORACLES |= {"p5_planted": "SELECT count(*) AS n, true AS accurate, true AS beats_votes, true AS settled FROM ordered_reads"}

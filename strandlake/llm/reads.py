@@ -200,3 +200,43 @@ def p5_consensus(spark: SparkSession, folder: str) -> DataFrame:
     best = survivor.truth_discovery(reads, ["name", "mate"], "source_file_id", ["mapq", "pos", "cigar", "flag", "qual_hash"])
     arrays = reads.where("qual is not null").groupBy("name", "mate", "qual_hash").agg(F.min("qual").alias("qual"))
     return best.join(arrays, ["name", "mate", "qual_hash"], "left").drop("qual_hash").withColumnRenamed("qual_hash_support", "qual_support")
+
+
+def p5_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Per field the groups in which truth discovery and the stated preferences both give a value, and in how many it is the
+    same; rounds and settled as for p5_consensus."""
+    best = materialize(p5_consensus(spark, folder), "consensus")
+    reads = _deliveries(spark, folder, "qual", "ingested_at").withColumn("q", usable_quality("qual"))
+    mapq, late = dna.usable_mapq(F.col("mapq")), [F.col("ingested_at"), -F.col("record_id")]
+    keep = [_clear(dna.DUPLICATE), _clear(dna.QC_FAIL), F.coalesce(mapq, F.lit(-1)), F.col("q.total"), *late]
+    ruled = survivor.survivors(
+        reads,
+        ["name", "mate"],
+        {
+            "r_mapq": (mapq.isNotNull(), late, mapq),
+            "r_qual": (F.col("q.n") > 0, [F.col("q.n"), F.col("q.total"), *late], F.xxhash64("qual")),
+            "r_flag": (None, keep, F.col("flag")),
+            "r_pos": (None, keep, F.col("pos")),
+        },
+    )
+    rows = ruled.join(best.withColumn("qual", F.when(F.col("qual").isNotNull(), F.xxhash64("qual"))), ["name", "mate"])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), (F.col(f).isNotNull() & F.col(f"r_{f}").isNotNull()).alias("both"), (F.col(f) == F.col(f"r_{f}")).alias("same")) for f in ("mapq", "qual", "flag", "pos")])
+    rows = rows.select(F.inline(each), "rounds", "settled").where("both")
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("same").cast("bigint")).alias("agree"), F.max("rounds").alias("rounds"), F.min("settled").alias("settled"))
+
+
+def p5_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on truth discovery where the truth is known: for every ordered read five sources claim its position, of which
+    two err in 4 and 8 of 100 reads and three in 45, these often with the same wrong value. accurate: at least 95 % of the
+    chosen values are true; beats_votes: more than a majority vote gets right; settled: the reliabilities came to rest."""
+    err = F.array(*[F.lit(e) for e in (4, 8, 45, 45, 45)])
+    reads = table(spark, folder, "ordered_reads").select("read_id", "pos")
+    claims = reads.select("read_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("source"))
+    draw = F.pmod(F.xxhash64("read_id", "source"), F.lit(100))
+    wrong = F.col("pos") + 1 + F.when(F.pmod(F.xxhash64("source", "read_id"), F.lit(3)) > 0, 0).otherwise(F.col("source") + 1)
+    claims = materialize(claims.withColumn("claim", F.when(draw < F.get(err, F.col("source")), wrong).otherwise(F.col("pos"))), "planted")
+    best = survivor.truth_discovery(claims, ["read_id"], "source", ["claim"])
+    votes = claims.groupBy("read_id", "pos", "claim").agg(F.count(F.lit(1)).alias("k")).groupBy("read_id", "pos").agg(F.max_by("claim", F.struct("k", -F.col("claim"))).alias("voted"))
+    rows = votes.join(best, "read_id")
+    right, voted = (F.sum((F.col(c) == F.col("pos")).cast("bigint")) for c in ("claim", "voted"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (right >= 0.95 * F.count(F.lit(1))).alias("accurate"), (right > voted).alias("beats_votes"), F.min("settled").alias("settled"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.session import materialize
 
@@ -34,8 +35,8 @@ def survivors(df: DataFrame, keys: list[str], winners: dict[str, tuple[Column |
 
 
 def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[str], rounds: int = 50, tolerance: float = 1e-3) -> DataFrame:
-    """keys and, per field, the value with the highest support and its share of the support (name and name_support), and
-    settled: whether the reliabilities came to rest.
+    """keys and, per field, the value with the highest support, in the field's own type, and its share of the support (name
+    and name_support), settled: whether the reliabilities came to rest, and rounds: after how many.
 
     A source's reliability is the smoothed share of its contested claims (of a group's field with different values; the
     others tell nothing) that agree with the current choice; a claim votes with the log odds of its source's reliability (at least a little, so that no source is silenced). Votes and reliabilities
@@ -45,8 +46,12 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
     Claims are first counted per (group, field, value, source), with partial counts before the shuffle. Ties go to the
     value more sources claim and then to the smaller value as text. Null values claim nothing: a field nobody claims is
     null with support null. Null keys or sources are left out; an empty table gives no rows; other columns are dropped.
-    The reliability table has one row per source and is joined by its measured size.
+    The reliability table has one row per source and is joined by its measured size. Fields are of plain types; an array
+    is claimed by a hash of it.
     """
+    kinds = {f: df.schema[f].dataType for f in fields}
+    if bad := [f for f, k in kinds.items() if isinstance(k, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]:
+        raise ValueError(f"no plain type: {', '.join(bad)}")
     claims = None
     for f in fields:
         one = df.select(*keys, F.col(source).alias("__source"), F.lit(f).alias("__field"), F.col(f).cast("string").alias("__value"))
@@ -55,7 +60,8 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
     claims = materialize(claims.groupBy(*keys, "__field", "__value", "__source").agg(F.count(F.lit(1)).alias("__n")), "claims")
     trust = claims.select("__source").distinct().withColumn("__r", F.lit(0.8))
     chosen, settled = None, False
-    for _ in range(rounds):
+    used = 0
+    for used in range(1, rounds + 1):
         weight = F.greatest(F.log(F.col("__r") / (1 - F.col("__r"))), F.lit(0.05))
         votes = claims.join(trust, "__source").groupBy(*keys, "__field", "__value").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__k"))
         # a minimum of structs, taken in part before the shuffle: a group with many different values is no window of one task
@@ -72,6 +78,6 @@ def truth_discovery(df: DataFrame, keys: list[str], source: str, fields: list[st
             break
     out = df.select(*keys).dropna().distinct()
     wide = chosen.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__field") == f, F.col(c))).alias(n) for f in fields for c, n in (("__best", f), ("__support", f"{f}_support"))]
+        *[x for f in fields for x in (F.max(F.when(F.col("__field") == f, F.col("__best"))).cast(kinds[f]).alias(f), F.max(F.when(F.col("__field") == f, F.col("__support"))).alias(f"{f}_support"))]
     )
-    return out.join(wide, keys, "left").withColumn("settled", F.lit(settled))
+    return out.join(wide, keys, "left").withColumn("settled", F.lit(settled)).withColumn("rounds", F.lit(used).cast("bigint"))

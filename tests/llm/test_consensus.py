@@ -13,7 +13,7 @@ def test_consensus_has_qual_and_flag(spark, data):
     got = {(x["name"], x["mate"]): x for x in reads.p5_consensus(spark, data).collect()}
     assert sorted(got) == sorted(groups)
     for k, deliveries in groups.items():
-        quals, flags = [q for q, _ in deliveries if q is not None], {str(f) for _, f in deliveries}
+        quals, flags = [q for q, _ in deliveries if q is not None], {f for _, f in deliveries}
         assert got[k]["qual"] in quals if quals else got[k]["qual"] is None
         assert (got[k]["qual_support"] is None) == (not quals)
         assert got[k]["flag"] in flags

@@ -50,3 +50,16 @@ def test_truth_edges(spark):
     rows = [(1, "s", None, "x"), (2, "s", "q", None), (2, "t", "p", None), (None, "s", "q", "q"), (3, None, "q", "q")]
     out = {x["g"]: (x["a"], x["b"]) for x in truth_discovery(spark.createDataFrame(rows, schema), ["g"], "src", ["a", "b"]).collect()}
     assert out == {1: (None, "x"), 2: ("p", None), 3: (None, None)}
+
+
+def test_truth_keeps_types(spark):
+    import datetime
+
+    import pytest
+
+    day = datetime.date(2020, 1, 2)
+    df = spark.createDataFrame([(1, "s", 7, 1.5, day, [1]), (1, "t", 7, 1.5, day, [1]), (1, "u", 9, 2.5, None, [2])], "g int, src string, i bigint, d double, t date, a array<int>")
+    x = truth_discovery(df, ["g"], "src", ["i", "d", "t"]).first()
+    assert (x["i"], x["d"], x["t"], x["settled"]) == (7, 1.5, day, True) and x["rounds"] >= 1
+    with pytest.raises(ValueError):
+        truth_discovery(df, ["g"], "src", ["a"])
