@@ -12,7 +12,8 @@ Passes, each linear in the bases:
 1. records with the same text become one (partial aggregation), are cut at everything but A, C, G, T, packed with two bits
    a base into chunks and written once (chunks are the unit of work and survive lost executors);
 2. each chunk sends 32-bit tags of its anchors to hash buckets; buckets report which tags occur twice. The number of
-   buckets follows the data, so tags stay as telling at any size; anchors that occur once, nearly all, go no further;
+   buckets follows the data, so tags stay as telling at any size; anchors that occur once, nearly all, go no further. A
+   chunk sends a tag once, with its number: an anchor that is in every chunk adds no more than one entry a chunk to a bucket;
 3. chunks send repeated anchors with the PERIOD - 1 bases on either side; buckets extend: for each of the PERIOD shifts
    they find windows seen in different records;
 4. chunks mark the shared windows and report maximal runs, which are joined to the records by text.
@@ -41,8 +42,10 @@ COVER = (0, 1, 3, 9)
 SIDE = PERIOD - 1
 K = 28
 SPAN = K + SIDE
-CHUNK_BASES = 1 << 20
-BUCKET_ANCHORS = 1 << 20
+#: Bases of a chunk and anchors of a bucket, least and most: see exchange_sizes().
+LEAST_SIZE, MOST_SIZE = 1 << 20, 1 << 23
+#: Anchors that a chunk should have for a bucket.
+ROW_ANCHORS = 1000
 HOT = 50_000
 
 _CODE = np.full(256, 255, np.uint8)
@@ -52,6 +55,13 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _CHUNK = "chunk bigint, h1 binary, h2 binary, copies binary, split binary, rec binary, off binary, len binary, codes binary, bases bigint"
 
 
+def exchange_sizes(bases: int) -> int:
+    """Bases of a chunk and, as many, anchors of a bucket. Chunks times buckets rows are exchanged, each with about
+    size * size / bases anchors: sizes that grow with the root of the data keep a row at ROW_ANCHORS, and the rows in
+    proportion to the bases, up to 7e10 bases; beyond, a task's memory bounds the size and rows get shorter."""
+    return min(max(LEAST_SIZE, math.isqrt(ROW_ANCHORS * bases)), MOST_SIZE)
+
+
 def _pieces(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
     """(offset, length) of the runs of A, C, G, T of at least SPAN bases; runs of more than `most` windows are cut into
     pieces that overlap by SPAN - 1 bases, so that every window lies in exactly one."""
@@ -76,8 +86,12 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.stack([packed >> s & 3 for s in (0, 2, 4, 6)], axis=1).reshape(-1)[:n]
 
 
-def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs distinct texts (h1, h2, copies, seq) into chunk rows of about CHUNK_BASES bases."""
+def _make_chunks(most: int):
+    """Packs distinct texts (h1, h2, copies, seq) into chunk rows of about `most` bases."""
+    return lambda batches: _chunk_rows(batches, most)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId(), 0
     heads: list[tuple[int, int, bool, bool]] = []
     rec: list[int] = []
@@ -106,8 +120,8 @@ def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h1, h2, copies, seq in zip(*[batch.column(i) for i in range(4)]):
             codes = _CODE[np.frombuffer(seq.as_buffer() if hasattr(seq, "as_buffer") else seq.as_py().encode(), np.uint8)]
-            pieces = _pieces(codes, CHUNK_BASES)
-            long = len(codes) > CHUNK_BASES
+            pieces = _pieces(codes, most)
+            long = len(codes) > most
             head = (h1.as_py(), h2.as_py(), copies.as_py() > 1, long)
             last = -1
             for a, n in pieces:
@@ -116,7 +130,7 @@ def _make_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     last = made
                 rec.append(len(heads) - 1), off.append(a), ln.append(n), body.append(codes[a : a + n])
                 size += n
-                if size >= CHUNK_BASES:
+                if size >= most:
                     yield flush()
     if body:
         yield flush()
@@ -133,18 +147,17 @@ class _Chunk:
         n = int(self.len.sum())
         self.codes = _unpack(row["codes"], n)
         self.begin = np.cumsum(self.len) - self.len
-        piece = np.repeat(np.arange(len(self.len)), self.len)
-        inner = np.arange(n) - self.begin[piece]
-        left = self.len[piece] - inner
+        inner = np.arange(n, dtype=np.int32) - np.repeat(self.begin.astype(np.int32), self.len)
+        left = np.repeat(self.len.astype(np.int32), self.len) - inner
         self.at = np.flatnonzero(_IN_COVER[inner % PERIOD] & (left >= K))
-        self.left = np.minimum(inner[self.at], SIDE)
-        self.right = np.minimum(left[self.at] - K, SIDE)
-        self.owner = self.h1[self.rec[piece[self.at]]]
-        padded = np.zeros(n + K + 2 * SIDE, np.uint64)
+        self.left = np.minimum(inner[self.at], SIDE).astype(np.int64)
+        self.right = np.minimum(left[self.at] - K, SIDE).astype(np.int64)
+        self.owner = self.h1[self.rec[np.searchsorted(self.begin, self.at, "right") - 1]]
+        padded = np.zeros(n + K + 2 * SIDE, np.uint8)
         padded[SIDE : SIDE + n] = self.codes
-        two = padded[:-1] << np.uint64(2) | padded[1:]
-        four = two[:-2] << np.uint64(4) | two[2:]
-        eight = four[:-4] << np.uint64(8) | four[4:]
+        two = padded[:-1] << np.uint8(2) | padded[1:]
+        four = two[:-2] << np.uint8(4) | two[2:]
+        eight = four[:-4].astype(np.uint16) << np.uint16(8) | four[4:]
         p = self.at + SIDE
         take = lambda start, *parts: self._join(start, parts)
         self.anchor = take(p, (eight, 8), (eight, 8), (eight, 8), (four, 4))
@@ -416,9 +429,10 @@ def shared_spans(records: DataFrame, hot: int = HOT) -> DataFrame:
     spark = records.sparkSession
     keyed = records.where(F.length("seq") >= SPAN).select("rec_kind", "rec_id", "seq", *text_key(F.col("seq")))
     texts = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("seq").alias("seq"))
-    chunks = materialize(texts.select("h1", "h2", "copies", "seq").mapInArrow(_make_chunks, _CHUNK), "chunks")
+    size = exchange_sizes(records.agg(F.sum(F.length("seq"))).first()[0] or 0)
+    chunks = materialize(texts.select("h1", "h2", "copies", "seq").mapInArrow(_make_chunks(size), _CHUNK), "chunks")
     bases = chunks.agg(F.sum("bases")).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(bases * len(COVER) / PERIOD / BUCKET_ANCHORS))
+    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(bases * len(COVER) / PERIOD / size))
 
     tags = chunks.mapInArrow(_send_tags(buckets), "bucket int, chunk bigint, tags binary, again binary, more binary")
     states = tags.groupBy("bucket").applyInArrow(_find_repeats(hot), "bucket int, chunk bigint, states binary")

@@ -61,26 +61,13 @@ def make(seed, n=120):
 @pytest.mark.parametrize("hot,chunk", [(50_000, 1 << 20), (3, 400), (0, 997)])
 def test_brute_force(spark, monkeypatch, hot, chunk):
     """Also with every repeated anchor taken as very frequent, and with records cut into many pieces."""
-    monkeypatch.setattr(spans, "CHUNK_BASES", chunk)
     rows = make(hot + 7)
     df = spark.createDataFrame([(*x, 1, "c") for x in rows], SCHEMA).repartition(3)
     # workers import the module afresh: the piece size must travel with the function
-    monkeypatch.setattr(spans, "_make_chunks", _with_chunk(chunk))
+    monkeypatch.setattr(spans, "exchange_sizes", lambda bases: chunk)
     assert sorted(map(tuple, spans.shared_spans(df, hot).collect())) == brute(rows)
 
 
-def _with_chunk(size):
-    real = spans._make_chunks
-
-    def run(batches):
-        from strandlake.llm import spans as s
-
-        s.CHUNK_BASES = size
-        return real(batches)
-
-    return run
-
-
 def test_edges(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert spans.shared_spans(df).count() == 0
@@ -88,3 +75,12 @@ def test_edges(spark):
     assert spans.shared_spans(one).count() == 0
     two = one.union(spark.createDataFrame([("bundle", 1, "ACGT" * 30, 1, "")], SCHEMA))
     assert sorted(map(tuple, spans.shared_spans(two).collect())) == [("bundle", 1, 0, 120), ("read", 1, 0, 120)]
+
+
+def test_sizes():
+    """Anchors of a row stay the same from a billion bases on, as the number of rows to the bases does."""
+    assert spans.exchange_sizes(0) == spans.exchange_sizes(10**8) == spans.LEAST_SIZE
+    for bases in (2 * 10**9, 2 * 10**10, 6 * 10**10):
+        n = spans.exchange_sizes(bases)
+        rows = (bases / n) * (bases * 4 / 13 / n)
+        assert abs(rows / bases - 4 / 13 / spans.ROW_ANCHORS) < 1e-6
