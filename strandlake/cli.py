@@ -24,6 +24,8 @@ def _parser() -> argparse.ArgumentParser:
     build.add_argument("--quality-codec", default="RANGE_CYCLE")
     build.add_argument("--quality-bins", type=int, default=0)
     build.add_argument("--strand", choices=[s.value for s in Strand], default="complete")
+    build.add_argument("--overlap", choices=[o.value for o in Overlap], default="all")
+    build.add_argument("--block-size", type=int, default=1024)
     build.add_argument("--word-size", type=int, default=0, help="also write postings of words of so many bases")
     build.add_argument("--enhanced", action="store_true")
     build.add_argument("--bidirectional", action="store_true")
@@ -34,12 +36,13 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--strand", choices=[s.value for s in Strand])
         p.add_argument("--approx", type=int)
         if name == "count":
-            p.add_argument("--overlap", choices=[o.value for o in Overlap], default="all")
+            p.add_argument("--overlap", choices=[o.value for o in Overlap])
             p.add_argument("--benchmark", action="store_true")
         if name in ("exists", "region-exists"):
             p.add_argument("--threshold", type=int, default=1)
         if name == "locate":
-            p.add_argument("--format", choices=["tsv", "bed", "json"], default="tsv")
+            p.add_argument("--format", choices=["tsv", "bed", "json", "jsonl"], default="tsv")
+            p.add_argument("--streaming", action="store_true", help="as found, without sorting")
             p.add_argument("--limit", type=int)
             p.add_argument("-o", "--output")
         if name.startswith("region"):
@@ -47,7 +50,10 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--chrom")
             p.add_argument("--start", type=int, default=0)
             p.add_argument("--end", type=int, default=LAST)
-    sub.add_parser("info").add_argument("index")
+    info = sub.add_parser("info")
+    info.add_argument("index")
+    info.add_argument("--text", action="store_true")
+    info.add_argument("--bwt", action="store_true", help="also compute runs of the Burrows-Wheeler transform")
     verify = sub.add_parser("verify")
     verify.add_argument("index")
     verify.add_argument("--strict", action="store_true")
@@ -81,7 +87,7 @@ def run(args: argparse.Namespace, out=sys.stdout) -> None:
     from strandlake.plans.index import ReadIndex
     from strandlake.session import local_session, ship
     from strandlake.sources import sinks
-    from strandlake.sources.alignment_files import header_bytes, register
+    from strandlake.sources.alignment_files import header_bytes, header_contigs, register
 
     say = lambda x: print(json.dumps(x), file=out)
     if getattr(args, "approx", None) is not None:
@@ -90,22 +96,27 @@ def run(args: argparse.Namespace, out=sys.stdout) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     if args.command == "build":
-        config = BuildConfig(window_size=args.window_size, quality_codec=args.quality_codec, quality_bins=args.quality_bins, strand=Strand(args.strand), enhanced=args.enhanced, word_size=args.word_size, bidirectional=args.bidirectional)
+        config = BuildConfig(window_size=args.window_size, quality_codec=args.quality_codec, quality_bins=args.quality_bins, strand=Strand(args.strand), enhanced=args.enhanced, word_size=args.word_size, overlap=Overlap(args.overlap), block_size=args.block_size, bidirectional=args.bidirectional)
         files = [p for p in args.inputs if p.endswith(("bam", "sam"))]
         digest = manifest([(p, header_bytes(p)) for p in files]) if files else ""
-        say(ReadIndex.build(spark, _load(spark, args.inputs), args.output, config, manifest=digest).info)
+        names = [n for p in files for n, _ in header_contigs(p)]
+        say(ReadIndex.build(spark, _load(spark, args.inputs), args.output, config, manifest=digest, header_contigs=names).info)
         return
     index = ReadIndex(spark, args.index)
     strand = Strand(args.strand) if getattr(args, "strand", None) else None
     if args.command == "count":
-        say(index.timed_count(args.pattern, strand) if args.benchmark else {"count": index.count(args.pattern, strand, Overlap(args.overlap))})
+        say(index.timed_count(args.pattern, strand) if args.benchmark else {"count": index.count(args.pattern, strand, Overlap(args.overlap) if args.overlap else None)})
     elif args.command == "exists":
         say({"exists": index.exists(args.pattern, args.threshold, strand)})
     elif args.command == "locate":
-        found = index.locate(args.pattern, strand, limit=args.limit)
-        shaped = {"tsv": sinks.tsv, "bed": sinks.bed, "json": sinks.json_lines}[args.format](found)
+        found = index.locate(args.pattern, strand, not args.streaming, args.limit)
+        shaped = {"tsv": sinks.tsv, "bed": sinks.bed, "json": sinks.json_lines, "jsonl": sinks.json_lines}[args.format](found)
         if args.output:
-            shaped.write.text(args.output) if args.format == "json" else sinks.write_tsv(shaped, args.output, args.format == "tsv")
+            shaped.write.text(args.output) if args.format.startswith("json") else sinks.write_tsv(shaped, args.output, args.format == "tsv")
+        elif args.format == "json":
+            for piece in sinks.json_pieces(found, "streaming" if args.streaming else "sorted"):
+                out.write(piece)
+            out.write("\n")
         else:
             if args.format == "tsv":
                 print("\t".join(shaped.columns), file=out)
@@ -121,7 +132,12 @@ def run(args: argparse.Namespace, out=sys.stdout) -> None:
         else:
             say({"region_exists": index.region_exists(args.pattern, region, args.threshold, strand), **tail})
     elif args.command == "info":
-        say(index.info)
+        facts = index.document(args.bwt)
+        if args.text:
+            for k, v in facts.items():
+                print(f"{k + ':':<26}{json.dumps(v) if isinstance(v, (list, bool)) else v}", file=out)
+        else:
+            say(facts)
     elif args.command == "verify":
         good = index.verify(args.strict)
         say({"valid": good, "strict": args.strict})

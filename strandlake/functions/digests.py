@@ -55,5 +55,11 @@ def ordering_tree(reads: DataFrame, leaf: int = 4096) -> str:
 
 def table_checksum(df: DataFrame) -> int:
     """An order-free checksum of a table's rows: the sum of their 64-bit hashes, held within 64 bits."""
-    parts = df.select(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).alias("h")).agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
-    return int(parts["s"] or 0) & (1 << 64) - 1
+    return stream_checksums(df, {"all": sorted(df.columns)})["all"]
+
+
+def stream_checksums(df: DataFrame, streams: dict[str, list[str]]) -> dict[str, int]:
+    """The same of several column groups, in one pass."""
+    hashes = [F.sum(F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")).alias(name) for name, columns in streams.items()]
+    row = df.agg(*hashes).first()
+    return {name: int(row[name] or 0) & (1 << 64) - 1 for name in streams}

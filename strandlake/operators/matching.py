@@ -178,12 +178,13 @@ def in_region(matches: DataFrame, chrom_id: int | None, region: Region) -> DataF
     return matches.where((F.col("chrom_id") == chrom_id) & (F.col("p_min") <= region.end) & (F.col("p_max") >= region.start))
 
 
-def near_region(reads: DataFrame, chrom_id: int | None, region: Region) -> DataFrame:
+def near_region(reads: DataFrame, chrom_id: int | None, region: Region, longest_span: int | None = None) -> DataFrame:
     """Reads that may hold a match in the region: the contig and pos reach the Parquet scan as filters; no base of a read
-    lies before its pos, and none after pos + span - 1."""
+    lies before its pos, and none after pos + span - 1. longest_span, where it is known, bounds pos from below too."""
     if chrom_id is None:
         return reads.where(F.lit(False))
-    return reads.where((F.col("chrom_id") == chrom_id) & (F.col("pos") <= region.end))
+    near = reads.where((F.col("chrom_id") == chrom_id) & (F.col("pos") <= region.end))
+    return near if longest_span is None else near.where(F.col("pos") >= region.start - max(longest_span, 1) + 1)
 
 
 def region_batch(matches: DataFrame, regions: DataFrame, bin_width: int = 1 << 16) -> DataFrame:

@@ -53,6 +53,30 @@ def block_directory(reads: DataFrame, length: Column, block_size: int = 1024) ->
     return whole.select("block_id", "first_read_id", "n_reads", "block_length", "block_offset")
 
 
+def directory(reads: DataFrame, block_size: int = 1024) -> DataFrame:
+    """stream, block_id, first_read_id, n_reads, block_length, block_offset for each of the streams seq, qual, meta and map
+    (in bases, values, bytes of the packed record, and entries). With a block size of 1 it is the directory per read."""
+    lengths = {
+        "seq": F.col("l_seq"),
+        "qual": F.greatest(F.coalesce(F.size("qual"), F.lit(0)), F.lit(0)).cast("bigint"),
+        "meta": meta_length(F.col("cigar"), F.col("aux")),
+        "map": F.lit(1).cast("bigint"),
+    }
+    rows = reads.select("read_id", F.inline(F.array(*[F.struct(F.lit(n).alias("stream"), c.alias("len")) for n, c in lengths.items()])))
+    rows = rows.withColumn("block_id", F.floor(F.col("read_id") / block_size).cast("bigint"))
+    blocks = rows.groupBy("stream", "block_id").agg(F.min("read_id").alias("first_read_id"), F.count(F.lit(1)).alias("n_reads"), F.sum("len").alias("block_length"))
+    whole = with_running_sum(blocks, "stream", "block_id", "block_length", "block_offset")
+    return whole.select("stream", "block_id", "first_read_id", "n_reads", "block_length", "block_offset")
+
+
+def meta_length(cigar: Column, aux: Column) -> Column:
+    """Bytes of a record's packed metadata (TYPED_SPLIT), without packing it."""
+    bytes_of = lambda v: F.lit(1) + sum(F.when(v >= F.lit(1 << 7 * k), 1).otherwise(0) for k in range(1, 6))
+    parts = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit(r"(\d+)[MIDNSHP=X]"), 1)
+    each = F.aggregate(parts, F.lit(0), lambda total, n: total + bytes_of(n.cast("bigint") * 16))
+    return (F.lit(2) + bytes_of(F.size(parts)) + each + F.coalesce(F.octet_length(aux), F.lit(0))).cast("bigint")
+
+
 def reconstruct(reads: DataFrame, streams: list[str] | None = None, read_ids: list[int] | None = None, lossless: bool = True, allow_lossy: bool = False) -> DataFrame:
     """Records as they came, with the streams that aren't selected blanked: seq as N, qual as 255, meta as flag 0 and one
     M over the read, map as no contig and position 0. mapq and qname always stay. read_ids selects, in their order and

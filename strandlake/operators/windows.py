@@ -124,6 +124,25 @@ def with_window(reads: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("l", chosen).drop("bin", "__here", "__before")
 
 
+def window_invariants(reads: DataFrame, windows: DataFrame) -> DataFrame:
+    """check, bad: reads that no window of their contig covers, windows whose reads don't follow those of the window before
+    (by a join on read_id, for windows lie in the order of reads), windows without a read, and reads outside the stretch of
+    the contig that their window states."""
+    keys = ["build_id", "chrom_id"]
+    ends = windows.select(*keys, F.col("last_read_id").alias("read_id"), F.lit(1).alias("__end"))
+    n = reads.count()
+    covered = windows.agg(F.coalesce(F.sum(F.col("last_read_id") - F.col("first_read_id") + 1), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("last_read_id") < F.col("first_read_id")).cast("bigint")), F.lit(0)).alias("empty")).first()
+    after = windows.select(F.col("first_read_id").alias("__first"), "l")
+    before = windows.select((F.col("last_read_id") + 1).alias("__first"), F.col("r").alias("__r"))
+    gaps = after.join(before, "__first", "left").where((F.col("__first") > 0) & F.col("__r").isNull()).count()
+    back = after.join(before, "__first").where((F.col("l") > 0) & (F.col("l") < F.col("__r"))).count()
+    heads = windows.join(reads.select(F.col("read_id").alias("first_read_id"), F.col("s_start").alias("__s"), F.col("pos").alias("__p")), "first_read_id", "left")
+    wrong = heads.where(~F.col("l").eqNullSafe(F.col("__s")) | ~F.col("genomic_start").eqNullSafe(F.col("__p"))).count()
+    tails = ends.join(reads.select(*keys, "read_id"), [*keys, "read_id"], "left_anti").count()
+    rows = [("windows_cover", abs(n - covered["n"])), ("windows_filled", covered["empty"] + tails), ("windows_adjoin", gaps), ("windows_order", back), ("windows_begin", wrong)]
+    return reads.sparkSession.createDataFrame([(k, int(v)) for k, v in rows], "check string, bad bigint")
+
+
 def windows_of_region(windows: DataFrame, chrom_id: int, start: int, end: int) -> DataFrame:
     """The windows that may hold matches of a region: the zone map of region queries."""
     return windows.where((F.col("chrom_id") == chrom_id) & (F.col("genomic_start") <= end) & (F.col("genomic_end") >= start))

@@ -1,8 +1,9 @@
 """A read index on disk: a folder of Parquet tables and an info file.
 
 build() filters, orders and numbers the reads, and writes them range-partitioned by contig and place, so that row groups
-have narrow ranges of chrom_id, pos and read_id and Parquet's own statistics are the zone map of region queries.
-open() reads lazily: a query loads the columns it needs.
+have narrow ranges of chrom_id, pos and read_id and Parquet's own statistics are the zone map of region queries: the
+longest stretch of a read on each contig is kept, so both ends of a region bound pos. In an enhanced index the windows'
+ranges of read_id are asked first. Opening is lazy: a query loads the columns it needs.
 """
 
 from __future__ import annotations
@@ -19,14 +20,31 @@ from strandlake import __version__
 from strandlake.functions import cigar, digests, dna, quality
 from strandlake.functions.patterns import Region, parse
 from strandlake.operators import fm, matching, ordering, postings, records, windows
-from strandlake.schema import BuildConfig, EngineError, ErrorCode, Overlap, Strand
-from strandlake.session import broadcast_if_small
-from strandlake.sources.tables import chrom_key
+from strandlake.schema import MAP_CODECS, META_CODECS, QUALITY_CODECS, BuildConfig, EngineError, ErrorCode, Overlap, Strand
+from strandlake.session import broadcast_if_small, intermediates, materialize
 
-FORMAT = 1
+FORMAT = 2
+MAGIC = "STLK"
 _READ_COLUMNS = ["read_id", "qname", "flag", "chrom_id", "chrom", "pos", "mapq", "cigar", "seq", "l_seq", "qual", "aux", "source_file_id", "bam_offset", "record_id", "build_id", "s_start", "span"]
 
 
+#: The streams of the reads table, each with a checksum of its own.
+STREAMS = {"seq": ["seq"], "qual": ["qual"], "meta": ["flag", "cigar", "aux", "mapq", "qname"], "map": ["chrom_id", "chrom", "pos", "span"], "order": ["source_file_id", "bam_offset", "record_id", "build_id", "s_start", "l_seq"]}
+
+
+def _repeated(df: DataFrame, column: str) -> bool:
+    return not df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _checksums(spark: SparkSession, path: str, config: BuildConfig) -> dict[str, int]:
+    """A checksum of every stream of the reads and of every other table."""
+    reads = spark.read.parquet(f"{path}/reads")
+    out = digests.stream_checksums(reads, {k: ["read_id", *v] for k, v in STREAMS.items()})
+    for name in ("windows", "contigs", "directory", *(["postings"] if config.word_size else [])):
+        out[name] = digests.table_checksum(spark.read.parquet(f"{path}/{name}"))
+    return out
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(hpath, True)
@@ -53,23 +71,44 @@ class ReadIndex:
         self.reads = spark.read.parquet(f"{self.path}/reads")
         self.windows = spark.read.parquet(f"{self.path}/windows")
         self.contigs = spark.read.parquet(f"{self.path}/contigs")
+        self.directory = spark.read.parquet(f"{self.path}/directory")
+        self.enhanced = self.info["mode"] == "ENHANCED"
+        self.overlap = Overlap(self.info["config"]["overlap"])
         self.word_size = self.info["config"].get("word_size", 0)
         self.postings = spark.read.parquet(f"{self.path}/postings") if self.word_size else None
 
     # --- build
 
     @classmethod
-    def build(cls, spark: SparkSession, raw: DataFrame, path: str, config: BuildConfig | None = None, contigs: DataFrame | None = None, manifest: str = "") -> ReadIndex:
+    def build(cls, spark: SparkSession, raw: DataFrame, path: str, config: BuildConfig | None = None, contigs: DataFrame | None = None, manifest: str = "", header_contigs: list[str] | None = None, aliases: DataFrame | None = None) -> ReadIndex:
         """raw: qname, flag, chrom, pos, mapq, cigar, seq, qual, aux, source_file_id, bam_offset (BAM and SAM sources give
-        these). contigs: chrom_id, chrom; without it, the names in raw, numbered in byte order. Reads of contigs that
-        aren't listed are left out. No read at all is refused."""
+        these). contigs: chrom_id, chrom, each name once. Without it, the names in raw and those of header_contigs (of the
+        files' headers, also such as no read lies on), numbered in byte order. aliases: alt_name, chrom, each alt_name once:
+        other spellings. Names are compared exactly; reads of contigs that aren't listed are left out. No read at all is
+        refused."""
         config = config or BuildConfig()
+        path = path.rstrip("/")
+        with intermediates():
+            return cls._build(spark, raw, path, config, contigs, manifest, header_contigs, aliases)
+
+    @classmethod
+    def _build(cls, spark: SparkSession, raw: DataFrame, path: str, config: BuildConfig, contigs: DataFrame | None, manifest: str, header_contigs: list[str] | None, aliases: DataFrame | None) -> ReadIndex:
+        spelled = None
+        if aliases is not None:
+            spelled = aliases.select(F.col("alt_name").alias("__given"), F.col("chrom").alias("__name"))
+            raw = raw.join(broadcast_if_small(spelled), raw["chrom"] == spelled["__given"], "left").withColumn("chrom", F.coalesce("__name", "chrom")).drop("__given", "__name")
         if contigs is None:
-            names = raw.where("chrom is not null and chrom <> '*'").select("chrom").distinct()
-            contigs = ordering.with_rank(names, ["chrom"], "chrom_id").select("chrom_id", "chrom")
-        names = contigs.select("chrom_id", F.col("chrom").alias("__name"), chrom_key(F.col("chrom")).alias("__key"))
-        kept = raw.where((F.col("pos") >= 1) & dna.included_flags(F.col("flag")) & dna.has_sequence(F.col("seq"))).withColumn("__key", chrom_key(F.col("chrom")))
-        kept = kept.join(broadcast_if_small(names), "__key").drop("chrom", "__key").withColumnRenamed("__name", "chrom")
+            names = raw.where("chrom is not null and chrom <> '*'").select("chrom")
+            if header_contigs:
+                names = names.union(spark.createDataFrame([(n,) for n in header_contigs], "chrom string"))
+            contigs = ordering.with_rank(names.distinct(), ["chrom"], "chrom_id").select("chrom_id", "chrom")
+        elif _repeated(contigs, "chrom") or _repeated(contigs, "chrom_id"):
+            raise EngineError(ErrorCode.INVALID_CONFIG, "a contig name or id stands twice")
+        if spelled is not None and _repeated(spelled, "__given"):
+            raise EngineError(ErrorCode.INVALID_CONFIG, "an alias stands twice")
+        names = contigs.select("chrom_id", F.col("chrom").alias("__name"))
+        kept = raw.drop("chrom_id").where((F.col("pos") >= 1) & dna.included_flags(F.col("flag")) & dna.has_sequence(F.col("seq")))
+        kept = kept.join(broadcast_if_small(names), F.col("chrom") == F.col("__name")).drop("__name")
         for name, default in (("build_id", F.lit(0).cast("bigint")), ("record_id", F.xxhash64("source_file_id", "bam_offset", "qname", "flag", "mapq", "cigar", "seq"))):
             if name not in kept.columns:
                 kept = kept.withColumn(name, default)
@@ -77,7 +116,6 @@ class ReadIndex:
         kept = kept.withColumn("seq", dna.bases(F.col("seq"))).withColumn("qual", qual).withColumn("l_seq", F.length("seq").cast("bigint")).withColumn("span", cigar.ref_span(F.col("cigar")))
         kept = kept.select(*[c for c in _READ_COLUMNS if c not in ("read_id", "s_start")]).withColumn("__width", F.col("l_seq") + 1)
         placed = ordering.with_rank_and_sum(kept, ordering.ORDER, "read_id", "build_id", "__width", "s_start")
-        path = path.rstrip("/")
         placed.select(*_READ_COLUMNS).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/reads")
         reads = spark.read.parquet(f"{path}/reads")
         if reads.isEmpty():
@@ -85,8 +123,11 @@ class ReadIndex:
         windows.window_table(reads, config.window_size).write.mode("overwrite").parquet(f"{path}/windows")
         if config.word_size:
             postings.build_postings(reads, config.word_size).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
-        contigs.select("chrom_id", "chrom").write.mode("overwrite").parquet(f"{path}/contigs")
-        facts = reads.agg(F.count(F.lit(1)).alias("n_reads"), F.sum("l_seq").alias("n_bases"), F.count_distinct("build_id").alias("n_builds"), F.min("l_seq").alias("shortest"), F.max("l_seq").alias("longest")).first().asDict()
+        held = reads.groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n_reads"), F.max("span").alias("longest_span"))
+        whole = contigs.select("chrom_id", "chrom").join(held, "chrom_id", "left").na.fill(0, ["n_reads", "longest_span"])
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{path}/contigs")
+        records.directory(reads, config.block_size).write.mode("overwrite").parquet(f"{path}/directory")
+        facts = reads.agg(F.count(F.lit(1)).alias("n_reads"), F.sum("l_seq").alias("n_bases"), F.count_distinct("build_id").alias("n_builds"), F.count_distinct("source_file_id").alias("n_files"), F.min("l_seq").alias("shortest"), F.max("l_seq").alias("longest")).first().asDict()
         info = {
             "format": FORMAT,
             "engine_version": __version__,
@@ -94,12 +135,12 @@ class ReadIndex:
             **facts,
             "s_length": facts["n_bases"] + facts["n_reads"] - facts["n_builds"],
             "n_windows": spark.read.parquet(f"{path}/windows").count(),
-            "n_contigs": contigs.count(),
-            "mode": "ENHANCED" if config.enhanced or config.word_size else "BASE",
+            "n_contigs": spark.read.parquet(f"{path}/contigs").count(),
+            "mode": "ENHANCED" if config.enhanced else "BASE",
             "is_lossless": config.lossless,
             "manifest": manifest,
             "ordering_digest": digests.ordering_tree(reads),
-            "reads_checksum": digests.table_checksum(reads),
+            "checksums": _checksums(spark, path, config),
             "config": asdict(replace(config, strand=config.strand.value, overlap=config.overlap.value)),
         }
         _write_text(spark, f"{path}/info.json", json.dumps(info, indent=1))
@@ -145,8 +186,8 @@ class ReadIndex:
             return self.reads
         return postings.candidates(self.reads, self.postings, self.word_size, pattern, strand or self.strand)
 
-    def count(self, pattern: str, strand: Strand | None = None, overlap: Overlap = Overlap.ALL) -> int:
-        return matching.count_matches(self._reads_for(pattern, strand), [pattern], strand or self.strand, overlap).first()["n"]
+    def count(self, pattern: str, strand: Strand | None = None, overlap: Overlap | None = None) -> int:
+        return matching.count_matches(self._reads_for(pattern, strand), [pattern], strand or self.strand, overlap or self.overlap).first()["n"]
 
     def timed_count(self, pattern: str, strand: Strand | None = None) -> dict:
         """count with seconds: load (opening the tables), search, total."""
@@ -158,7 +199,7 @@ class ReadIndex:
         return {"count": n, "load_seconds": loaded - began, "search_seconds": done - loaded, "total_seconds": done - began}
 
     def counts(self, patterns: list[str], strand: Strand | None = None) -> DataFrame:
-        return matching.count_matches(self.reads, patterns, strand or self.strand)
+        return matching.count_matches(self.reads, patterns, strand or self.strand, self.overlap)
 
     def exists(self, pattern: str, threshold: int = 1, strand: Strand | None = None) -> bool:
         return matching.exists(self._reads_for(pattern, strand), pattern, threshold, strand or self.strand).first()["exists"]
@@ -179,12 +220,21 @@ class ReadIndex:
         for row in self.locate(pattern, strand).toLocalIterator():
             yield row.asDict()
 
+    def near_region(self, region: Region) -> DataFrame:
+        """The reads that may hold a match in a region. contig and both bounds of pos reach the Parquet scan as filters; in
+        an enhanced index so do the read ids of the windows that touch the region."""
+        row = self.contigs.where(F.col("chrom") == region.chrom).first()
+        if row is None:
+            return self.reads.where(F.lit(False))
+        near = matching.near_region(self.reads, row["chrom_id"], region, row["longest_span"])
+        if self.enhanced:
+            touched = windows.windows_of_region(self.windows, row["chrom_id"], region.start, region.end)
+            ids = touched.agg(F.min("first_read_id").alias("a"), F.max("last_read_id").alias("z")).first()
+            near = near.where(F.lit(False)) if ids["a"] is None else near.where((F.col("read_id") >= ids["a"]) & (F.col("read_id") <= ids["z"]))
+        return near
+
     def in_region(self, pattern: str, region: Region, strand: Strand | None = None) -> DataFrame:
-        chrom = self.chrom_id(region.chrom)
-        near = matching.near_region(self.reads, chrom, region)
-        if chrom is not None:
-            near = near.where(F.col("pos") + F.greatest(F.col("span"), F.lit(1)) - 1 >= region.start)
-        return matching.in_region(self._locate(near, pattern, strand), chrom, region)
+        return matching.in_region(self._locate(self.near_region(region), pattern, strand), self.chrom_id(region.chrom), region)
 
     def region_count(self, pattern: str, region: Region, strand: Strand | None = None) -> int:
         return self.in_region(pattern, region, strand).count()
@@ -198,6 +248,41 @@ class ReadIndex:
 
     # --- management
 
+    def document(self, with_bwt: bool = False) -> dict:
+        """All that is known of the index, under the names of the info contract. The last row, runs and ratio of the
+        Burrows-Wheeler transform are computed only on request: they need the suffix array of every build's text."""
+        i, c = self.info, self.info["config"]
+        strand = {"complete": (0, "strand_complete"), "single": (1, "single_strand")}[c["strand"]]
+        out = {
+            "magic": MAGIC, "format_version": i["format"], "engine_version": i["engine_version"], "build_timestamp_utc": i["built_at"], "is_lossless": i["is_lossless"],
+            "source_file_count": i["n_files"], "source_manifest_hash": i["manifest"] or "0" * 64, "ordering_hash": i["ordering_digest"],
+            "S_length": i["s_length"], "N_reads": i["n_reads"], "N_windows": i["n_windows"], "sample_step_s": c["sample_step"], "has_isa_samples": c["isa_step"] > 0,
+            "sample_step_s_prime": c["isa_step"], "enable_sarange": c["enhanced"], "enable_bidirectional": False, "recommended_seed_length": c["seed_length"],
+            "window_size_T": c["window_size"], "entropy_order_k": c["entropy_k"], "qual_codec_id": QUALITY_CODECS.index(c["quality_codec"]) + 1, "qual_lossy_bins": c["quality_bins"],
+            "meta_codec_id": META_CODECS.index(c["meta_codec"]) + 1, "map_codec_id": MAP_CODECS.index(c["map_codec"]) + 1, "strand_mode": strand[0], "sentinel_row": None,
+            "seq_block_size": c["block_size"], "qual_block_size": c["block_size"], "allow_parallel_sa": True, "reference_based_encoding": bool(c["reference"]),
+            "sa_samples_count": -(-(i["s_length"] + i["n_builds"]) // c["sample_step"]), "chrom_count": i["n_contigs"],
+            "chrom_name_table": [{"chrom_id": r["chrom_id"], "name": r["chrom"]} for r in self.contigs.orderBy("chrom_id").toLocalIterator()],
+            "mode": i["mode"], "strand_mode_name": strand[1], "bwt_runs": None, "S_over_r": None,
+        }
+        if with_bwt:
+            rows = self.bwt_facts().orderBy("build_id").collect()  # one per build
+            out["sentinel_row"] = rows[0]["sentinel_row"] if len(rows) == 1 else [r["sentinel_row"] for r in rows]
+            out["bwt_runs"] = sum(r["runs"] for r in rows)
+            out["S_over_r"] = round(i["s_length"] / out["bwt_runs"], 2)
+        return out
+
+    def build_texts(self) -> DataFrame:
+        """text_id, s: the text of every build. A build's text is made by one task and must fit it."""
+        parts = self.reads.groupBy("build_id").agg(F.array_sort(F.collect_list(F.struct("read_id", "seq"))).alias("x"))
+        return parts.select(F.col("build_id").alias("text_id"), F.array_join(F.transform("x", lambda r: r["seq"]), "#").alias("s"))
+
+    def bwt_facts(self) -> DataFrame:
+        """build_id, sentinel_row, runs, ratio of each build's text."""
+        sa = materialize(fm.suffix_array(self.build_texts()), "suffixes")
+        row = sa.where("s_pos = 0").select("text_id", F.col("row").alias("sentinel_row"))
+        return row.join(fm.bwt_runs(sa), "text_id").select(F.col("text_id").alias("build_id"), "sentinel_row", "runs", "ratio")
+
     def texts(self) -> DataFrame:
         """text_id, s: one text per read. Suffix order inside a read is the order in the build's text."""
         return self.reads.select(F.col("read_id").alias("text_id"), F.col("seq").alias("s"))
@@ -206,14 +291,17 @@ class ReadIndex:
         return fm.suffix_array(self.texts())
 
     def checks(self, strict: bool = False) -> DataFrame:
-        """check, bad: stored checksum and version; with strict, also counts, order and invariants."""
-        out = {"checksum": int(digests.table_checksum(self.reads) != self.info["reads_checksum"])}
+        """check, bad: the stored checksum of every stream and table; with strict, also counts, order and invariants."""
+        config = BuildConfig(**{**self.info["config"], "strand": self.strand, "overlap": self.overlap})
+        now = _checksums(self.spark, self.path, config)
+        out = {f"checksum_{k}": int(now.get(k) != v) for k, v in self.info["checksums"].items()}
         if strict:
             out["n_reads"] = int(self.reads.count() != self.n_reads)
             out["n_windows"] = int(self.windows.count() != self.n_windows)
             out["n_contigs"] = int(self.contigs.count() != self.chrom_count)
             out["ordering_digest"] = int(digests.ordering_tree(self.reads) != self.info["ordering_digest"])
             out |= {r["check"]: r["bad"] for r in records.invariants(self.reads, self.contigs).collect()}
+            out |= {r["check"]: r["bad"] for r in windows.window_invariants(self.reads, self.windows).collect()}
         return self.spark.createDataFrame(list(out.items()), "check string, bad bigint")
 
     def verify(self, strict: bool = False) -> bool:

@@ -52,8 +52,13 @@ MAP_CODECS = ("DELTA_RANGE", "RAW")
 
 @dataclass(frozen=True)
 class BuildConfig:
-    """Settings of an index build. Those that have no effect on results are accepted and recorded.
-    word_size above 0 adds postings of words of so many bases."""
+    """Settings of an index build.
+
+    quality_bins and the codec BINNED_RANGE change the stored qualities; window_size makes the windows and enhanced has
+    region queries ask them first; overlap and strand are the defaults of counting; block_size makes the directory of the
+    streams; word_size above 0 adds postings of words of so many bases. Storage is Parquet with zstd whatever the codecs,
+    and no query walks sampled suffixes or starts threads of its own: quality_codec (but for BINNED_RANGE), meta_codec,
+    map_codec, sample_step, isa_step, reference, threads, entropy_k and seed_length are recorded in info, nothing more."""
 
     window_size: int = 100_000
     sample_step: int = 64

@@ -3,12 +3,16 @@
 One task reads one file: a record's bam_offset is its place among all records of its file, excluded ones counted, which
 needs the file from its start. Many files make many tasks. Records travel as Arrow batches. Register with
 `register(spark)`, then spark.read.format("bam").load("folder/*.bam"); columns as in reads_raw, source_file_id being the
-place of the path in sorted order. Written folders hold one file per task, with a header made of the `contigs` option.
+place of the path in sorted order. aux has the form of BAM files in both formats. Written folders hold one file per task,
+with a header made of the `contigs` option. Paths may be local or of any file system that pyarrow reaches (hdfs, s3, gs);
+on a cluster all hosts must see them. CRAM files are refused: their codecs aren't implemented.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import io
+import itertools
 import json
 import os
 import re
@@ -18,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -36,9 +41,35 @@ _OPS = "MIDNSHP=X"
 _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def open_input(path: str):
+    system, inner = _system(path)
+    return system.open_input_stream(inner, compression=None)
+
+
+def files_of(paths: str) -> list[str]:
+    """The files of comma-separated paths, patterns and folders (their *.bam and *.sam), sorted."""
+    out = set()
+    for given in paths.split(","):
+        system, inner = _system(given)
+        prefix = given[: len(given) - len(inner)] if given.endswith(inner) and "://" in given else ""
+        if re.search(r"[*?\[]", inner):
+            folder = re.split(r"[*?\[]", inner)[0].rpartition("/")[0] or "/"
+            listed = system.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True))
+            out |= {prefix + f.path for f in listed if f.is_file and fnmatch.fnmatch(f.path, inner) and f.path.count("/") == inner.count("/")}
+        elif system.get_file_info(inner).type == fs.FileType.Directory:
+            out |= {prefix + f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file and f.path.endswith(("bam", "sam"))}
+        elif system.get_file_info(inner).type == fs.FileType.File:
+            out.add(prefix + inner)
+    return sorted(out)
+
+
 def inflate(path: str, size: int = 1 << 20) -> Iterator[bytes]:
     """The content of a file of concatenated gzip members."""
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         unzip, rest = zlib.decompressobj(31), b""
         while data := rest or f.read(size):
             rest = b""
@@ -73,12 +104,79 @@ def read_header(stream: _Stream) -> tuple[str, list[tuple[str, int]]]:
     return text, contigs
 
 
+def _lines(path: str) -> Iterator[str]:
+    with open_input(path) as f:
+        yield from io.TextIOWrapper(f, encoding="utf-8", errors="replace", newline="\n")
+
+
 def header_bytes(path: str) -> bytes:
     """A file's header as it stands: the text of a BAM header, or the lines of a SAM file that begin with '@'."""
     if path.endswith("bam"):
         return read_header(_Stream(inflate(path)))[0].encode()
-    with open(path, "rb") as f:
-        return b"".join(iter(lambda: x if (x := f.readline()).startswith(b"@") else b"", b""))
+    return "".join(itertools.takewhile(lambda x: x.startswith("@"), _lines(path))).encode()
+
+
+def header_contigs(path: str) -> list[tuple[str, int]]:
+    """(name, length) of every contig that a file's header names, with or without reads."""
+    if path.endswith("bam"):
+        return read_header(_Stream(inflate(path)))[1]
+    fields = [dict(x.split(":", 1) for x in line.rstrip().split("\t")[1:] if ":" in x) for line in header_bytes(path).decode().splitlines() if line.startswith("@SQ")]
+    return [(x["SN"], int(x.get("LN", 0))) for x in fields if "SN" in x]
+
+
+#: Letters of the number types of tags, and how they are stored. Fixed by the format.
+_NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+
+
+def aux_text(aux: bytes | None) -> list[str]:
+    """The tags of a BAM record as SAM fields."""
+    data, at, out = bytes(aux or b""), 0, []
+    try:
+        while at < len(data):
+            tag, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
+            if kind == "A":
+                value, at = chr(data[at]), at + 1
+            elif kind in _NUMBERS:
+                (number,) = struct.unpack_from("<" + _NUMBERS[kind], data, at)
+                at += struct.calcsize(_NUMBERS[kind])
+                kind, value = ("f", f"{number:.9g}") if kind == "f" else ("i", str(number))
+            elif kind in "ZH":
+                end = data.index(0, at)
+                value, at = data[at:end].decode(), end + 1
+            elif kind == "B":
+                sub, (n,) = chr(data[at]), struct.unpack_from("<I", data, at + 1)
+                numbers = struct.unpack_from(f"<{n}{_NUMBERS[sub]}", data, at + 5)
+                at += 5 + n * struct.calcsize(_NUMBERS[sub])
+                value = ",".join([sub, *(f"{x:.9g}" if sub == "f" else str(x) for x in numbers)])
+            else:
+                raise ValueError(kind)
+            out.append(f"{tag}:{kind}:{value}")
+    except (IndexError, KeyError, ValueError, struct.error) as e:
+        raise ValueError(f"aux is no list of tags: {data[:40].hex()}") from e
+    return out
+
+
+def aux_bytes(fields: list[str]) -> bytes:
+    """SAM tag fields as in a BAM record; whole numbers take 32 bits."""
+    out = bytearray()
+    for field in fields:
+        tag, kind, value = field.split(":", 2)
+        out += tag.encode()
+        if kind == "A":
+            out += b"A" + value.encode()[:1]
+        elif kind == "i":
+            number = int(value)
+            out += struct.pack("<ci", b"i", number) if number < 1 << 31 else struct.pack("<cI", b"I", number)
+        elif kind == "f":
+            out += struct.pack("<cf", b"f", float(value))
+        elif kind in "ZH":
+            out += kind.encode() + value.encode() + b"\0"
+        elif kind == "B":
+            sub, *numbers = value.split(",")
+            out += b"B" + sub.encode() + struct.pack(f"<I{len(numbers)}{_NUMBERS[sub]}", len(numbers), *[float(x) if sub == "f" else int(x) for x in numbers])
+        else:
+            raise ValueError(f"tag {field[:40]}")
+    return bytes(out)
 
 
 def bam_records(path: str) -> Iterator[tuple]:
@@ -104,21 +202,20 @@ def bam_records(path: str) -> Iterator[tuple]:
 
 
 def sam_records(path: str) -> Iterator[tuple]:
-    with open(path, encoding="utf-8", errors="replace") as f:
-        for line in f:
-            if line.startswith("@") or not line.strip():
-                continue
-            x = line.rstrip("\r\n").split("\t")
-            qual = [ord(c) - 33 for c in x[10]] if x[10] != "*" else [255] * (len(x[9]) if x[9] != "*" else 0)
-            yield x[0], int(x[1]), None if x[2] == "*" else x[2], int(x[3]), int(x[4]), x[5], x[9], qual, "\t".join(x[11:]).encode()
+    for line in _lines(path):
+        if line.startswith("@") or not line.strip():
+            continue
+        x = line.rstrip("\r\n").split("\t")
+        qual = [ord(c) - 33 for c in x[10]] if x[10] != "*" else [255] * (len(x[9]) if x[9] != "*" else 0)
+        yield x[0], int(x[1]), None if x[2] == "*" else x[2], int(x[3]), int(x[4]), x[5], x[9], qual, aux_bytes(x[11:])
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, records):
-        given = options["path"]
-        self.paths = sorted({p for g in given.split(",") for p in glob.glob(re.sub("^file:(//)?", "", g))} or [])
-        self.paths = [q for p in self.paths for q in (sorted(glob.glob(f"{p}/*.?am")) if os.path.isdir(p) else [p])]
+        self.paths = files_of(options["path"])
         self.records = records
+        if bad := [p for p in self.paths if p.endswith(".cram")]:
+            raise ValueError(f"CRAM files can't be read: {bad[0]}")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(len(self.paths))]
@@ -166,8 +263,10 @@ def bam_record(row: dict, ids: dict[str, int]) -> bytes:
     seq = "" if row["seq"] in (None, "*") else row["seq"].upper()
     codes = [max(_BASES.find(c), 0) if c in _BASES else 15 for c in seq] + [0]
     packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-    qual = [255 if q is None else q & 255 for q in (row["qual"] or [])][: len(seq)]
-    name = (row["qname"] or "*").encode()[:254] + b"\0"
+    qual = [255 if q is None else q & 255 for q in row["qual"] or []]
+    name = (row["qname"] or "*").encode() + b"\0"
+    if len(name) > 255 or len(qual) > len(seq):
+        raise ValueError(f"read {row['qname']}: a name takes at most 254 bytes, and there are at most as many qualities as bases")
     body = struct.pack("<iiBBHHHiiii", ids.get(row["chrom"], -1), (row["pos"] or 0) - 1, len(name), row["mapq"] if row["mapq"] is not None else 255, 0, len(ops), row["flag"], len(seq), -1, -1, 0)
     body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + bytes(qual + [255] * (len(seq) - len(qual))) + bytes(row["aux"] or b"")
     return struct.pack("<i", len(body)) + body
@@ -175,24 +274,25 @@ def bam_record(row: dict, ids: dict[str, int]) -> bytes:
 
 def sam_line(row: dict) -> str:
     qual = "".join(chr(33 + min(q, 93)) for q in row["qual"]) if row["qual"] and not all(q == 255 for q in row["qual"]) else "*"
-    fields = [row["qname"] or "*", row["flag"], row["chrom"] or "*", row["pos"] or 0, 255 if row["mapq"] is None else row["mapq"], row["cigar"] or "*", "*", 0, 0, row["seq"] or "*", qual]
+    fields = [row["qname"] or "*", row["flag"], row["chrom"] or "*", row["pos"] or 0, 255 if row["mapq"] is None else row["mapq"], row["cigar"] or "*", "*", 0, 0, row["seq"] or "*", qual, *aux_text(row["aux"])]
     return "\t".join(map(str, fields)) + "\n"
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool, kind: str):
-        self.folder = re.sub("^file:(//)?", "", options["path"])
+        self.folder = options["path"].rstrip("/")
         self.contigs = json.loads(options.get("contigs", "[]"))
         self.kind, self.overwrite, self.run = kind, overwrite, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.folder, exist_ok=True)
+        system, folder = _system(self.folder)
+        system.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        path = f"{self.folder}/part-{context.partitionId():05d}-{self.run[:8]}.{self.kind}"
+        path = f"{folder}/part-{context.partitionId():05d}-{self.run[:8]}.{self.kind}"
         draft = f"{path}.{context.taskAttemptId()}.tmp"
-        with open(draft, "wb") as f:
+        with system.open_output_stream(draft) as f:
             if self.kind == "bam":
                 ids = {n: i for i, (n, _) in enumerate(self.contigs)}
                 f.write(bgzf(bam_header(self.contigs)))
@@ -207,18 +307,22 @@ class _Writer(DataSourceWriter):
                 f.write(_sam_header(self.contigs).encode())
                 for row in rows:
                     f.write(sam_line(row.asDict()).encode())
-        os.replace(draft, path)
+        system.move(draft, path)
         return WriterCommitMessage()
 
+    def _parts(self) -> list[tuple[fs.FileSystem, str]]:
+        system, folder = _system(self.folder)
+        return [(system, x.path) for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if os.path.basename(x.path).startswith("part-")]
+
     def commit(self, messages: list) -> None:
-        if self.overwrite:
-            for p in glob.glob(f"{self.folder}/part-*.{self.kind}"):
-                if self.run[:8] not in p:
-                    os.remove(p)
+        for system, path in self._parts():
+            if path.endswith(".tmp") and self.run[:8] in path or self.overwrite and path.endswith(f".{self.kind}") and self.run[:8] not in path:
+                system.delete_file(path)
 
     def abort(self, messages: list) -> None:
-        for p in glob.glob(f"{self.folder}/part-*{self.run[:8]}*"):
-            os.remove(p)
+        for system, path in self._parts():
+            if self.run[:8] in path:
+                system.delete_file(path)
 
 
 class BamSource(DataSource):

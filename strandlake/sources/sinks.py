@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,25 @@ def json_lines(matches: DataFrame) -> DataFrame:
     return matches.select(F.to_json(F.struct(*MATCH)).alias("json"))
 
 
+def json_document(matches: DataFrame, mode: str = "sorted") -> DataFrame:
+    """json: one document {"mode", "matches", "count"}, the matches in the order of `ord` where there is one. One task makes
+    it, so it is for results of a known size; larger ones are written by json_pieces()."""
+    order = [F.col("ord")] if "ord" in matches.columns else []
+    held = matches.agg(F.array_sort(F.collect_list(F.struct(*order, *MATCH))).alias("x"))
+    rows = F.transform("x", lambda m: F.struct(*[m[c].alias(c) for c in MATCH]))
+    return held.select(F.to_json(F.struct(F.lit(mode).alias("mode"), rows.alias("matches"), F.size("x").cast("bigint").alias("count"))).alias("json"))
+
+
+def json_pieces(matches: DataFrame, mode: str = "sorted") -> Iterator[str]:
+    """The same document piece by piece; the driver holds one partition at a time."""
+    yield f'{{"mode":"{mode}","matches":['
+    n = 0
+    for row in json_lines(matches).toLocalIterator():
+        yield ("," if n else "") + row["json"]
+        n += 1
+    yield f'],"count":{n}}}'
+
+
 def json_summary(matches: DataFrame, mode: str = "sorted") -> DataFrame:
     """json: {"mode", "count"} of a result."""
     return matches.agg(F.count(F.lit(1)).alias("count")).select(F.to_json(F.struct(F.lit(mode).alias("mode"), "count")).alias("json"))
