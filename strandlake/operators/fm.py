@@ -3,7 +3,12 @@
 texts: text_id, s over A, C, G, T, N and the separator '#'. Every text gets an end mark that is smaller than all; the order
 of symbols is $ < A < C < G < T < N < #. Suffixes are ranked by prefix doubling: first by their next FIRST symbols, then by
 pairs of ranks. A round takes only the suffixes that still share a rank: one range sort over all texts and one join on the
-text position. No suffix is ever written out, no text has to fit a task, and there are log2(longest repeat / FIRST) rounds.
+text position. No suffix is ever written out, suffixes of one text lie in many tasks (the text itself, a string of a row, is
+cut up by one), and there are log2(longest repeat / FIRST) rounds.
+
+What an index of the transform does is built on blocks of BWT symbols with counts before them: rank at any place, the
+mapping from a row to the one of the suffix a position further left (LF), backward search, and positions of rows by walks
+along LF to sampled rows, of which all are walked at once by doubling.
 """
 
 from __future__ import annotations
@@ -12,10 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlake.operators.ordering import with_rank, with_running_sum
+from strandlake.operators.ordering import with_rank, with_running_sum, with_running_sums
 from strandlake.session import materialize
 
 SYMBOLS = "$ACGTN#"
@@ -48,20 +56,52 @@ def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 
+def _runs(keys: list[int]):
+    """Adds to sorted rows the partition, the place of the first row with equal keys, and whether another row has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, start, held = TaskContext.get().partitionId(), 0, 0, None
+
+        def finish(batch: pa.RecordBatch, first: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+            own = [pa.repeat(pa.scalar(part, pa.int64()), batch.num_rows), pa.array(first), pa.array(again)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "__part", "__in", "__again"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)  # differs from the row before
+            for k in keys:
+                c = batch.column(k)
+                new[1:] &= ~pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) if batch.num_rows > 1 else True
+            new[1:] = ~new[1:]
+            if held is not None:
+                new[0] = any(batch.column(k)[0] != held[0].column(k)[-1] for k in keys)
+            places = np.arange(n, n + batch.num_rows)
+            first = np.maximum.accumulate(np.where(new, places, start))
+            again = ~new
+            again[:-1] |= ~new[1:]
+            if held is not None:
+                held[2][-1] |= not new[0]
+                yield finish(*held)
+            held, n, start = (batch, first, again), n + batch.num_rows, int(first[-1])
+        if held is not None:
+            yield finish(*held)
+
+    return run
+
+
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with __rank, how many rows have smaller keys (equal rows having the same), and __same, how many share it."""
+    """rows with __rank, how many rows have smaller keys (equal rows having the same), and __again, whether another has it.
+    One shuffle: rows are numbered where the range sort leaves them."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(rows.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()), "suffixes")
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.LongType()), T.StructField("__in", T.LongType()), T.StructField("__again", T.BooleanType())])
+    sorted_ = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = materialize(sorted_.mapInArrow(_runs([rows.columns.index(k) for k in keys]), schema), "suffixes")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     before = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    place = Window.partitionBy("__part").orderBy(*keys)
-    # equal keys lie in one partition; rank() and the end of their range give their number without another sort
-    ranged = place.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = placed.withColumn("__in", F.rank().over(place)).withColumn("__to", F.count(F.lit(1)).over(ranged))
-    joined = counted.join(F.broadcast(before), "__part")  # at most n rows
-    rank = F.col("__before") + F.col("__in") - 1
-    return joined.withColumn("__rank", rank).withColumn("__same", F.col("__to") - F.col("__in") + 1).drop("__part", "__in", "__to", "__before")
+    joined = placed.join(F.broadcast(before), "__part")  # at most n rows
+    return joined.withColumn("__rank", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
@@ -73,21 +113,22 @@ def suffix_array(texts: DataFrame) -> DataFrame:
     """
     kind = texts.schema["text_id"].dataType.simpleString()
     rows = texts.where("s is not null").select("text_id", "s").mapInArrow(_first_keys, f"text_id {kind}, s_pos bigint, k1 bigint, k2 bigint, k3 bigint, code int, bwt int")
-    symbol = lambda c: F.substring(F.lit(SYMBOLS), F.col(c) + 1, F.lit(1)).alias(c)
-    rows = rows.select("text_id", "s_pos", "k1", "k2", "k3", symbol("code"), symbol("bwt"))
-    state = materialize(_ranked(rows, ["text_id", "k1", "k2", "k3"]).drop("k1", "k2", "k3"), "ranks")
-    done, open_, width = state.where("__same = 1"), state.where("__same > 1"), FIRST
+    state = _ranked(rows, ["text_id", "k1", "k2", "k3"]).drop("k1", "k2", "k3")
+    done, open_, width = state.where("not __again"), state.where("__again"), FIRST
     while not open_.isEmpty():
-        known = done.unionByName(open_)
-        after = known.select("text_id", (F.col("s_pos") - width).alias("s_pos"), F.col("__rank").alias("__next"))
-        pairs = open_.withColumnRenamed("__rank", "__now").drop("__same").join(after, ["text_id", "s_pos"], "left")
+        # of all ranks only those that open suffixes need are fetched, so that a small rest moves nothing else
+        wanted = open_.select("text_id", (F.col("s_pos") + width).alias("s_pos")).distinct()
+        after = done.select("text_id", "s_pos", "__rank").unionByName(open_.select("text_id", "s_pos", "__rank")).join(wanted, ["text_id", "s_pos"])
+        after = after.select("text_id", (F.col("s_pos") - width).alias("s_pos"), F.col("__rank").alias("__next"))
+        pairs = open_.withColumnRenamed("__rank", "__now").drop("__again").join(after, ["text_id", "s_pos"], "left")
         fresh = _ranked(pairs.withColumn("__next", F.coalesce("__next", F.lit(-1))), ["__now", "__next"])
         least = fresh.groupBy("__now").agg(F.min("__rank").alias("__least"))
         moved = fresh.join(least, "__now").withColumn("__rank", F.col("__now") + F.col("__rank") - F.col("__least"))
         state = materialize(moved.select(*state.columns), "ranks")
-        done, open_, width = done.unionByName(state.where("__same = 1")), state.where("__same > 1"), width * 2
+        done, open_, width = done.unionByName(state.where("not __again")), state.where("__again"), width * 2
     first = done.groupBy("text_id").agg(F.min("__rank").alias("__first"))
-    return done.join(first, "text_id").select("text_id", (F.col("__rank") - F.col("__first")).alias("row"), "s_pos", "code", "bwt")
+    symbol = lambda c: F.substring(F.lit(SYMBOLS), F.col(c) + 1, F.lit(1)).alias(c)
+    return done.join(first, "text_id").select("text_id", (F.col("__rank") - F.col("__first")).alias("row"), "s_pos", symbol("code"), symbol("bwt"))
 
 
 def c_array(texts: DataFrame) -> DataFrame:
@@ -99,16 +140,6 @@ def c_array(texts: DataFrame) -> DataFrame:
     return counted.select("text_id", F.inline(F.array(*sums)))
 
 
-def lf_mapping(sa: DataFrame) -> DataFrame:
-    """text_id, row, lf: the row of the suffix one position to the left. As positions are known, it is a join of s_pos
-    with s_pos - 1; the whole text's suffix leads to the end mark's."""
-    left = sa.select("text_id", "row", "s_pos")
-    right = sa.select("text_id", F.col("row").alias("lf"), F.col("s_pos").alias("__to"))
-    ends = sa.groupBy("text_id").agg(F.max("s_pos").alias("__end"))
-    wanted = left.join(ends, "text_id").withColumn("__to", F.when(F.col("s_pos") == 0, F.col("__end")).otherwise(F.col("s_pos") - 1))
-    return wanted.join(right, ["text_id", "__to"]).select("text_id", "row", "lf")
-
-
 def occ_checkpoints(sa: DataFrame, step: int = 64) -> DataFrame:
     """text_id, checkpoint, code, n: how often each symbol stands in the BWT before row checkpoint * step."""
     per = sa.groupBy("text_id", F.floor(F.col("row") / step).cast("bigint").alias("checkpoint")).pivot("bwt", list(SYMBOLS)).count().na.fill(0)
@@ -117,15 +148,102 @@ def occ_checkpoints(sa: DataFrame, step: int = 64) -> DataFrame:
     return with_running_sum(rows, "__line", "checkpoint", "count", "n").select("text_id", "checkpoint", "code", "n")
 
 
-def backward_search(texts: DataFrame, sa: DataFrame, pattern: str) -> DataFrame:
-    """text_id, lo, hi: the rows of the suffixes that start with the pattern, half-open; (0, 0) where there are none.
-    The pattern's places are found in the text, and the suffix array tells their rows."""
-    n = len(pattern)
-    offsets = F.filter(F.sequence(F.lit(0), F.length("s") - n), lambda i: F.col("s").substr(i + 1, F.lit(n)) == pattern)
-    places = texts.where(F.col("s").contains(pattern)).select("text_id", F.explode(offsets).alias("s_pos")).withColumn("s_pos", F.col("s_pos").cast("bigint"))
-    found = sa.join(places, ["text_id", "s_pos"]).groupBy("text_id").agg(F.min("row").alias("lo"), (F.max("row") + 1).alias("hi"))
+def bwt_blocks(bwt: DataFrame, step: int = 64) -> DataFrame:
+    """text_id, block, symbols, before: the transform (text_id, row, bwt) in strings of `step` symbols, and how often each
+    of SYMBOLS stands in earlier blocks. Written once, as it is what the index is read from."""
+    rows = bwt.select("text_id", F.floor(F.col("row") / step).cast("bigint").alias("block"), F.struct("row", "bwt").alias("x"))
+    blocks = rows.groupBy("text_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bwt"]), "").alias("symbols"))
+    counted = blocks.select("*", *[_times(F.col("symbols"), F.lit(x)).alias(f"__n{i}") for i, x in enumerate(SYMBOLS)])
+    summed = with_running_sums(counted, "text_id", "block", {f"__s{i}": f"__n{i}" for i in range(len(SYMBOLS))})
+    return materialize(summed.select("text_id", "block", "symbols", F.array(*[F.col(f"__s{i}") for i in range(len(SYMBOLS))]).alias("before")), "blocks")
+
+
+def _times(text: Column, symbol: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, symbol, F.lit("")))).cast("bigint")
+
+
+def _code(symbol: Column) -> Column:
+    return F.instr(F.lit(SYMBOLS), symbol) - 1
+
+
+def symbol_starts(blocks: DataFrame) -> DataFrame:
+    """text_id, c, rows: from the blocks, an array of the first row of every symbol's suffixes, and the number of rows."""
+    last = blocks.groupBy("text_id").agg(F.max_by(F.struct("symbols", "before"), "block").alias("x"), F.sum(F.length("symbols")).alias("rows"))
+    total = [F.get("x.before", F.lit(i)) + _times(F.col("x.symbols"), F.lit(s)) for i, s in enumerate(SYMBOLS)]
+    counts = last.select("text_id", "rows", *[t.alias(f"__t{i}") for i, t in enumerate(total)])
+    return counts.select("text_id", F.array(*[sum((F.col(f"__t{j}") for j in range(i)), F.lit(0).cast("bigint")) for i in range(len(SYMBOLS))]).alias("c"), "rows")
+
+
+def rank_at(blocks: DataFrame, places: DataFrame, symbol: str, place: str, name: str, step: int = 64) -> DataFrame:
+    """places (text_id, symbol, place) with `name`: how often the symbol stands in the transform before row `place`, any
+    from 0 to the number of rows. Places beyond, and of texts that aren't there, are dropped."""
+    block = F.when(F.col(place) == 0, 0).otherwise(F.floor((F.col(place) - 1) / step)).cast("bigint")
+    right = blocks.select(F.col("text_id").alias("__t"), F.col("block").alias("__b"), "symbols", "before")
+    joined = places.withColumn("__block", block).join(right, (F.col("text_id") == F.col("__t")) & (F.col("__block") == F.col("__b")))
+    inside = F.col("symbols").substr(F.lit(1), (F.col(place) - F.col("__block") * step).cast("int"))
+    joined = joined.where(F.col(place) - F.col("__block") * step <= F.length("symbols"))
+    return joined.select(*places.columns, (F.get("before", _code(F.col(symbol))) + _times(inside, F.col(symbol))).alias(name))
+
+
+def backward_search(blocks: DataFrame, pattern: str, step: int = 64) -> DataFrame:
+    """text_id, lo, hi: the rows of the suffixes that start with the pattern, half-open; (0, 0) where there are none. The
+    range is narrowed from the pattern's last symbol on, by the symbols' first rows and two ranks a symbol; a step handles
+    all texts, and of the blocks only those that hold a bound are joined."""
+    starts = materialize(symbol_starts(blocks), "starts")
+    zero = F.lit(0).cast("bigint")
+    state = starts.select("text_id", "c", zero.alias("lo"), F.col("rows").alias("hi"))
+    for x in reversed(pattern):
+        for bound in ("lo", "hi"):
+            state = rank_at(blocks, state.withColumn("__x", F.lit(x)), "__x", bound, "__rank", step).withColumn(bound, F.get("c", _code(F.lit(x))) + F.col("__rank")).drop("__rank", "__x")
+        state = materialize(state, "range")
+    some = F.col("lo") < F.col("hi")
+    return state.select("text_id", *[F.when(some, F.col(b)).otherwise(zero).alias(b) for b in ("lo", "hi")])
+
+
+def lf_mapping(blocks: DataFrame, step: int = 64) -> DataFrame:
+    """text_id, row, symbol, lf: for every row its symbol and the row of the suffix one position to the left, from the
+    symbols' first rows and their ranks inside the block; no row is joined with another."""
+    rows = blocks.join(symbol_starts(blocks), "text_id").select("text_id", "block", "symbols", "before", "c", F.posexplode(F.split("symbols", "")).alias("i", "symbol"))
+    rank = F.get("before", _code(F.col("symbol"))) + _times(F.col("symbols").substr(F.lit(1), F.col("i")), F.col("symbol"))
+    return rows.where("symbol <> ''").select("text_id", (F.col("block") * step + F.col("i")).alias("row"), "symbol", (F.get("c", _code(F.col("symbol"))) + rank).alias("lf"))
+
+
+def walked_positions(blocks: DataFrame, known: DataFrame, step: int = 64) -> DataFrame:
+    """text_id, row, s_pos, symbol of every row, from the transform and the rows whose position is known (text_id, row,
+    s_pos: samples of the suffix array, of its inverse, or both).
+
+    A row's position is that of the first known row on its walk along LF, plus the number of steps. All walks are taken at
+    once: each round doubles the steps of those that haven't arrived. The whole text's suffix (symbol '$', position 0) is
+    known without a sample, so every walk arrives.
+    """
+    lf = materialize(lf_mapping(blocks, step), "lf")
     zero = F.lit(0).cast("bigint")
-    return texts.select("text_id").join(found, "text_id", "left").select("text_id", F.coalesce("lo", zero).alias("lo"), F.coalesce("hi", zero).alias("hi"))
+    sure = known.select("text_id", "row", "s_pos").unionByName(lf.where("symbol = '$'").select("text_id", "row", zero.alias("s_pos"))).groupBy("text_id", "row").agg(F.min("s_pos").alias("s_pos"))
+    sure = materialize(sure, "known")
+    ways = lf.select("text_id", "row", F.col("lf").alias("to"), F.lit(1).cast("bigint").alias("n")).join(sure.select("text_id", "row"), ["text_id", "row"], "left_anti")
+    here = sure.select("text_id", F.col("row").alias("to"), F.col("s_pos").alias("__at"))
+    arrived = sure
+    longest = blocks.agg(F.max("block")).first()[0] or 0
+    # no walk has more steps than its text has rows; a damaged transform may lead in circles, whose rows get no position
+    for _ in range(((longest + 1) * step).bit_length() + 1):
+        # the ways that end on a known row are done; the rest go on by the ways that begin where they end
+        ends = materialize(ways.join(here, ["text_id", "to"], "left"), "ways")
+        arrived = arrived.unionByName(ends.where("__at is not null").select("text_id", "row", (F.col("__at") + F.col("n")).alias("s_pos")))
+        rest = ends.where("__at is null").drop("__at")
+        if rest.isEmpty():
+            break
+        # where a way ends on a row that has arrived meanwhile, its known place ends it
+        onward = ends.select("text_id", F.col("row").alias("to"), F.col("to").alias("__to"), F.col("n").alias("__n"))
+        ways = rest.join(onward, ["text_id", "to"]).select("text_id", "row", F.col("__to").alias("to"), (F.col("n") + F.col("__n")).alias("n"))
+        here = materialize(here.unionByName(ends.where("__at is not null").select("text_id", F.col("row").alias("to"), (F.col("__at") + F.col("n")).alias("__at"))), "here")
+    return arrived.join(lf.select("text_id", "row", "symbol"), ["text_id", "row"])
+
+
+def locate_rows(blocks: DataFrame, known: DataFrame, pattern: str, step: int = 64) -> DataFrame:
+    """text_id, s_pos: the places of the pattern in every text, by backward search and walks to known rows."""
+    found = backward_search(blocks, pattern, step).where("lo < hi")
+    places = walked_positions(blocks, known, step)
+    return places.join(found, "text_id").where("row >= lo and row < hi").select("text_id", "s_pos")
 
 
 def bwt_runs(sa: DataFrame) -> DataFrame:
@@ -155,11 +273,12 @@ def range_count(samples: DataFrame, lo: int, hi: int, first: int, last: int, ste
     return samples.where((F.col("k") >= lo) & (F.col("k") < hi) & (value >= first // step) & (value <= last // step)).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def text_from_bwt(sa: DataFrame) -> DataFrame:
-    """text_id, read_idx, seq: the reads of each text, put together from suffix array and BWT alone. A read's symbols are
-    gathered per read, never per text."""
-    symbols = sa.where("bwt <> '$'").select("text_id", (F.col("s_pos") - 1).alias("s_pos"), F.col("bwt").alias("symbol"))
-    marks = symbols.where("symbol = '#'").select("text_id", "s_pos").unionByName(sa.where("code = '$'").select("text_id", "s_pos"))
+def text_from_bwt(blocks: DataFrame, known: DataFrame, step: int = 64) -> DataFrame:
+    """text_id, read_idx, seq: the reads of each text, put together from the transform and some known rows alone. A read's
+    symbols are gathered per read, never per text."""
+    walked = materialize(walked_positions(blocks, known, step), "walked")
+    symbols = walked.where("symbol <> '$'").select("text_id", (F.col("s_pos") - 1).alias("s_pos"), "symbol")
+    marks = symbols.where("symbol = '#'").select("text_id", "s_pos").unionByName(walked.where("row = 0").select("text_id", "s_pos"))
     ranked = with_rank(marks, ["text_id", "s_pos"], "__k")
     last = ranked.select("text_id", (F.col("__k") + 1).alias("__k"), (F.col("s_pos") + 1).alias("__last"))
     first = ranked.groupBy("text_id").agg(F.min("__k").alias("__first"))
@@ -170,3 +289,31 @@ def text_from_bwt(sa: DataFrame) -> DataFrame:
     joined = symbols.where("symbol <> '#'").withColumn("bin", F.floor(F.col("s_pos") / width)).join(cells, ["text_id", "bin"]).where("s_pos >= begin and s_pos < end")
     put = joined.groupBy("text_id", "read_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_pos", "symbol"))), lambda x: x["symbol"]), "").alias("seq"))
     return reads.select("text_id", "read_idx").join(put, ["text_id", "read_idx"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+
+
+def invariants(texts: DataFrame, sa: DataFrame, pattern: str, step: int = 16) -> DataFrame:
+    """check, bad of a suffix array with its transform (text_id, row, s_pos, code, bwt): sa_permutation, rows or positions
+    that are missing or stand twice; bwt_symbols, rows whose symbol isn't the text's; lf, rows that don't lead one position
+    to the left; search, texts where backward search finds another number of places than the text holds; locate, rows whose
+    walk to a sample gives another position than the array."""
+    zero = F.lit(0).cast("bigint")
+    size = texts.where("s is not null").select("text_id", (F.length("s") + 1).cast("bigint").alias("size"))
+    per = sa.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("rows"), F.count_distinct("s_pos").alias("places"), F.max("row").alias("top"), F.max("s_pos").alias("far"))
+    wrong = size.join(per, "text_id", "left").where(~(F.col("n").eqNullSafe(F.col("size")) & F.col("rows").eqNullSafe(F.col("size")) & F.col("places").eqNullSafe(F.col("size")) & (F.col("top") == F.col("size") - 1) & (F.col("far") == F.col("size") - 1)))
+    symbols = texts.where("s is not null").select("text_id", F.posexplode(F.split("s", "")).alias("i", "symbol")).where("symbol <> ''").select("text_id", (F.col("i") + 1).cast("bigint").alias("s_pos"), "symbol")
+    told = sa.join(symbols, ["text_id", "s_pos"], "left").where(F.col("bwt") != F.coalesce("symbol", F.lit("$")))
+    blocks = bwt_blocks(sa, step)
+    at = sa.select("text_id", "row", "s_pos")
+    led = lf_mapping(blocks, step).join(at, ["text_id", "row"], "left").join(at.select("text_id", F.col("row").alias("lf"), F.col("s_pos").alias("__to")), ["text_id", "lf"], "left").join(size, "text_id")
+    led = led.where(~F.col("__to").eqNullSafe(F.pmod(F.col("s_pos") - 1, F.col("size"))))
+    held = texts.where("s is not null").select("text_id", F.regexp_count("s", F.lit(f"(?={pattern})")).cast("bigint").alias("want"))
+    found = backward_search(blocks, pattern, step)
+    missed = held.join(found, "text_id", "left").where(~F.col("want").eqNullSafe(F.coalesce(F.col("hi") - F.col("lo"), zero)))
+    known = sa_samples(sa, step).select("text_id", (F.col("k") * step).alias("row"), "s_pos")
+    walked = walked_positions(blocks, known, step).select("text_id", "row", F.col("s_pos").alias("__walked"))
+    strayed = at.join(walked, ["text_id", "row"], "left").where(~F.col("__walked").eqNullSafe(F.col("s_pos")))
+    out = None
+    for name, rows in (("sa_permutation", wrong), ("bwt_symbols", told), ("lf", led), ("search", missed), ("locate", strayed)):
+        one = rows.agg(F.count(F.lit(1)).alias("bad")).select(F.lit(name).alias("check"), "bad")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -38,16 +38,23 @@ def with_rank(df: DataFrame, keys: list, name: str = "rank", partitions: int | N
     return joined.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__place", "__before")
 
 
-def with_running_sum(df: DataFrame, group: str, rank: str, value: str, name: str) -> DataFrame:
-    """df with `name`, the sum of value over the rows of the same group with a smaller rank (0 for the first)."""
+def with_running_sums(df: DataFrame, group: str, rank: str, values: dict[str, str]) -> DataFrame:
+    """df with a column for each of values (name -> column): the sum of the column over the rows of the same group with a
+    smaller rank (0 for the first). Nulls count as 0."""
     blocks = df.withColumn("__block", F.floor(F.col(rank) / BLOCK).cast("bigint"))
-    sums = blocks.groupBy(group, "__block").agg(F.sum(value).alias("__sum"))
+    sums = blocks.groupBy(group, "__block").agg(*[F.sum(v).alias(f"__sum_{n}") for n, v in values.items()])
     earlier = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-    sums = sums.select(F.col(group).alias("__g"), F.col("__block").alias("__b"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    before = [F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in values]
+    sums = sums.select(F.col(group).alias("__g"), F.col("__block").alias("__b"), *before)
     inside = Window.partitionBy(group, "__block").orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocks.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    rows = blocks.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"__in_{n}") for n, v in values.items()])
     joined = rows.join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__block") == F.col("__b")))
-    return joined.withColumn(name, F.col("__in") + F.col("__before")).drop("__g", "__b", "__block", "__in", "__before")
+    return joined.select(*df.columns, *[(F.col(f"__in_{n}") + F.col(f"__before_{n}")).alias(n) for n in values])
+
+
+def with_running_sum(df: DataFrame, group: str, rank: str, value: str, name: str) -> DataFrame:
+    """The same for one column."""
+    return with_running_sums(df, group, rank, {name: value})
 
 
 def _places(group: int, width: int):

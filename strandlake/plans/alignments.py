@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +12,11 @@ from pyspark.sql import functions as F
 from strandlake.functions import cigar, codecs, dna, quality
 from strandlake.functions.mapping import with_placed_ops
 from strandlake.functions.patterns import Region, orientations
-from strandlake.operators import fm, matching, ordering, postings, records, windows
+from strandlake.operators import bits, fm, matching, ordering, postings, records, windows
+from strandlake.plans.index import ReadIndex
 from strandlake.schema import Overlap, Strand
-from strandlake.session import materialize
-from strandlake.sources import sinks
+from strandlake.session import drop_later, materialize, shared_dir
+from strandlake.sources import alignment_files, sinks
 from strandlake.sources.tables import contig_names, included_reads, table
 
 MOTIFS = ["ACGT", "CCTAACAG", "GGATCCTA", "AGCAGCAG", "TGACGTCA", "ATTCCATTCG", "TTGGGATTGGGA", "GATTACA", "TTAGGG", "CCGGTTAA"]
@@ -224,6 +227,13 @@ def locate_json_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.json_summary(matching.locate(_aligned(spark, folder), ["TTAGGG"]))
 
 
+@query
+def locate_json_document(spark: SparkSession, folder: str) -> DataFrame:
+    """One document of the first 25 matches in the reported order."""
+    found = _named(matching.locate(_aligned(spark, folder), ["ACGT"]), spark, folder)
+    return sinks.json_document(matching.sorted_matches(found, 25))
+
+
 @query
 def word_postings(spark: SparkSession, folder: str) -> DataFrame:
     """How many reads hold each word of six bases."""
@@ -265,14 +275,31 @@ def region_exists_t5(spark: SparkSession, folder: str) -> DataFrame:
     return _in_region(spark, folder, "ACGT", Region("chr1")).limit(5).agg((F.count(F.lit(1)) >= 5).alias("region_exists"))
 
 
+def _pruned(spark: SparkSession, folder: str, pattern: str, region: Region) -> DataFrame:
+    """Matches in a region by way of the windows: only reads of windows that touch the region are searched. Windows lie in
+    one contig, so only this contig's reads are cut into them."""
+    chrom = _chrom_id(spark, folder, region.chrom)
+    if chrom is None:
+        return matching.in_region(matching.locate(_aligned(spark, folder), [pattern]), None, region)
+    order = _ordered(spark, folder).where(F.col("chrom_id") == chrom)
+    spans = records.indexed_reads(spark, folder, "cigar").where(F.col("chrom_id") == chrom).select("record_id", cigar.ref_span(F.col("cigar")).alias("span"))
+    made = windows.window_table(order.join(spans, "record_id"), WINDOW)
+    kept = windows.windows_of_region(made, chrom, region.start, region.end).select("build_id", "first_read_id", "last_read_id")
+    inside = order.join(kept, "build_id").where("read_id between first_read_id and last_read_id")
+    reads = matching.near_region(_aligned(spark, folder), chrom, region).join(inside.select("record_id"), "record_id", "left_semi")
+    return matching.in_region(matching.locate(reads, [pattern]), chrom, region)
+
+
 @query
 def region_count_pruned(spark: SparkSession, folder: str) -> DataFrame:
-    """The region count by way of the windows: only reads of windows that can touch the region are searched."""
-    chrom, region = _chrom_id(spark, folder, "chrM"), Region("chrM", 1_000, 9_000)
-    kept = windows.windows_of_region(windows_table(spark, folder), chrom, region.start, region.end).select("build_id", "first_read_id", "last_read_id")
-    inside = _ordered(spark, folder).where(F.col("chrom_id") == chrom).join(kept, "build_id").where("read_id between first_read_id and last_read_id")
-    reads = matching.near_region(_aligned(spark, folder), chrom, region).join(inside.select("record_id"), "record_id", "left_semi")
-    return matching.in_region(matching.locate(reads, ["ACGT"]), chrom, region).agg(F.count(F.lit(1)).alias("region_count"))
+    return _pruned(spark, folder, "ACGT", Region("chrM", 1_000, 9_000)).agg(F.count(F.lit(1)).alias("region_count"))
+
+
+@query
+def region_exists_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    """Existence by the windows, at two thresholds."""
+    found = _pruned(spark, folder, "GATTACA", Region("chrM", 1_000, 9_000))
+    return found.limit(3).agg((F.count(F.lit(1)) >= 1).alias("once"), (F.count(F.lit(1)) >= 3).alias("thrice"))
 
 
 # --- batches and reports
@@ -357,6 +384,35 @@ def text_place_to_read(spark: SparkSession, folder: str) -> DataFrame:
     return windows.read_at(places, order)
 
 
+def _starts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The bit vector of read starts in every build's text, and the order table."""
+    order = _ordered(spark, folder)
+    lengths = ordering.text_lengths(order).withColumnRenamed("s_length", "length")
+    return bits.bit_vector(order, lengths, "build_id", "s_start"), order
+
+
+@query
+def bits_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The rank of every read's last base among the read starts: the number of the read in its build, from 1."""
+    vector, order = _starts(spark, folder)
+    return bits.rank(vector, order.select("build_id", (F.col("s_start") + F.col("l_seq") - 1).alias("place")), "build_id", "place")
+
+
+@query
+def bits_select(spark: SparkSession, folder: str) -> DataFrame:
+    """The start of the k-th read of every build, for every k up to the number of all reads."""
+    vector, order = _starts(spark, folder)
+    return bits.select(vector, order.select("build_id", (F.col("read_id") + 1).alias("k")), "build_id", "k")
+
+
+@query
+def bits_access(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a read starts at each read's start, and at the place behind it."""
+    vector, order = _starts(spark, folder)
+    places = order.select("build_id", F.explode(F.array(F.col("s_start"), F.col("s_start") + 1)).alias("place"))
+    return bits.access(vector, places, "build_id", "place")
+
+
 # --- encodings
 
 
@@ -431,6 +487,14 @@ def _meta(spark: SparkSession, folder: str, codec: str) -> DataFrame:
     return rows.select("record_id", codecs.meta_bytes(F.col("flag"), cig, F.col("aux"), codec).alias("packed"))
 
 
+@query
+def stream_directory(spark: SparkSession, folder: str) -> DataFrame:
+    """The directory of all four streams by blocks of 1024 reads."""
+    rows = records.with_read_ids(records.indexed_reads(spark, folder, "qual", "cigar", "aux"), spark, folder)
+    rows = rows.withColumn("qual", quality.filled(F.col("qual"), F.col("l_seq"))).withColumn("cigar", F.when(F.col("cigar") != "*", F.col("cigar")))
+    return records.directory(rows)
+
+
 @query
 def meta_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Size of every record's packed metadata, in both layouts."""
@@ -473,7 +537,7 @@ def c_array(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lf_mapping(spark: SparkSession, folder: str) -> DataFrame:
-    return fm.lf_mapping(fm.suffix_array(_texts(spark, folder)))
+    return fm.lf_mapping(fm.bwt_blocks(fm.suffix_array(_texts(spark, folder)))).select("text_id", "row", "lf")
 
 
 @query
@@ -502,15 +566,49 @@ def sa_range_count(spark: SparkSession, folder: str) -> DataFrame:
     return fm.range_count(samples, 10, 60, 100, 900)
 
 
+@query
+def occ_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each symbol stands in the transform before some rows, at and off the blocks' bounds."""
+    blocks = fm.bwt_blocks(fm.suffix_array(_texts(spark, folder)))
+    places = F.array(*[F.lit(p).cast("bigint") for p in (0, 1, 63, 64, 65, 128, 500)])
+    asked = table(spark, folder, "seq_bundles").select(F.col("bundle_id").alias("text_id"), F.explode(places).alias("place"))
+    asked = asked.select("*", F.explode(F.array(*map(F.lit, fm.SYMBOLS))).alias("symbol"))
+    return fm.rank_at(blocks, asked, "symbol", "place", "n")
+
+
 @query
 def backward_search(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _texts(spark, folder)
-    return fm.backward_search(texts, fm.suffix_array(texts), "ACGT")
+    return fm.backward_search(fm.bwt_blocks(fm.suffix_array(_texts(spark, folder))), "ACGT")
+
+
+def _index_of_texts(spark: SparkSession, folder: str, *kinds: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the transform, and the rows of every 16th row of the suffix array (sa) or text position (isa)."""
+    sa = materialize(fm.suffix_array(_texts(spark, folder)), "suffixes")
+    rows = {
+        "sa": fm.sa_samples(sa, 16).select("text_id", (F.col("k") * 16).alias("row"), "s_pos"),
+        "isa": fm.isa_samples(sa, 16).select("text_id", "row", (F.col("k") * 16).alias("s_pos")),
+    }
+    known = rows[kinds[0]]
+    for kind in kinds[1:]:
+        known = known.unionByName(rows[kind])
+    return fm.bwt_blocks(sa), known
+
+
+@query
+def fm_locate(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of a pattern by backward search and walks to sampled rows."""
+    return fm.locate_rows(*_index_of_texts(spark, folder, "sa"), "ACGT")
+
+
+@query
+def fm_locate_bidir(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with samples of both the suffix array and its inverse, which shorten the walks."""
+    return fm.locate_rows(*_index_of_texts(spark, folder, "sa", "isa"), "GATTACA")
 
 
 @query
 def text_from_bwt(spark: SparkSession, folder: str) -> DataFrame:
-    return fm.text_from_bwt(fm.suffix_array(_texts(spark, folder)))
+    return fm.text_from_bwt(*_index_of_texts(spark, folder, "sa"))
 
 
 @query
@@ -539,6 +637,44 @@ def bundle_reads(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("bundle_id", F.col("read_idx").cast("bigint").alias("read_idx"), "seq")
 
 
+# --- files
+
+
+def _round_trip(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """All ordered reads, written as files to the shared folder and read again."""
+    alignment_files.register(spark)
+    rows = _full(spark, folder).withColumn("source_file_id", F.lit(0).cast("bigint")).withColumn("bam_offset", F.col("read_id"))
+    names = [(r["contig_name"], r["contig_length"]) for r in table(spark, folder, "contigs").orderBy("chrom_id").collect()]  # the file's header
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    rows.select("qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "aux").write.format(kind).mode("append").option("contigs", json.dumps(names)).save(path)
+    drop_later(spark, path)
+    back = spark.read.format(kind).load(path)
+    return back.select("qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "aux")
+
+
+@query
+def bam_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return _round_trip(spark, folder, "bam")
+
+
+@query
+def sam_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return _round_trip(spark, folder, "sam").drop("aux")
+
+
+@query
+def bam_header_contigs(spark: SparkSession, folder: str) -> DataFrame:
+    """The contigs of written files' headers, with and without reads, numbered in byte order by an index of them."""
+    alignment_files.register(spark)
+    names = [(r["contig_name"], r["contig_length"]) for r in table(spark, folder, "contigs").orderBy("contig_name").collect()]
+    path = f"{shared_dir(spark)}/header-{uuid.uuid4().hex}"
+    _full(spark, folder).select("qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "aux").write.format("bam").mode("append").option("contigs", json.dumps(names)).save(path)
+    drop_later(spark, path), drop_later(spark, path + "-index")
+    found = list(dict.fromkeys(n for f in alignment_files.files_of(path) for n, _ in alignment_files.header_contigs(f)))
+    index = ReadIndex.build(spark, spark.read.format("bam").load(path), path + "-index", header_contigs=found)
+    return index.contigs.select("chrom_id", F.col("chrom").alias("contig_name"), "n_reads")
+
+
 # --- management
 
 
@@ -557,6 +693,30 @@ def index_info(spark: SparkSession, folder: str) -> DataFrame:
     return per.join(n, "build_id")
 
 
+@query
+def verify_windows(spark: SparkSession, folder: str) -> DataFrame:
+    order = _ordered(spark, folder)
+    spans = records.indexed_reads(spark, folder, "cigar").select("record_id", cigar.ref_span(F.col("cigar")).alias("span"))
+    made = materialize(windows.window_table(order.join(spans, "record_id"), WINDOW), "windows")
+    return windows.window_invariants(order, made)
+
+
+@query
+def verify_text_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules of suffix array, transform, LF, search and samples, on all bundles."""
+    texts = _texts(spark, folder)
+    return fm.invariants(texts, materialize(fm.suffix_array(texts), "suffixes"), "ACGT")
+
+
+@query
+def verify_text_index_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where the symbols of rows 3 and 7 of each text's transform were both read as N."""
+    texts = _texts(spark, folder)
+    sa = fm.suffix_array(texts).withColumn("bwt", F.when(F.col("row").isin(3, 7), F.lit("N")).otherwise(F.col("bwt")))
+    bad = fm.invariants(texts, materialize(sa, "suffixes"), "ACGT")
+    return bad.select("check", (F.col("bad") > 0).alias("found"))
+
+
 @query
 def verify_damaged(spark: SparkSession, folder: str) -> DataFrame:
     """The same checks on a damaged order: a position 0, a length 0, a text place moved, an unknown contig (which

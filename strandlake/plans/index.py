@@ -36,13 +36,10 @@ def _repeated(df: DataFrame, column: str) -> bool:
     return not df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _checksums(spark: SparkSession, path: str, config: BuildConfig) -> dict[str, int]:
+def _checksums(reads: DataFrame, others: dict[str, DataFrame | None]) -> dict[str, int]:
     """A checksum of every stream of the reads and of every other table."""
-    reads = spark.read.parquet(f"{path}/reads")
     out = digests.stream_checksums(reads, {k: ["read_id", *v] for k, v in STREAMS.items()})
-    for name in ("windows", "contigs", "directory", *(["postings"] if config.word_size else [])):
-        out[name] = digests.table_checksum(spark.read.parquet(f"{path}/{name}"))
-    return out
+    return out | {name: digests.table_checksum(df) for name, df in others.items() if df is not None}
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -140,7 +137,7 @@ class ReadIndex:
             "is_lossless": config.lossless,
             "manifest": manifest,
             "ordering_digest": digests.ordering_tree(reads),
-            "checksums": _checksums(spark, path, config),
+            "checksums": _checksums(reads, {n: spark.read.parquet(f"{path}/{n}") for n in ("windows", "contigs", "directory", *(["postings"] if config.word_size else []))}),
             "config": asdict(replace(config, strand=config.strand.value, overlap=config.overlap.value)),
         }
         _write_text(spark, f"{path}/info.json", json.dumps(info, indent=1))
@@ -292,8 +289,7 @@ class ReadIndex:
 
     def checks(self, strict: bool = False) -> DataFrame:
         """check, bad: the stored checksum of every stream and table; with strict, also counts, order and invariants."""
-        config = BuildConfig(**{**self.info["config"], "strand": self.strand, "overlap": self.overlap})
-        now = _checksums(self.spark, self.path, config)
+        now = _checksums(self.reads, {"windows": self.windows, "contigs": self.contigs, "directory": self.directory, "postings": self.postings})
         out = {f"checksum_{k}": int(now.get(k) != v) for k, v in self.info["checksums"].items()}
         if strict:
             out["n_reads"] = int(self.reads.count() != self.n_reads)

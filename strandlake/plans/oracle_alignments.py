@@ -133,6 +133,14 @@ ORACLES = {
     "count_by_postings": _count(["TTGGGATTGGGA"]),
     "locate_bed": f"WITH {_located(['TTAGGG'])} SELECT chrom, p_min - 1 AS start, p_max AS \"end\", 'read_' || CAST(read_id AS VARCHAR) AS name, CAST(0 AS BIGINT) AS score, strand FROM loc",
     "locate_json_summary": f"WITH {_hits(['TTAGGG'])} SELECT '{{\"mode\":\"sorted\",\"count\":' || CAST(count(*) AS VARCHAR) || '}}' AS json FROM hit",
+    "locate_json_document": f"""WITH {_located(['ACGT'])}, t AS (SELECT {_ORD}, strand, chrom, p_min, p_max, read_id FROM loc ORDER BY ord LIMIT 25)
+      SELECT '{{"mode":"sorted","matches":[' || string_agg('{{"strand":"' || strand || '","chrom":"' || chrom || '","p_min":' || p_min || ',"p_max":' || p_max || ',"read_id":' || read_id || '}}', ',' ORDER BY ord) || '],"count":' || count(*) || '}}' AS json FROM t""",
+    "stream_directory": f"""WITH {SCOPE}, o AS (SELECT read_id, l_seq, coalesce(octet_length(aux), 0) AS a, regexp_extract_all(CASE WHEN cigar <> '*' THEN cigar ELSE '' END, '[0-9]+[MIDNSHP=X]') AS l FROM rd),
+      v AS (SELECT *, len(l) AS c, list_transform(l, lambda x: CAST(x[:-2] AS BIGINT) * 16) AS vs FROM o),
+      e AS (SELECT read_id, unnest([{{'s': 'seq', 'n': l_seq}}, {{'s': 'qual', 'n': l_seq}}, {{'s': 'map', 'n': 1}}, {{'s': 'meta', 'n': 2 + {_VARINT.format(v='c')} + coalesce(list_sum(list_transform(vs, lambda x: {_VARINT.format(v='x')})), 0) + a}}]) AS x FROM v),
+      b AS (SELECT x.s AS stream, read_id // 1024 AS block_id, min(read_id) AS first_read_id, count(*) AS n_reads, CAST(sum(x.n) AS BIGINT) AS block_length FROM e GROUP BY 1, 2)
+      SELECT *, CAST(coalesce(sum(block_length) OVER (PARTITION BY stream ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_offset FROM b""",
+    "region_exists_pruned": _region("GATTACA", "chrM", 1_000, 9_000, "count(*) >= 1 AS once, count(*) >= 3 AS thrice"),
     "region_count": _region("ACGT", "chrM", 1_000, 9_000, "count(*) AS region_count"),
     "region_count_unknown_chrom": "SELECT CAST(0 AS BIGINT) AS region_count",
     "region_exists_t1": _region("GATTACA", "chrM", 0, BIG, "count(*) >= 1 AS region_exists"),
@@ -174,6 +182,9 @@ ORACLES = {
     "backward_search": f"{_SA} SELECT text_id, coalesce(min(row) FILTER (WHERE substr(s, s_pos + 1, 4) = 'ACGT'), 0) AS lo, coalesce(max(row + 1) FILTER (WHERE substr(s, s_pos + 1, 4) = 'ACGT'), 0) AS hi FROM sa JOIN sx USING (text_id, s_pos) GROUP BY 1",
     "text_from_bwt": "SELECT bundle_id AS text_id, unnest(range(1, len(l) + 1)) AS read_idx, unnest(l) AS seq FROM (SELECT bundle_id, string_split(s, '#') AS l FROM seq_bundles)",
     "rle_encode": f"{_SA}, d AS (SELECT *, CASE WHEN lag(bwt) OVER (PARTITION BY text_id ORDER BY row) = bwt THEN 0 ELSE 1 END AS x FROM sa), r AS (SELECT *, sum(x) OVER (PARTITION BY text_id ORDER BY row) - 1 AS run FROM d) SELECT text_id, CAST(run AS BIGINT) AS run, bwt AS symbol, count(*) AS n FROM r GROUP BY ALL",
+    "occ_rank": f"{_SA}, p AS (SELECT bundle_id AS text_id, length(s) + 1 AS rows, CAST(unnest([0, 1, 63, 64, 65, 128, 500]) AS BIGINT) AS place FROM seq_bundles) SELECT p.text_id, place, k.code AS symbol, count(sa.row) AS n FROM p CROSS JOIN {_CODES} LEFT JOIN sa ON sa.text_id = p.text_id AND sa.row < place AND sa.bwt = k.code WHERE place <= rows GROUP BY ALL",
+    "fm_locate": "SELECT bundle_id AS text_id, p - 1 AS s_pos FROM (SELECT *, unnest(range(1, length(s) + 1)) AS p FROM seq_bundles) WHERE substr(s, p, 4) = 'ACGT'",
+    "fm_locate_bidir": "SELECT bundle_id AS text_id, p - 1 AS s_pos FROM (SELECT *, unnest(range(1, length(s) + 1)) AS p FROM seq_bundles) WHERE substr(s, p, 7) = 'GATTACA'",
     "mtf_encode": f"""{_SA}, x AS (SELECT text_id, row, bwt, {', '.join(f"coalesce(max(row) FILTER (WHERE bwt = '{c}') OVER w, {-1 - i}) AS e{i}" for i, c in enumerate('ACGTN#'))} FROM sa
         WINDOW w AS (PARTITION BY text_id ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       p AS (SELECT *, CASE bwt {' '.join(f"WHEN '{c}' THEN e{i}" for i, c in enumerate('ACGTN#'))} END AS e FROM x WHERE bwt <> '$')
@@ -185,6 +196,15 @@ ORACLES = {
     **{name: f"WITH {SCOPE} SELECT record_id, flag, CASE WHEN cigar <> '*' THEN cigar ELSE '' END AS cigar, coalesce(aux, ''::BLOB) AS aux FROM rd" for name in ("meta_decode", "meta_decode_fixed")},
     "bundle_reads": "SELECT bundle_id, unnest(range(0, len(l))) AS read_idx, unnest(l) AS seq FROM (SELECT bundle_id, string_split(s, '#') AS l FROM seq_bundles)",
     "index_info": f"{_WINDOWS}, per AS (SELECT build_id, count(*) AS n_reads, CAST(sum(l_seq) + count(*) - 1 AS BIGINT) AS s_length, count(DISTINCT chrom_id) AS n_contigs_with_reads, count(DISTINCT source_file_id) AS n_files, min(l_seq) AS shortest, max(l_seq) AS longest FROM ordered_reads GROUP BY 1) SELECT per.*, n_windows FROM per JOIN (SELECT build_id, count(*) AS n_windows FROM wt GROUP BY 1) USING (build_id)",
+    "bits_rank": "SELECT build_id, s_start + l_seq - 1 AS place, row_number() OVER (PARTITION BY build_id ORDER BY s_start) AS rank FROM ordered_reads",
+    "bits_select": "WITH n AS (SELECT build_id, read_id + 1 AS k FROM ordered_reads), s AS (SELECT build_id, s_start AS place, row_number() OVER (PARTITION BY build_id ORDER BY s_start) AS k FROM ordered_reads) SELECT n.build_id, n.k, place FROM n JOIN s ON s.build_id = n.build_id AND s.k = n.k",
+    "bits_access": "WITH e AS (SELECT build_id, max(s_start + l_seq) AS stop FROM ordered_reads GROUP BY 1), p AS (SELECT build_id, unnest([s_start, s_start + 1]) AS place FROM ordered_reads) SELECT p.build_id, place, EXISTS (SELECT 1 FROM ordered_reads o WHERE o.build_id = p.build_id AND o.s_start = place) AS bit FROM p JOIN e ON e.build_id = p.build_id WHERE place < stop",
+    "bam_round_trip": f"WITH {SCOPE} SELECT qname, flag, chrom, pos, coalesce(mapq, 255) AS mapq, coalesce(cigar, '*') AS cigar, seq, {_FILL} AS qual, coalesce(aux, ''::BLOB) AS aux FROM rd",
+    "sam_round_trip": f"WITH {SCOPE} SELECT qname, flag, chrom, pos, coalesce(mapq, 255) AS mapq, coalesce(cigar, '*') AS cigar, seq, {_FILL} AS qual FROM rd",
+    "bam_header_contigs": "SELECT row_number() OVER (ORDER BY contig_name) - 1 AS chrom_id, contig_name, (SELECT count(*) FROM ordered_reads o WHERE o.chrom_id = c.chrom_id) AS n_reads FROM contigs c",
+    "verify_windows": "SELECT unnest(['windows_cover', 'windows_filled', 'windows_adjoin', 'windows_order', 'windows_begin']) AS \"check\", CAST(0 AS BIGINT) AS bad",
+    "verify_text_index": "SELECT unnest(['sa_permutation', 'bwt_symbols', 'lf', 'search', 'locate']) AS \"check\", CAST(0 AS BIGINT) AS bad",
+    "verify_text_index_damaged": "SELECT unnest(['sa_permutation', 'bwt_symbols', 'lf', 'search', 'locate']) AS \"check\", unnest([false, true, true, true, true]) AS found",
     "verify_damaged": """WITH d AS (SELECT read_id, build_id, source_file_id, bam_offset, record_id, CASE WHEN read_id = 20 THEN 999 ELSE chrom_id END AS chrom_id, CASE WHEN read_id = 4 THEN 0 ELSE pos END AS pos,
         CASE WHEN read_id = 9 THEN 0 ELSE l_seq END AS l_seq, CASE WHEN read_id = 15 THEN s_start + 3 ELSE s_start END AS s_start FROM ordered_reads WHERE read_id <> 30),
       x AS (SELECT d.*, b.read_id AS before, b.build_id AS bb, b.read_id IS NOT NULL AND (b.build_id, b.chrom_id, b.pos, b.source_file_id, b.bam_offset, b.record_id) > (d.build_id, d.chrom_id, d.pos, d.source_file_id, d.bam_offset, d.record_id) AS back, b.s_start + b.l_seq + 1 AS due

@@ -76,6 +76,11 @@ def intermediates() -> Iterator[None]:
         _drop_written(began)
 
 
+def drop_later(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted with the intermediate tables."""
+    _written.append((spark, path))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

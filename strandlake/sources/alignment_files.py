@@ -38,6 +38,8 @@ _ARROW = pa.schema(
 BATCH = 4096
 _BASES = "=ACMGRSVTWYHKDBN"  # fixed by the format
 _OPS = "MIDNSHP=X"
+#: A header line; read names may begin with '@' too.
+_HEADER = re.compile(r"@[A-Z]{2}(?:\t|\s*$)")
 _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
@@ -113,7 +115,7 @@ def header_bytes(path: str) -> bytes:
     """A file's header as it stands: the text of a BAM header, or the lines of a SAM file that begin with '@'."""
     if path.endswith("bam"):
         return read_header(_Stream(inflate(path)))[0].encode()
-    return "".join(itertools.takewhile(lambda x: x.startswith("@"), _lines(path))).encode()
+    return "".join(itertools.takewhile(_HEADER.match, _lines(path))).encode()
 
 
 def header_contigs(path: str) -> list[tuple[str, int]]:
@@ -202,8 +204,8 @@ def bam_records(path: str) -> Iterator[tuple]:
 
 
 def sam_records(path: str) -> Iterator[tuple]:
-    for line in _lines(path):
-        if line.startswith("@") or not line.strip():
+    for line in itertools.dropwhile(_HEADER.match, _lines(path)):
+        if not line.strip():
             continue
         x = line.rstrip("\r\n").split("\t")
         qual = [ord(c) - 33 for c in x[10]] if x[10] != "*" else [255] * (len(x[9]) if x[9] != "*" else 0)

@@ -95,13 +95,18 @@ def test_suffix_array(spark, index):
     assert fm.bwt_runs(sa).first()["runs"] == 58
     assert {r["code"]: r["c"] for r in fm.c_array(texts).collect()} == {"$": 0, "A": 1, "C": 38, "G": 75, "T": 108, "N": 141, "#": 141}
     assert fm.sa_samples(sa, 64).count() == 3
-    back = fm.text_from_bwt(sa).orderBy("read_idx").collect()
+    blocks = fm.bwt_blocks(sa, 8)
+    known = fm.sa_samples(sa, 64).selectExpr("text_id", "k * 64 as row", "s_pos")
+    back = fm.text_from_bwt(blocks, known, 8).orderBy("read_idx").collect()
     assert "#".join(r["seq"] for r in back) == text
-    found = fm.backward_search(texts, sa, "ACGT").first()
+    found = fm.backward_search(blocks, "ACGT", 8).first()
     assert found["hi"] - found["lo"] == 13
-    lf = {r["row"]: r["lf"] for r in fm.lf_mapping(sa).collect()}
+    lf = {r["row"]: r["lf"] for r in fm.lf_mapping(blocks, 8).collect()}
     pos = {r["row"]: r["s_pos"] for r in rows}
     assert all(pos[lf[r]] == (pos[r] - 1) % (len(text) + 1) for r in pos)
+    walked = {r["row"]: r["s_pos"] for r in fm.walked_positions(blocks, known.where("row < 0"), 8).collect()}
+    assert walked == pos  # also without a sample
+    assert fm.backward_search(blocks, "GGGGGGGGG", 8).first()["hi"] == 0
 
 
 def test_suffix_array_edges(spark):
@@ -120,7 +125,7 @@ def test_verify_finds_damage(spark, index, tmp_path):
     index.reads = spark.read.parquet(f"file://{tmp_path}/reads")
     bad = {r["check"] for r in index.checks(True).where("bad > 0").collect()}
     index.reads = spark.read.parquet(f"{index.path}/reads")
-    assert {"checksum", "n_reads", "dense_ids", "ordering_digest"} <= bad
+    assert {"checksum_seq", "checksum_map", "n_reads", "dense_ids", "ordering_digest"} <= bad
 
 
 def test_reconstruct(index):
