@@ -1,7 +1,7 @@
 """Per-key results when a few keys hold most rows: two-stage salted aggregation.
 
-Keys holding at least heavy_share of all rows are found by a counting pass (map-side combined, and at most
-1 / heavy_share of them exist, so the list on the driver is bounded). Their rows are spread over `salts` partial groups;
+Keys holding at least heavy_share of all rows are found by a sketch (a pass over the keys without a count per key; at most
+2 / heavy_share are listed, so the list on the driver is bounded). Their rows are spread over `salts` partial groups;
 the partials of a key, at most `salts` rows, are merged by the original key.
 
 The salt is a hash of the row's salt columns rather than a random draw: a task that is run again after a lost executor
@@ -10,10 +10,13 @@ then sends every row to the same partial group, and rows with equal values of a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.session import materialize
+#: Items that a sketch tracks, and the share of the rows by which its counts may be wrong (3.5 / items).
+SKETCH_ITEMS, SKETCH_ERROR = 10_000, 0.0005
 
 #: How partial results of each kind are made and put together.
 _PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
@@ -21,13 +24,17 @@ _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "count_disti
 
 
 def heavy_keys(df: DataFrame, key: str, heavy_share: float = 0.01) -> list:
-    """The keys, null left out, with at least heavy_share of the rows; at most 1 / heavy_share values."""
-    if not 0 < heavy_share <= 1:
-        raise ValueError("heavy_share must be in (0, 1]")
-    counts = materialize(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    rows = counts.where((F.col("__n") >= heavy_share * total) & F.col("__key").isNotNull())
-    return [r["__key"] for r in rows.select("__key").collect()]
+    """The keys, null left out, that may have at least heavy_share of the rows: all that do, and perhaps some just below.
+
+    They come from a frequent-items sketch of bounded size, of which each task makes one: its counts are wrong by at most
+    SKETCH_ERROR of the rows, so heavy_share must be above that. Taking a lighter key for heavy changes no result.
+    """
+    if not SKETCH_ERROR < heavy_share <= 1:
+        raise ValueError(f"heavy_share must be in ({SKETCH_ERROR}, 1]")
+    most = math.ceil(2 / heavy_share)
+    rows = df.select(F.col(key).alias("__key"))
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(__key, {most}, {max(SKETCH_ITEMS, most)})").alias("top")).first()
+    return [x["item"] for x in row["top"] or [] if x["item"] is not None and x["count"] >= (heavy_share - SKETCH_ERROR) * row["n"]]
 
 
 def salted_aggregate(

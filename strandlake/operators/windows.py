@@ -5,11 +5,14 @@ l + size - 1. That is a chain, one window after another, but not one that must b
 into blocks of BLOCK window sizes, each block lists for every read at which a chain may enter it (a read that starts
 within the first window size, and the next one) where that chain leaves. Chains that enter a block at different reads soon
 run together, so few leaving points are left; only the entries that follow from those of the block before are kept, and
-only these, a few per block, are followed per contig. Then each block is segmented on its own from its true entry.
+only these, a few per block, are followed per contig: a loop over the blocks, of which ten trillion text places in one
+contig make 1.6 million. Then each block is segmented on its own from its true entry.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from strandlake.session import materialize
 
 BLOCK = 64
+#: Bins of the window size that one task looks through.
+LANE = 1 << 16
 
 
 def _chain(starts: np.ndarray, entry: int, size: int) -> list[int]:
@@ -50,14 +55,17 @@ def _exits(size: int, width: int):
 def _follow(size: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """The entry that the contig's chain takes into each block."""
+        order = np.lexsort((pdf["entry"].to_numpy(), pdf["block"].to_numpy()))
+        block, entry, last = (pdf[c].to_numpy()[order] for c in ("block", "entry", "last"))
+        cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))).tolist()
+        entries, lasts = entry.tolist(), last.tolist()
         out, end = [], None
-        for block, rows in pdf.sort_values(["block", "entry"]).groupby("block", sort=True):
-            entries = rows["entry"].to_numpy()
-            i = 0 if end is None else int(np.searchsorted(entries, end + size))
-            if i >= len(entries):
+        for a, z in zip(cuts, cuts[1:]):
+            i = a if end is None else bisect.bisect_left(entries, end + size, a, z)
+            if i == z:
                 continue  # the running window covers this whole block
-            out.append((block, entries[i]))
-            end = int(rows["last"].iloc[i])
+            out.append((int(block[a]), entries[i]))
+            end = lasts[i]
         return pd.DataFrame({"build_id": pdf["build_id"].iloc[0], "chrom_id": pdf["chrom_id"].iloc[0], "block": [b for b, _ in out], "entry": [e for _, e in out]})
 
     return run
@@ -114,11 +122,17 @@ def with_window(reads: DataFrame, size: int) -> DataFrame:
     """reads and l, the start of their window: an as-of join (the latest l at or before s_start) by bins of the window
     size. A window starts in a bin once at most, so a read finds its own in its bin or takes the last one before it."""
     starts = window_starts(reads, size).withColumn("bin", F.floor(F.col("l") / size).cast("bigint"))
-    lanes = Window.partitionBy("build_id", "chrom_id").orderBy("bin")
-    opened = starts.select("build_id", "chrom_id", "bin", F.col("l").alias("__here"))
-    bins = reads.select("build_id", "chrom_id", F.floor(F.col("s_start") / size).cast("bigint").alias("bin")).distinct()
-    # a row per bin: the windows opened in it, and the last one opened in an earlier bin
-    line = bins.join(opened, ["build_id", "chrom_id", "bin"], "left").withColumn("__before", F.last("__here", True).over(lanes.rowsBetween(Window.unboundedPreceding, -1)))
+    keys = ["build_id", "chrom_id"]
+    opened = starts.select(*keys, "bin", F.col("l").alias("__here"))
+    bins = reads.select(*keys, F.floor(F.col("s_start") / size).cast("bigint").alias("bin")).distinct()
+    # a row per bin: the windows opened in it, and the last one opened in an earlier bin, which is the largest of them;
+    # LANE bins are looked through by a task, and one row of each LANE bins carries over
+    line = bins.join(opened, [*keys, "bin"], "left").withColumn("__lane", F.floor(F.col("bin") / LANE).cast("bigint"))
+    earlier = Window.partitionBy(*keys).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
+    carry = line.groupBy(*keys, "__lane").agg(F.max("__here").alias("__most")).withColumn("__carry", F.max("__most").over(earlier)).drop("__most")
+    inside = Window.partitionBy(*keys, "__lane").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("__in", F.max("__here").over(inside)).join(carry, [*keys, "__lane"])
+    line = line.select(*keys, "bin", "__here", F.coalesce("__in", "__carry").alias("__before"))
     rows = reads.withColumn("bin", F.floor(F.col("s_start") / size).cast("bigint")).join(line, ["build_id", "chrom_id", "bin"])
     chosen = F.when(F.col("s_start") >= F.col("__here"), F.col("__here")).otherwise(F.col("__before"))
     return rows.withColumn("l", chosen).drop("bin", "__here", "__before")
