@@ -14,7 +14,7 @@ from strandlake.functions.mapping import with_placed_ops
 from strandlake.functions.patterns import Region, orientations
 from strandlake.operators import bits, fm, matching, ordering, postings, records, windows
 from strandlake.plans.index import ReadIndex
-from strandlake.schema import Overlap, Strand
+from strandlake.schema import BuildConfig, Overlap, Strand
 from strandlake.session import drop_later, materialize, shared_dir
 from strandlake.sources import alignment_files, sinks
 from strandlake.sources.tables import contig_names, included_reads, table
@@ -675,6 +675,62 @@ def bam_header_contigs(spark: SparkSession, folder: str) -> DataFrame:
     return index.contigs.select("chrom_id", F.col("chrom").alias("contig_name"), "n_reads")
 
 
+# --- the index on disk, built of all ordered reads
+
+
+def _index(spark: SparkSession, folder: str, **config) -> ReadIndex:
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    drop_later(spark, path)
+    rows = records.indexed_reads(spark, folder, "seq", "qname", "flag", "mapq", "cigar", "qual", "aux", "source_file_id", "bam_offset")
+    rows = rows.join(_contigs(spark, folder), "chrom_id").drop("chrom_id", "l_seq")
+    return ReadIndex.build(spark, rows, path, BuildConfig(**config), contigs=_contigs(spark, folder))
+
+
+@query
+def index_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts by an index with postings."""
+    index = _index(spark, folder, word_size=8)
+    rows = [(p, index.count(p)) for p in MOTIFS]
+    return spark.createDataFrame(rows, "pattern string, n bigint")
+
+
+@query
+def index_locate(spark: SparkSession, folder: str) -> DataFrame:
+    return _index(spark, folder).locate("TTAGGG").select("ord", *sinks.MATCH)
+
+
+@query
+def index_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Region counts and existence by an index that asks its windows first."""
+    index = _index(spark, folder, enhanced=True, window_size=WINDOW)
+    rows = [(name, index.region_count("ACGT", Region(*r)), index.region_exists("ACGT", Region(*r), 50)) for name, *r in REGIONS]
+    return spark.createDataFrame(rows, "region string, n bigint, fifty boolean")
+
+
+@query
+def index_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """The order that a build gives: ids and text places of all reads."""
+    return _index(spark, folder).reads.select("record_id", "read_id", "build_id", "s_start", "chrom_id", "l_seq")
+
+
+@query
+def index_verify(spark: SparkSession, folder: str) -> DataFrame:
+    """All checks of a fresh index, and of one whose reads have lost a base: which of them tell."""
+    index = _index(spark, folder)
+    good = index.checks(True).select("check", F.col("bad").alias("fresh"))
+    seq = F.when(F.col("read_id") == 11, F.concat(F.lit("N"), F.expr("substring(seq, 2)"))).otherwise(F.col("seq"))
+    index.reads = index.reads.withColumn("seq", seq)
+    return good.join(index.checks(True).select("check", (F.col("bad") > 0).alias("damaged")), "check")
+
+
+@query
+def index_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the info document tells of an index."""
+    d = _index(spark, folder, window_size=WINDOW).document()
+    row = (d["N_reads"], d["S_length"], d["N_windows"], d["chrom_count"], d["source_file_count"], d["window_size_T"], d["is_lossless"], d["mode"], d["strand_mode_name"])
+    return spark.createDataFrame([row], "n_reads bigint, s_length bigint, n_windows bigint, chrom_count bigint, n_files bigint, window_size bigint, is_lossless boolean, mode string, strand_mode string")
+
+
 # --- management
 
 

@@ -196,6 +196,13 @@ ORACLES = {
     **{name: f"WITH {SCOPE} SELECT record_id, flag, CASE WHEN cigar <> '*' THEN cigar ELSE '' END AS cigar, coalesce(aux, ''::BLOB) AS aux FROM rd" for name in ("meta_decode", "meta_decode_fixed")},
     "bundle_reads": "SELECT bundle_id, unnest(range(0, len(l))) AS read_idx, unnest(l) AS seq FROM (SELECT bundle_id, string_split(s, '#') AS l FROM seq_bundles)",
     "index_info": f"{_WINDOWS}, per AS (SELECT build_id, count(*) AS n_reads, CAST(sum(l_seq) + count(*) - 1 AS BIGINT) AS s_length, count(DISTINCT chrom_id) AS n_contigs_with_reads, count(DISTINCT source_file_id) AS n_files, min(l_seq) AS shortest, max(l_seq) AS longest FROM ordered_reads GROUP BY 1) SELECT per.*, n_windows FROM per JOIN (SELECT build_id, count(*) AS n_windows FROM wt GROUP BY 1) USING (build_id)",
+    "index_counts": _count(MOTIFS),
+    "index_locate": f"WITH {_located(['TTAGGG'])} SELECT {_ORD}, strand, chrom, p_min, p_max, read_id FROM loc",
+    "index_regions": f"WITH {_located(['ACGT'])}, reg(region, chrom, a, b) AS (VALUES {_regions}) SELECT region, count(p_min) AS n, count(p_min) >= 50 AS fifty FROM reg LEFT JOIN loc ON loc.chrom = reg.chrom AND p_min <= b AND p_max >= a GROUP BY region",
+    "index_reads": "SELECT record_id, read_id, build_id, s_start, chrom_id, l_seq FROM ordered_reads",
+    "index_verify": """SELECT unnest(['checksum_seq', 'checksum_qual', 'checksum_meta', 'checksum_map', 'checksum_order', 'checksum_windows', 'checksum_contigs', 'checksum_directory', 'n_reads', 'n_windows', 'n_contigs', 'ordering_digest',
+      'dense_ids', 'order', 'text_places', 'contigs', 'positions', 'lengths', 'windows_cover', 'windows_filled', 'windows_adjoin', 'windows_order', 'windows_begin']) AS "check", CAST(0 AS BIGINT) AS fresh, unnest(range(23)) = 0 AS damaged""",
+    "index_facts": f"{_WINDOWS} SELECT (SELECT count(*) FROM ordered_reads) AS n_reads, (SELECT CAST(sum(l_seq) + count(*) - count(DISTINCT build_id) AS BIGINT) FROM ordered_reads) AS s_length, (SELECT count(*) FROM wt) AS n_windows, (SELECT count(*) FROM contigs) AS chrom_count, (SELECT count(DISTINCT source_file_id) FROM ordered_reads) AS n_files, CAST({WINDOW} AS BIGINT) AS window_size, true AS is_lossless, 'BASE' AS mode, 'strand_complete' AS strand_mode",
     "bits_rank": "SELECT build_id, s_start + l_seq - 1 AS place, row_number() OVER (PARTITION BY build_id ORDER BY s_start) AS rank FROM ordered_reads",
     "bits_select": "WITH n AS (SELECT build_id, read_id + 1 AS k FROM ordered_reads), s AS (SELECT build_id, s_start AS place, row_number() OVER (PARTITION BY build_id ORDER BY s_start) AS k FROM ordered_reads) SELECT n.build_id, n.k, place FROM n JOIN s ON s.build_id = n.build_id AND s.k = n.k",
     "bits_access": "WITH e AS (SELECT build_id, max(s_start + l_seq) AS stop FROM ordered_reads GROUP BY 1), p AS (SELECT build_id, unnest([s_start, s_start + 1]) AS place FROM ordered_reads) SELECT p.build_id, place, EXISTS (SELECT 1 FROM ordered_reads o WHERE o.build_id = p.build_id AND o.s_start = place) AS bit FROM p JOIN e ON e.build_id = p.build_id WHERE place < stop",
