@@ -15,7 +15,8 @@ Passes, each linear in the bases:
    buckets follows the data, so tags stay as telling at any size; anchors that occur once, nearly all, go no further. A
    chunk sends a tag once, with its number: an anchor that is in every chunk adds no more than one entry a chunk to a bucket;
 3. chunks send repeated anchors with the PERIOD - 1 bases on either side; buckets extend: for each of the PERIOD shifts
-   they find windows seen in different records;
+   they find windows seen in different records. On large data several chunks share the rows that they send to buckets and
+   get back (a lot), so that rows stay long however many chunks and buckets there are;
 4. chunks mark the shared windows and report maximal runs, which are joined to the records by text.
 
 An anchor that is very frequent is not gathered in one bucket: its occurrences are keyed by the whole window (anchor,
@@ -42,9 +43,9 @@ COVER = (0, 1, 3, 9)
 SIDE = PERIOD - 1
 K = 28
 SPAN = K + SIDE
-#: Bases of a chunk and anchors of a bucket, least and most: see exchange_sizes().
-LEAST_SIZE, MOST_SIZE = 1 << 20, 1 << 23
-#: Anchors that a chunk should have for a bucket.
+#: Bases of a chunk and anchors of a bucket, least and most, and most chunks that travel together: see exchange_sizes().
+LEAST_SIZE, MOST_SIZE, MOST_CHUNKS = 1 << 20, 1 << 22, 64
+#: Anchors that a row between chunks and buckets should have.
 ROW_ANCHORS = 1000
 HOT = 50_000
 
@@ -55,11 +56,14 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _CHUNK = "chunk bigint, h1 binary, h2 binary, copies binary, split binary, rec binary, off binary, len binary, codes binary, bases bigint"
 
 
-def exchange_sizes(bases: int) -> int:
-    """Bases of a chunk and, as many, anchors of a bucket. Chunks times buckets rows are exchanged, each with about
-    size * size / bases anchors: sizes that grow with the root of the data keep a row at ROW_ANCHORS, and the rows in
-    proportion to the bases, up to 7e10 bases; beyond, a task's memory bounds the size and rows get shorter."""
-    return min(max(LEAST_SIZE, math.isqrt(ROW_ANCHORS * bases)), MOST_SIZE)
+def exchange_sizes(bases: int) -> tuple[int, int]:
+    """(size, chunks): bases of a chunk and, as many, anchors of a bucket; and how many chunks share the rows to buckets.
+
+    Rows between them have about size * size * chunks / bases anchors each. The sizes grow with the root of the data, and
+    beyond MOST_SIZE the number of chunks with the data, so that a row keeps ROW_ANCHORS and rows grow in proportion to the
+    bases, up to 1e12 bases; beyond, a task's memory bounds both, and at 1e14 a row has some ten anchors."""
+    size = min(max(LEAST_SIZE, math.isqrt(ROW_ANCHORS * bases)), MOST_SIZE)
+    return size, min(max(1, round(ROW_ANCHORS * bases / size**2)), MOST_CHUNKS)
 
 
 def _pieces(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -206,42 +210,68 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 # --- pass 2: which anchors occur twice
 
 
-def _send_tags(buckets: int):
+def _grouped(lots: dict[int, list[tuple]], kinds: list[tuple[str, type]]) -> Iterator[tuple]:
+    """(bucket, chunks, counts, one array per kind): what several chunks send to a bucket, laid end to end."""
+    for b, parts in lots.items():
+        counts = np.array([len(p[1]) for p in parts], np.int64)
+        yield b, np.array([p[0] for p in parts], np.int64).tobytes(), counts.tobytes(), *[np.concatenate([p[i + 1] for p in parts]).astype(k, copy=False).tobytes() for i, (_, k) in enumerate(kinds)]
+
+
+def _send_tags(buckets: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: dict[int, list[tuple]] = {}
+        held = None
+
+        def flush() -> pa.RecordBatch:
+            out = [(b, held, *rest) for b, *rest in _grouped(lots, [("tags", np.uint32), ("more", np.uint16)])]
+            lots.clear()
+            return _batch(out, ["bucket", "lot", "chunks", "counts", "tags", "more"], [pa.int32(), pa.int64(), *[pa.binary()] * 4])
+
         for batch in batches:
             for row in _rows(batch):
+                if held is not None and row["chunk"] // together != held:
+                    yield flush()
+                held = row["chunk"] // together
                 chunk = _Chunk(row)
                 bucket, tags = chunk.spread(buckets)
-                out = []
                 for b, group in _by_bucket(bucket):
                     own, n = np.unique(tags[group], return_counts=True)
-                    again = np.flatnonzero(n > 1)
-                    out.append((b, chunk.id, own.tobytes(), again.astype(np.uint32).tobytes(), (n[again] - 1).astype(np.uint32).tobytes()))
-                yield _batch(out, ["bucket", "chunk", "tags", "again", "more"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+                    lots.setdefault(b, []).append((chunk.id, own, np.minimum(n - 1, 65535)))
+        if lots:
+            yield flush()
 
     return run
 
 
 def _find_repeats(hot: int):
     def run(group: pa.Table) -> pa.Table:
-        """Per chunk, for each of its distinct tags: 0 once in all, 1 repeated, 2 very frequent."""
+        """Per row, for each of its chunks' distinct tags: 0 once in all, 1 repeated, 2 very frequent."""
         rows = group.to_pylist()
         tags = [np.frombuffer(r["tags"], np.uint32) for r in rows]
-        more = []
-        for r, t in zip(rows, tags):
-            m = np.zeros(len(t), np.int64)
-            m[np.frombuffer(r["again"], np.uint32)] = np.frombuffer(r["more"], np.uint32)
-            more.append(m)
+        more = [np.frombuffer(r["more"], np.uint16) for r in rows]
         _, inverse = np.unique(np.concatenate(tags), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(more) + 1)[inverse]
+        total = np.bincount(inverse, weights=np.concatenate(more).astype(np.int64) + 1)[inverse]
         state = ((total > 1).astype(np.uint8) + (total > hot)).astype(np.uint8)
         cuts = np.cumsum([len(t) for t in tags])[:-1]
-        states = [_pack(s) for s in np.split(state, cuts)]
-        return pa.table({"bucket": group["bucket"], "chunk": group["chunk"], "states": pa.array(states, pa.binary())})
+        states = [x.tobytes() for x in np.split(state, cuts)]
+        return pa.table({"bucket": group["bucket"], "lot": group["lot"], "hot": pa.nulls(len(rows), pa.bool_()), "chunks": group["chunks"], "counts": group["counts"], "data": pa.array(states, pa.binary())})
 
     return run
 
 
+class _Replies:
+    """What buckets answered to a lot of chunks: by chunk, bucket and kind (None: states, else masks of usual or very
+    frequent anchors)."""
+
+    def __init__(self, table: pa.Table):
+        self.by: dict[tuple, np.ndarray] = {}
+        for r in table.to_pylist():
+            data = np.frombuffer(r["data"], np.uint8 if r["hot"] is None else np.uint16)
+            ends = np.cumsum(np.frombuffer(r["counts"], np.int64))
+            for chunk, part in zip(np.frombuffer(r["chunks"], np.int64).tolist(), np.split(data, ends[:-1])):
+                self.by[chunk, r["bucket"], r["hot"]] = part
+
+
 # --- pass 3: extension to whole windows
 
 
@@ -254,13 +284,11 @@ def _window_keys(before: np.ndarray, after: np.ndarray, shift: int) -> np.ndarra
 class _Candidates:
     """The repeated anchors of a chunk: classes of equal anchor and surroundings, and windows of very frequent ones."""
 
-    def __init__(self, chunk: _Chunk, flags: list[dict], buckets: int):
+    def __init__(self, chunk: _Chunk, replies: _Replies, buckets: int):
         bucket, tags = chunk.spread(buckets)
-        states = {f["bucket"]: f["states"] for f in flags or []}
         state = np.zeros(len(tags), np.uint8)
         for b, group in _by_bucket(bucket):
-            own, inverse = np.unique(tags[group], return_inverse=True)
-            state[group] = _unpack(states[b], len(own))[inverse]
+            state[group] = replies.by[chunk.id, b, None][np.unique(tags[group], return_inverse=True)[1]]
         self.chunk, self.buckets = chunk, buckets
         self.usual, self.hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
 
@@ -304,20 +332,21 @@ class _Candidates:
 
 
 def _send_candidates(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                found = _Candidates(_Chunk(row), row["flags"], buckets)
-                out = []
-                for b, hot, g in found.lots():
-                    a, s, low, high = (found.hot_anchor, found.hot_key, found.hot_low, found.hot_high) if hot else (found.anchor, found.sides, found.low, found.high)
-                    wide = np.flatnonzero(low[g] != high[g])
-                    out.append((b, row["chunk"], hot, a[g].tobytes(), s[g].tobytes(), low[g].tobytes(), wide.astype(np.uint32).tobytes(), high[g][wide].tobytes()))
-                yield _batch(
-                    out,
-                    ["bucket", "chunk", "hot", "anchors", "sides", "low", "wide", "high"],
-                    [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5],
-                )
+    def run(chunks: pa.Table, flags: pa.Table) -> pa.Table:
+        replies, lots = _Replies(flags), {False: {}, True: {}}
+        for row in chunks.to_pylist():
+            found = _Candidates(_Chunk(row), replies, buckets)
+            for b, hot, g in found.lots():
+                columns = (found.hot_anchor, found.hot_key, found.hot_low, found.hot_high) if hot else (found.anchor, found.sides, found.low, found.high)
+                lots[hot].setdefault(b, []).append((row["chunk"], *[c[g] for c in columns]))
+        lot, out = chunks["lot"][0].as_py(), []
+        for hot in (False, True):
+            for b, held, counts, anchors, sides, low, high in _grouped(lots[hot], [("anchors", np.uint64), ("sides", np.uint64), ("low", np.int64), ("high", np.int64)]):
+                first, last = np.frombuffer(low, np.int64), np.frombuffer(high, np.int64)
+                wide = np.flatnonzero(first != last)
+                out.append((b, lot, hot, held, counts, anchors, sides, low, wide.astype(np.uint32).tobytes(), last[wide].tobytes()))
+        names = ["bucket", "lot", "hot", "chunks", "counts", "anchors", "sides", "low", "wide", "high"]
+        return pa.Table.from_batches([_batch(out, names, [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 7])])
 
     return run
 
@@ -337,7 +366,7 @@ def _shared_classes(keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -
 
 
 def _extend(group: pa.Table) -> pa.Table:
-    """Per chunk and lot: a 16-bit mask of the shared shifts for usual classes, 0 or 1 for windows of frequent ones."""
+    """Per row: a 16-bit mask of the shared shifts for usual classes, 0 or 1 for windows of frequent ones."""
     rows = group.to_pylist()
     masks: list[bytes] = [b""] * len(rows)
     for hot in (False, True):
@@ -368,45 +397,43 @@ def _extend(group: pa.Table) -> pa.Table:
                     mask[at] |= _shared_classes([key], low[at], high[at]).astype(np.uint16) << np.uint16(shift)
         for i, m in zip(own, np.split(mask, np.cumsum([len(p) for p in parts["anchors"]])[:-1])):
             masks[i] = m.tobytes()
-    return pa.table({"bucket": group["bucket"], "chunk": group["chunk"], "hot": group["hot"], "masks": pa.array(masks, pa.binary())})
+    return pa.table({**{c: group[c] for c in ("bucket", "lot", "hot", "chunks", "counts")}, "data": pa.array(masks, pa.binary())})
 
 
 # --- pass 4: maximal runs
 
 
 def _mark(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                chunk = _Chunk(row)
-                found = _Candidates(chunk, row["flags"], buckets)
-                masks = {(m["bucket"], m["hot"]): np.frombuffer(m["masks"], np.uint16) for m in row["masks"] or []}
-                usual, hot = np.zeros(len(found.anchor), np.uint16), np.zeros(len(found.hot_anchor), np.uint16)
-                for b, is_hot, g in found.lots():
-                    (hot if is_hot else usual)[g] = masks[b, is_hot]
-                n = len(chunk.codes)
-                step = np.zeros(n + 1, np.int64)
-                mine = usual[found.usual_class]
-                for shift in range(PERIOD):
-                    start = chunk.at[found.usual[(mine >> np.uint16(shift) & np.uint16(1)).astype(bool)]] - shift
-                    np.add.at(step, start, 1), np.add.at(step, start + SPAN, -1)
-                place, shift = found.hot_places[:, hot[found.hot_class].astype(bool)]
-                np.add.at(step, chunk.at[place] - shift, 1), np.add.at(step, chunk.at[place] - shift + SPAN, -1)
-                whole = chunk.copies[chunk.rec].astype(bool)
-                np.add.at(step, chunk.begin[whole], 1), np.add.at(step, chunk.begin[whole] + chunk.len[whole], -1)
-                covered = np.cumsum(step[:n]) > 0
-                first = np.zeros(n, bool)
-                first[chunk.begin] = True
-                last = np.zeros(n, bool)
-                last[chunk.begin + chunk.len - 1] = True
-                starts = np.flatnonzero(covered & (first | ~np.concatenate(([False], covered[:-1]))))
-                ends = np.flatnonzero(covered & (last | ~np.concatenate((covered[1:], [False])))) + 1
-                piece = np.searchsorted(chunk.begin, starts, "right") - 1
-                move, rec = chunk.off[piece] - chunk.begin[piece], chunk.rec[piece]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (chunk.h1[rec], chunk.h2[rec], chunk.split[rec].astype(bool), starts + move, ends + move)],
-                    names=["h1", "h2", "split", "span_start", "span_end"],
-                )
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        replies, out = _Replies(answers), []
+        for row in chunks.to_pylist():
+            chunk = _Chunk(row)
+            found = _Candidates(chunk, replies, buckets)
+            usual, hot = np.zeros(len(found.anchor), np.uint16), np.zeros(len(found.hot_anchor), np.uint16)
+            for b, is_hot, g in found.lots():
+                (hot if is_hot else usual)[g] = replies.by[chunk.id, b, is_hot]
+            n = len(chunk.codes)
+            step = np.zeros(n + 1, np.int64)
+            mine = usual[found.usual_class]
+            for shift in range(PERIOD):
+                start = chunk.at[found.usual[(mine >> np.uint16(shift) & np.uint16(1)).astype(bool)]] - shift
+                np.add.at(step, start, 1), np.add.at(step, start + SPAN, -1)
+            place, shift = found.hot_places[:, hot[found.hot_class].astype(bool)]
+            np.add.at(step, chunk.at[place] - shift, 1), np.add.at(step, chunk.at[place] - shift + SPAN, -1)
+            whole = chunk.copies[chunk.rec].astype(bool)
+            np.add.at(step, chunk.begin[whole], 1), np.add.at(step, chunk.begin[whole] + chunk.len[whole], -1)
+            covered = np.cumsum(step[:n]) > 0
+            first = np.zeros(n, bool)
+            first[chunk.begin] = True
+            last = np.zeros(n, bool)
+            last[chunk.begin + chunk.len - 1] = True
+            starts = np.flatnonzero(covered & (first | ~np.concatenate(([False], covered[:-1]))))
+            ends = np.flatnonzero(covered & (last | ~np.concatenate((covered[1:], [False])))) + 1
+            piece = np.searchsorted(chunk.begin, starts, "right") - 1
+            move, rec = chunk.off[piece] - chunk.begin[piece], chunk.rec[piece]
+            out.append((chunk.h1[rec], chunk.h2[rec], chunk.split[rec].astype(bool), starts + move, ends + move))
+        names = ["h1", "h2", "split", "span_start", "span_end"]
+        return pa.table({n: np.concatenate([x[i] for x in out]) for i, n in enumerate(names)})
 
     return run
 
@@ -429,22 +456,21 @@ def shared_spans(records: DataFrame, hot: int = HOT) -> DataFrame:
     spark = records.sparkSession
     keyed = records.where(F.length("seq") >= SPAN).select("rec_kind", "rec_id", "seq", *text_key(F.col("seq")))
     texts = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("seq").alias("seq"))
-    size = exchange_sizes(records.agg(F.sum(F.length("seq"))).first()[0] or 0)
+    size, together = exchange_sizes(records.agg(F.sum(F.length("seq"))).first()[0] or 0)
     chunks = materialize(texts.select("h1", "h2", "copies", "seq").mapInArrow(_make_chunks(size), _CHUNK), "chunks")
     bases = chunks.agg(F.sum("bases")).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, math.ceil(bases * len(COVER) / PERIOD / size))
-
-    tags = chunks.mapInArrow(_send_tags(buckets), "bucket int, chunk bigint, tags binary, again binary, more binary")
-    states = tags.groupBy("bucket").applyInArrow(_find_repeats(hot), "bucket int, chunk bigint, states binary")
-    # A chunk's flags and masks are a few bits per anchor of that chunk.
-    flags = materialize(states.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "states")).alias("flags")), "flags")
-    flagged = chunks.join(flags, "chunk", "left")
-    sent = flagged.mapInArrow(
-        _send_candidates(buckets), "bucket int, chunk bigint, hot boolean, anchors binary, sides binary, low binary, wide binary, high binary"
+    reply = "bucket int, lot bigint, hot boolean, chunks binary, counts binary, data binary"
+
+    tags = chunks.mapInArrow(_send_tags(buckets, together), "bucket int, lot bigint, chunks binary, counts binary, tags binary, more binary")
+    # A lot's replies are some bits per anchor of its chunks; a lot is what a task takes at a time.
+    states = materialize(tags.groupBy("bucket").applyInArrow(_find_repeats(hot), reply), "states")
+    lots = chunks.withColumn("lot", F.floor(F.col("chunk") / together).cast("bigint"))
+    sent = lots.groupBy("lot").cogroup(states.groupBy("lot")).applyInArrow(
+        _send_candidates(buckets), "bucket int, lot bigint, hot boolean, chunks binary, counts binary, anchors binary, sides binary, low binary, wide binary, high binary"
     )
-    masks = sent.groupBy("bucket").applyInArrow(_extend, "bucket int, chunk bigint, hot boolean, masks binary")
-    masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "hot", "masks")).alias("masks"))
-    spans = flagged.join(masks, "chunk", "left").mapInArrow(_mark(buckets), "h1 bigint, h2 bigint, split boolean, span_start bigint, span_end bigint")
+    masks = sent.groupBy("bucket").applyInArrow(_extend, reply)
+    spans = lots.groupBy("lot").cogroup(states.unionByName(masks).groupBy("lot")).applyInArrow(_mark(buckets), "h1 bigint, h2 bigint, split boolean, span_start bigint, span_end bigint")
     spans = materialize(spans, "spans")
     cut = spans.where("split").withColumn("last", F.col("span_end") - 1)
     merged = merge_intervals(cut, ["h1", "h2"], "span_start", "last").select("h1", "h2", F.col("period_start").alias("span_start"), (F.col("period_end") + 1).alias("span_end"))

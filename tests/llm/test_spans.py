@@ -58,13 +58,14 @@ def make(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("hot,chunk", [(50_000, 1 << 20), (3, 400), (0, 997)])
-def test_brute_force(spark, monkeypatch, hot, chunk):
-    """Also with every repeated anchor taken as very frequent, and with records cut into many pieces."""
+@pytest.mark.parametrize("hot,chunk,together", [(50_000, 1 << 20, 1), (3, 400, 1), (0, 997, 5), (3, 400, 64)])
+def test_brute_force(spark, monkeypatch, hot, chunk, together):
+    """Also with every repeated anchor taken as very frequent, with records cut into many pieces, and with many chunks that
+    share their rows."""
     rows = make(hot + 7)
     df = spark.createDataFrame([(*x, 1, "c") for x in rows], SCHEMA).repartition(3)
     # workers import the module afresh: the piece size must travel with the function
-    monkeypatch.setattr(spans, "exchange_sizes", lambda bases: chunk)
+    monkeypatch.setattr(spans, "exchange_sizes", lambda bases: (chunk, together))
     assert sorted(map(tuple, spans.shared_spans(df, hot).collect())) == brute(rows)
 
 
@@ -78,9 +79,9 @@ def test_edges(spark):
 
 
 def test_sizes():
-    """Anchors of a row stay the same from a billion bases on, as the number of rows to the bases does."""
-    assert spans.exchange_sizes(0) == spans.exchange_sizes(10**8) == spans.LEAST_SIZE
-    for bases in (2 * 10**9, 2 * 10**10, 6 * 10**10):
-        n = spans.exchange_sizes(bases)
-        rows = (bases / n) * (bases * 4 / 13 / n)
-        assert abs(rows / bases - 4 / 13 / spans.ROW_ANCHORS) < 1e-6
+    """Anchors of a row stay the same from a billion bases to a trillion, as the number of rows to the bases does."""
+    assert spans.exchange_sizes(0) == spans.exchange_sizes(10**8) == (spans.LEAST_SIZE, 1)
+    for bases in (2 * 10**9, 2 * 10**10, 2 * 10**11, 10**12):
+        size, together = spans.exchange_sizes(bases)
+        rows = (bases / size / together) * (bases * 4 / 13 / size)
+        assert 0.7 < bases * 4 / 13 / rows / spans.ROW_ANCHORS < 1.5
