@@ -49,17 +49,27 @@ class _Tests:
         self.begin = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1)) if stop.any() else np.zeros(0, np.int64)
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks from 0 of the tuples of keys, most significant first; equal tuples share one."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of the pairs (high, low), whole numbers from 0; equal pairs share one."""
+    key = high * (int(low.max()) + 1) + low if len(low) else high
+    order = np.argsort(key)
+    ordered = key[order]
     out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
+    out[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1]))) if len(order) else order
     return out
 
 
+def _window_ranks(ids: np.ndarray, width: int) -> np.ndarray:
+    """Ranks of all windows of `width` words, in the words' order, by doubling; words beyond the end are smallest."""
+    n, rank, done = len(ids), ids, 1
+    while done < width:
+        step = min(done, width - done)
+        later = np.zeros(n, np.int64)
+        later[: n - step] = rank[step:] + 1
+        rank, done = _ranks(rank, later), done + step
+    return rank
+
+
 class _Suffixes:
     """Suffixes of a word sequence, ranked by their first least, 2 least, 4 least, ... words.
 
@@ -70,15 +80,7 @@ class _Suffixes:
 
     def __init__(self, ids: np.ndarray, least: int):
         n = len(ids)
-        padded = np.concatenate((ids, np.zeros(least, np.int64)))
-        bits = max(1, int(ids.max()).bit_length())
-        per, keys = 63 // bits, []
-        for a in range(0, least, per):
-            key = np.zeros(n, np.int64)
-            for j in range(a, min(a + per, least)):
-                key = key << bits | padded[j : j + n]
-            keys.append(key)
-        rank = _dense(*keys)
+        rank = _window_ranks(ids, least)
         again = np.bincount(rank)[rank] > 1
         self.ids, self.least, self.at = ids, least, np.flatnonzero(again)
         self.levels, width = [rank[self.at]], least
@@ -89,7 +91,10 @@ class _Suffixes:
             last = self.levels[-1]
             spot = np.minimum(self.at + width, n)
             behind = self.where[spot]
-            fresh = _dense(last, rank[spot], np.where(behind >= 0, last[np.maximum(behind, 0)], 0))
+            # last ranks refine the first, so of what comes behind a held suffix they tell all; the others are known apart
+            # by their first words
+            tail = _ranks(rank[spot] + 1, np.where(behind >= 0, last[np.maximum(behind, 0)], 0))
+            fresh = _ranks(last, tail)
             self.levels.append(fresh)
             if fresh.max() == len(self.at) - 1:
                 break
