@@ -67,8 +67,9 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str, epsilon: float = EPSILON) -> DataFrame:
     """Percentiles below their limits. The digest's bounds decide; only where a limit lies between the two bounds are the
-    values of that contig and metric counted exactly."""
-    whole = qdigest.merge(_digests(spark, folder, SLICE, epsilon=epsilon), ["metric", "chrom_id"], BITS, epsilon)
+    values of that contig and metric counted exactly. Digests of tasks are put together as those of p2_slices are, but by
+    contig from the start."""
+    whole = _digests(spark, folder, ["metric", "chrom_id"], epsilon=epsilon)
     bounds = qdigest.percentiles(whole, ["metric", "chrom_id"], BITS, list(LIMITS))
     limit = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])[F.col("pct").cast("int")]
     bounds = materialize(bounds.withColumn("limit", limit.cast("bigint")), "bounds")
