@@ -235,7 +235,7 @@ def walked_positions(blocks: DataFrame, known: DataFrame, step: int = 64) -> Dat
         # where a way ends on a row that has arrived meanwhile, its known place ends it
         onward = ends.select("text_id", F.col("row").alias("to"), F.col("to").alias("__to"), F.col("n").alias("__n"))
         ways = rest.join(onward, ["text_id", "to"]).select("text_id", "row", F.col("__to").alias("to"), (F.col("n") + F.col("__n")).alias("n"))
-        here = materialize(here.unionByName(ends.where("__at is not null").select("text_id", F.col("row").alias("to"), (F.col("__at") + F.col("n")).alias("__at"))), "here")
+        here = here.unionByName(ends.where("__at is not null").select("text_id", F.col("row").alias("to"), (F.col("__at") + F.col("n")).alias("__at")))
     return arrived.join(lf.select("text_id", "row", "symbol"), ["text_id", "row"])
 
 

@@ -103,12 +103,20 @@ def hits(reads: DataFrame, patterns: list[str], strand: Strand = Strand.COMPLETE
 def count_matches(reads: DataFrame, patterns: list[str], strand: Strand = Strand.COMPLETE, overlap: Overlap = Overlap.ALL, seq: str = "seq") -> DataFrame:
     """pattern, n: a row for every pattern, 0 included.
 
-    All occurrences are counted by one expression per word and one partial aggregation, without positions. Without
+    All occurrences of up to MANY_WORDS words are counted by one expression per word and one partial aggregation, without
+    positions; those of more by the hash join of hits(). Without
     overlaps, the occurrences of both strands are taken from left to right within a read, each if it starts at or after
     the end of the last one taken.
     """
     words = _words(patterns, strand)
     names = list(dict.fromkeys(p for p, _, _ in words))
+    if len(words) > MANY_WORDS:
+        if overlap is Overlap.ALL:  # one hash join, whatever their number
+            found = hits(reads.select(seq), names, strand, seq).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+            asked = reads.sparkSession.createDataFrame([(n,) for n in names], "pattern string")
+            return asked.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+        parts = [count_matches(reads, names[i : i + MANY_WORDS // 2], strand, overlap, seq) for i in range(0, len(names), MANY_WORDS // 2)]
+        return reduce(DataFrame.unionByName, parts)
     s = F.col(seq)
     if overlap is Overlap.ALL:
         each = [F.sum(reduce(lambda a, b: a + b, [F.when(s.contains(w), F.regexp_count(s, F.lit(f"(?={w})"))).otherwise(0) for p, w, _ in words if p == name])) for name in names]

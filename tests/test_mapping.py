@@ -179,3 +179,17 @@ def test_long_cigar(spark):
             ref += o != "I"
     want = [(1, o, min(spots[o][0], spots[o + 3][1]), max(spots[o][0], spots[o + 3][1])) for o in offsets(seq, "ACGT")]
     assert got == want + [(2, 0, 7, 7), (2, 4, 7, 7), (3, 0, 7, 7), (3, 4, 7, 7)]
+
+
+def test_many_patterns(spark):
+    """Counts of more patterns than one expression each: the hash join gives the same, patterns without matches too."""
+    r = random.Random(11)
+    seqs = ["".join(r.choices("ACGTN", k=r.randint(0, 60))) for _ in range(80)] + [None]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    patterns = ["".join(r.choices("ACGT", k=r.choice([3, 4, 9]))) for _ in range(90)]
+    want = {}
+    for p in patterns:
+        want[p] = sum(len(offsets(s, w)) for s in seqs if s for w, _ in orientations(p))
+    assert {x["pattern"]: x["n"] for x in matching.count_matches(df, patterns).collect()} == want
+    few, many = (sorted(map(tuple, matching.count_matches(df, ps, overlap=Overlap.NONE).collect())) for ps in (patterns[:20], patterns))
+    assert set(few) <= set(many) and len(many) == len(set(patterns))
