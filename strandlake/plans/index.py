@@ -69,7 +69,7 @@ class ReadIndex:
         self.windows = spark.read.parquet(f"{self.path}/windows")
         self.contigs = spark.read.parquet(f"{self.path}/contigs")
         self.directory = spark.read.parquet(f"{self.path}/directory")
-        self.enhanced = self.info["mode"] == "ENHANCED"
+        self.enhanced = self.info["config"]["enhanced"]
         self.overlap = Overlap(self.info["config"]["overlap"])
         self.word_size = self.info["config"].get("word_size", 0)
         self.postings = spark.read.parquet(f"{self.path}/postings") if self.word_size else None
@@ -133,7 +133,7 @@ class ReadIndex:
             "s_length": facts["n_bases"] + facts["n_reads"] - facts["n_builds"],
             "n_windows": spark.read.parquet(f"{path}/windows").count(),
             "n_contigs": spark.read.parquet(f"{path}/contigs").count(),
-            "mode": "ENHANCED" if config.enhanced else "BASE",
+            "mode": "ENHANCED" if config.enhanced or config.word_size else "BASE",
             "is_lossless": config.lossless,
             "manifest": manifest,
             "ordering_digest": digests.ordering_tree(reads),
