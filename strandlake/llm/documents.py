@@ -92,9 +92,13 @@ def p9_held_out(spark: SparkSession, folder: str) -> DataFrame:
     estimates count half). The limits leave room for small inputs: 41 graded posts at scale 0.01, 503 at 0.1."""
     level, guess = reading.held_out(*_graded(spark, folder), LEAST_WORDS)
     right = float(np.mean((guess >= HARD) == (level >= HARD))) if len(level) else 1.0
-    a, b = np.nonzero(level[:, None] > level[None, :])
-    order = float(np.mean((guess[a] > guess[b]) + 0.5 * (guess[a] == guess[b]))) if len(a) else 1.0
-    return spark.createDataFrame([(right >= 0.95, order >= 0.85)], "accurate boolean, ordered boolean")
+    groups, good, pairs = [np.sort(guess[level == v]) for v in np.unique(level)], 0.0, 0
+    for i, upper in enumerate(groups):
+        for lower in groups[:i]:  # the pairs are counted, not listed
+            good += (np.searchsorted(lower, upper, "left").sum() + np.searchsorted(lower, upper, "right").sum()) / 2
+            pairs += len(upper) * len(lower)
+    order = good / pairs if pairs else 1.0
+    return spark.createDataFrame([(bool(right >= 0.95), bool(order >= 0.85))], "accurate boolean, ordered boolean")
 
 
 def p9_agreement(spark: SparkSession, folder: str) -> DataFrame:
