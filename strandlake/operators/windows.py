@@ -39,10 +39,11 @@ def _exits(size: int, width: int):
         """For each possible entry of a block: the start of the chain's last window in it."""
         starts = np.sort(pdf["s_start"].to_numpy())
         following = np.searchsorted(starts, starts + size)
-        last = starts.copy()
-        for i in range(len(starts) - 1, -1, -1):
-            if following[i] < len(starts):
-                last[i] = last[following[i]]
+        # every read's way to its chain's last window in the block, its steps doubled until none moves on
+        way = np.where(following < len(starts), following, np.arange(len(starts)))
+        while not np.array_equal(further := way[way], way):
+            way = further
+        last = starts[way]
         base = int(pdf["block"].iloc[0]) * width
         keep = np.arange(len(starts)) <= np.searchsorted(starts, base + size)
         names = {k: pdf[k].iloc[0] for k in ("build_id", "chrom_id", "block")}
