@@ -175,16 +175,15 @@ def _search_shard(doc_ids: list[int], texts: list[str], tests: _Tests, least: in
     return [which, doc, s.at[best] - tests.begin[which], at - begin, count]
 
 
-_indexed: dict[int, _Tests] = {}
+_indexed: list[tuple[list, _Tests]] = []
 
 
 def _search(items: Broadcast, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(items.value)  # a worker that is used again has the items' words already
-        if key not in _indexed:
-            _indexed.clear()
-            _indexed[key] = _Tests(items.value)
-        tests = _indexed[key]
+        # a worker that is used again has the items' words already; the list is held, so no other can be taken for it
+        if not _indexed or _indexed[0][0] is not items.value:
+            _indexed[:] = [(items.value, _Tests(items.value))]
+        tests = _indexed[0][1]
         docs: list[int] = []
         texts: list[str] = []
         chars = 0
