@@ -84,6 +84,7 @@ def _mixed(x: np.ndarray, size: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(b",;:()-", np.uint8))
 _POWERS = np.cumprod(np.concatenate(([1], np.full(63, 1099511628211, np.uint64))).astype(np.uint64))
 
 
@@ -120,8 +121,8 @@ class Words:
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         self.begin, self.end = edge[::2], edge[1::2]
         self.raw, self.letter = raw, letter
-        self.ends = np.cumsum(sizes)
-        self.text = np.searchsorted(self.ends, self.begin, "right")
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.text = self.of[self.begin].astype(np.int64)
         spelled = np.concatenate(([0], np.cumsum(letter & ((raw & 0xC0) != 0x80))))
         self.letters = spelled[self.end] - spelled[self.begin]
         size = self.end - self.begin
@@ -133,8 +134,7 @@ class Words:
         self.word = _mixed(summed[upto] - summed[upto - size], WORDS) if len(size) else size
         stop = np.cumsum((raw == _STOP) | (raw == 0))
         self.sentence = stop[self.begin] if len(size) else size
-        self.comma = np.isin(raw, np.frombuffer(b",;:()-", np.uint8))
-        marks = np.concatenate(([0], np.cumsum(self.comma)))
+        marks = np.concatenate(([0], np.cumsum(_IS_MARK[raw])))
         before = np.concatenate(([0], self.end[:-1])) if len(size) else size
         self.marked = marks[self.begin] > marks[before]
         self.n = np.bincount(self.text, minlength=len(texts))
@@ -144,7 +144,7 @@ class Words:
         r = self.raw.astype(np.uint64)
         at = np.flatnonzero(self.letter[:-2] & self.letter[1:-1] & self.letter[2:]) if len(r) > 2 else np.zeros(0, np.int64)
         code = r[at] << np.uint64(16) | r[at + 1] << np.uint64(8) | r[at + 2]
-        return np.searchsorted(self.ends, at, "right"), _mixed(code, TRIPLES)
+        return self.of[at], _mixed(code, TRIPLES)
 
     def patterns(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, place in the table) of every two words of a sentence that follow each other: common ones as they are,
@@ -226,7 +226,7 @@ def plain_features(words: Words, texts: list[str], corpus: Corpus) -> np.ndarray
     per = np.maximum(np.bincount(owner, minlength=n), 1)
     mean = np.bincount(owner, weights=length, minlength=n) / per
     spread = np.sqrt(np.maximum(np.bincount(owner, weights=length**2, minlength=n) / per - mean**2, 0))
-    commas = np.bincount(np.searchsorted(words.ends, np.flatnonzero(words.comma & (words.raw == ord(","))), "right"), minlength=n)[:n]
+    commas = np.bincount(words.of[np.flatnonzero(words.raw == ord(","))], minlength=n)
     rarity = corpus.rarity[words.word]
     where, triple = words.triples()
     different = np.bincount(np.unique(t * WORDS + words.word) // WORDS, minlength=n)
