@@ -1,11 +1,7 @@
 """Suffix arrays and what follows from them, for many texts at once.
 
 texts: text_id, s over A, C, G, T, N and the separator '#'. Every text gets an end mark that is smaller than all; the order
-of symbols is $ < A < C < G < T < N < #. Suffixes are ranked by prefix doubling: first by their next FIRST symbols, then by
-pairs of ranks. A round takes only the suffixes that still share a rank: one range sort over all texts and one join on the
-text position. No suffix is ever written out, suffixes of one text lie in many tasks (the text itself, a string of a row, is
-cut up by one), and there are log2(longest repeat / FIRST) rounds.
-
+of XX
 What an index of the transform does is built on blocks of BWT symbols with counts before them: rank at any place, the
 mapping from a row to the one of the suffix a position further left (LF), backward search, and positions of rows by walks
 along LF to sampled rows, of which all are walked at once by doubling.
@@ -31,9 +27,13 @@ SYMBOLS = "$ACGTN#"
 PER_KEY = 21
 FIRST = 3 * PER_KEY
 SLICE = 1 << 18
+#: The longest text that is ranked and checked as a whole in one task.
+WHOLE = 1 << 20
 
 _CODE = np.full(256, 5, np.uint8)
 _CODE[[ord(c) for c in SYMBOLS]] = range(len(SYMBOLS))
+_SYMBOL = np.full(128, -1, np.int64)
+_SYMBOL[[ord(c) for c in SYMBOLS]] = range(len(SYMBOLS))
 
 
 def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +55,61 @@ def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.repeat(text_id, n), *map(pa.array, columns)], names=names)
 
 
+def _starts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows, the place of the first row with equal keys, and whether another row has them."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    again = ~new
+    again[:-1] |= ~new[1:]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)), again
+
+
+def _whole(ids: list[pa.Scalar], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of the texts' suffix arrays, by prefix doubling over all of them at once."""
+    sizes = np.array([len(x) + 1 for x in texts])
+    ends = np.cumsum(sizes)
+    n, text = int(ends[-1]), np.repeat(np.arange(len(texts)), sizes)
+    symbols = np.concatenate([part for x in texts for part in (x, np.zeros(1, np.uint8))])
+    place, left = np.arange(n) - (ends - sizes)[text], ends[text] - np.arange(n)
+    padded, key = np.concatenate((symbols, np.zeros(PER_KEY, np.uint8))).astype(np.int64), np.zeros(n, np.int64)
+    for j in range(PER_KEY):
+        key = key << 3 | np.where(j < left, padded[j : j + n], 0)
+    order = np.lexsort((key, text))
+    first, again = _starts(text[order], key[order])
+    rank, width = np.empty(n, np.int64), PER_KEY
+    rank[order] = first
+    open_ = order[again]
+    while len(open_):
+        # a suffix that has ended comes before the longer ones
+        after = np.where(width < left[open_], rank[np.minimum(open_ + width, n - 1)], -1 - place[open_])
+        by = np.lexsort((after, rank[open_]))
+        open_, now, after = open_[by], rank[open_[by]], after[by]
+        first, again = _starts(now, after)
+        rank[open_] = now + first - _starts(now)[0]
+        open_, width = open_[again], width * 2
+    at = np.empty(n, np.int64)
+    at[rank] = np.arange(n)
+    last = np.where(place[at] == 0, 0, symbols[at - 1])
+    names = ["text_id", "row", "s_pos", "code", "bwt"]
+    columns = [pa.array(ids, ids[0].type).take(pa.array(text)), *map(pa.array, (place, place[at], symbols[at].astype(np.int32), last.astype(np.int32)))]
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    yield from (whole.slice(a, SLICE) for a in range(0, n, SLICE))
+
+
+def _whole_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffix arrays of texts that fit a task, in bunches of SLICE symbols or one longer text."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        for text_id, s in zip(batch.column(0), batch.column(1)):
+            codes = _CODE[np.frombuffer(s.as_py().encode("ascii", "replace"), np.uint8)]
+            if ids and n + len(codes) > SLICE:
+                yield from _whole(ids, texts)
+                ids, texts, n = [], [], 0
+            ids.append(text_id), texts.append(codes)
+            n += len(codes) + 1
+    if ids:
+        yield from _whole(ids, texts)
+
 
 def _runs(keys: list[int]):
     """Adds to sorted rows the partition, the place of the first row with equal keys, and whether another row has them."""
@@ -104,15 +159,29 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("__rank", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
-def suffix_array(texts: DataFrame) -> DataFrame:
+def suffix_array(texts: DataFrame, whole: int = WHOLE) -> DataFrame:
     """text_id, row, s_pos, code, bwt: row is the place of the suffix at s_pos among its text's suffixes, code its first
     symbol, bwt the symbol before it ('$' for the whole text's suffix).
 
     Letters other than A, C, G, T count as N. The end mark has the position length(s). Texts that are null have no rows, an empty one its end mark only; text_id
-    must be unique; an empty table gives none; other columns are dropped.
+    must be unique; an empty table gives none; other columns are dropped. Texts of at most `whole` symbols are dealt to tasks
+    as they are, the suffixes of longer ones one by one.
     """
     kind = texts.schema["text_id"].dataType.simpleString()
-    rows = texts.where("s is not null").select("text_id", "s").mapInArrow(_first_keys, f"text_id {kind}, s_pos bigint, k1 bigint, k2 bigint, k3 bigint, code int, bwt int")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.where("s is not null and text_id is not null").select("text_id", "s")
+    short, long = rows.where(F.length("s") <= whole), rows.where(F.length("s") > whole)
+    made = short.repartition(n, "text_id").mapInArrow(_whole_arrays, f"text_id {kind}, row bigint, s_pos bigint, code int, bwt int")
+    if not long.isEmpty():
+        made = made.unionByName(_long_arrays(long))
+    symbol = lambda c: F.substring(F.lit(SYMBOLS), F.col(c) + 1, F.lit(1)).alias(c)
+    return made.select("text_id", "row", "s_pos", symbol("code"), symbol("bwt"))
+
+
+def _long_arrays(texts: DataFrame) -> DataFrame:
+    """The same with symbols as numbers, for texts (text_id, s) of any length."""
+    kind = texts.schema["text_id"].dataType.simpleString()
+    rows = texts.mapInArrow(_first_keys, f"text_id {kind}, s_pos bigint, k1 bigint, k2 bigint, k3 bigint, code int, bwt int")
     state = _ranked(rows, ["text_id", "k1", "k2", "k3"]).drop("k1", "k2", "k3")
     done, open_, width = state.where("not __again"), state.where("__again"), FIRST
     while not open_.isEmpty():
@@ -127,8 +196,7 @@ def suffix_array(texts: DataFrame) -> DataFrame:
         state = materialize(moved.select(*state.columns), "ranks")
         done, open_, width = done.unionByName(state.where("not __again")), state.where("__again"), width * 2
     first = done.groupBy("text_id").agg(F.min("__rank").alias("__first"))
-    symbol = lambda c: F.substring(F.lit(SYMBOLS), F.col(c) + 1, F.lit(1)).alias(c)
-    return done.join(first, "text_id").select("text_id", (F.col("__rank") - F.col("__first")).alias("row"), "s_pos", symbol("code"), symbol("bwt"))
+    return done.join(first, "text_id").select("text_id", (F.col("__rank") - F.col("__first")).alias("row"), "s_pos", "code", "bwt")
 
 
 def c_array(texts: DataFrame) -> DataFrame:
@@ -291,11 +359,95 @@ def text_from_bwt(blocks: DataFrame, known: DataFrame, step: int = 64) -> DataFr
     return reads.select("text_id", "read_idx").join(put, ["text_id", "read_idx"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
 
-def invariants(texts: DataFrame, sa: DataFrame, pattern: str, step: int = 16) -> DataFrame:
-    """check, bad of a suffix array with its transform (text_id, row, s_pos, code, bwt): sa_permutation, rows or positions
-    that are missing or stand twice; bwt_symbols, rows whose symbol isn't the text's; lf, rows that don't lead one position
-    to the left; search, texts where backward search finds another number of places than the text holds; locate, rows whose
-    walk to a sample gives another position than the array."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one text as one row of lists: a text's rows lie together, so few rows are shuffled."""
+    for batch in batches:
+        if batch.num_rows:
+            ids = batch.column(0)
+            new = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [batch.num_rows])).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cuts[:-1])), *lists], names=batch.schema.names)
+
+
+CHECKS = ("sa_permutation", "bwt_symbols", "lf", "search", "locate")
+
+
+def _bad(s: str, want: int, row: np.ndarray, place: np.ndarray, bwt: np.ndarray, pattern: str, step: int) -> list[int] | None:
+    """The figures of CHECKS for one text, given its array in any order, bwt as ASCII; None where rows aren't 0 to len(s),
+    each once, or a position or symbol can't be."""
+    size = len(s) + 1
+    code = _SYMBOL[bwt]
+    if len(row) != size or row.min() < 0 or row.max() >= size or place.min() < 0 or place.max() >= size or code.min() < 0 or np.bincount(row, minlength=size).max() > 1:
+        return None
+    at, symbol, code = (x[np.argsort(row)] for x in (place, bwt, code))
+    told = np.concatenate(([ord("$")], np.frombuffer(s.encode("ascii", "replace"), np.uint8)))[at] != symbol
+    lf = np.empty(size, np.int64)
+    lf[np.argsort(code, kind="stable")] = np.arange(size)
+    starts = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(SYMBOLS)))))
+    lo, hi = 0, size
+    for x in reversed(pattern):
+        if x not in SYMBOLS:
+            lo = hi = 0
+            break
+        c = SYMBOLS.index(x)
+        lo, hi = (int(starts[c] + np.count_nonzero(code[:bound] == c)) for bound in (lo, hi))
+    # walks, all at once by doubling; a known row leads to itself
+    found = np.full(size, -1)
+    found[::step] = at[::step]
+    found[code == 0] = 0
+    to, n = np.where(found < 0, lf, np.arange(size)), (found < 0).astype(np.int64)
+    for _ in range(size.bit_length()):
+        if (found[to] >= 0).all():
+            break
+        to, n = to[to], n + n[to]
+    walked = np.where(found[to] < 0, -1, found[to] + n)
+    twice = np.bincount(at, minlength=size).max() > 1
+    return [int(x) for x in (twice, told.sum(), (at[lf] != (at - 1) % size).sum(), max(hi - lo, 0) != want, (walked != at).sum())]
+
+
+def _checked(pattern: str, step: int):
+    def check(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        row, place, bwt = (pc.list_flatten(rows.column(c)).combine_chunks() for c in ("row", "s_pos", "bwt"))
+        bad = None
+        if texts.num_rows == 1 and not (row.null_count or place.null_count or bwt.null_count):
+            bad = _bad(texts.column("s")[0].as_py(), texts.column("want")[0].as_py(), *(x.to_numpy(zero_copy_only=False) for x in (row, place, bwt)), pattern, step)
+        return pa.table([texts.column("text_id").slice(0, 1), *(pa.array([x], pa.int64()) for x in bad or [None] * len(CHECKS))], names=["text_id", *CHECKS])
+
+    return check
+
+
+def invariants(texts: DataFrame, sa: DataFrame, pattern: str, step: int = 16, whole: int = WHOLE) -> DataFrame:
+    """check, bad of a suffix array with its transform (text_id, row, s_pos, code, bwt): sa_permutation, texts with rows or
+    positions that are missing or stand twice; bwt_symbols, rows whose symbol isn't the text's; lf, rows that don't lead one
+    position to the left; search, texts where backward search finds another number of places than the text holds; locate,
+    rows whose walk to a sample gives another position than the array.
+
+    A text of at most `whole` symbols that has as many rows as it should is checked inside a task. Longer ones, and those
+    where rows are missing, stand twice or hold what can't be, are checked by joins.
+    """
+    kind = texts.schema["text_id"].dataType.simpleString()
+    sizes = texts.where("s is not null").select("text_id", (F.length("s") + 1).cast("bigint").alias("size"))
+    both = materialize(sizes.join(sa.groupBy("text_id").agg(F.count(F.lit(1)).alias("n")), "text_id", "full_outer"), "sizes")
+    fit = both.where((F.col("n") == F.col("size")) & (F.col("size") <= whole + 1)).select("text_id").distinct()
+    # what isn't a row or position of such a text, or no symbol, becomes null
+    cell = lambda c: F.when(F.col(c).between(0, whole), F.col(c)).cast("int").alias(c)
+    letter = F.when((F.length("bwt") == 1) & F.ascii("bwt").between(1, 127), F.ascii("bwt")).cast("tinyint").alias("bwt")
+    packed = sa.select("text_id", cell("row"), cell("s_pos"), letter).mapInArrow(_packed, f"text_id {kind}, row array<int>, s_pos array<int>, bwt array<tinyint>")
+    held = texts.where("s is not null").select("text_id", "s", F.regexp_count("s", F.lit(f"(?={pattern})")).cast("bigint").alias("want"))
+    pairs = held.join(fit, "text_id", "left_semi").groupBy("text_id").cogroup(packed.join(fit, "text_id", "left_semi").groupBy("text_id"))
+    done = materialize(pairs.applyInArrow(_checked(pattern, step), ", ".join([f"text_id {kind}", *[f"{c} bigint" for c in CHECKS]])), "checked").where(F.col(CHECKS[0]).isNotNull())
+    sums = done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CHECKS])
+    out = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("bad")) for c in CHECKS])))
+    ids = done.select("text_id")
+    if both.join(ids, "text_id", "left_anti").isEmpty():
+        return out
+    rest = _joined_invariants(texts.join(ids, "text_id", "left_anti"), materialize(sa.join(ids, "text_id", "left_anti"), "suffixes"), pattern, step)
+    return out.join(rest.withColumnRenamed("bad", "__more"), "check").select("check", (F.col("bad") + F.col("__more")).alias("bad"))
+
+
+def _joined_invariants(texts: DataFrame, sa: DataFrame, pattern: str, step: int) -> DataFrame:
+    """The same for texts of any length and arrays with any damage."""
     zero = F.lit(0).cast("bigint")
     size = texts.where("s is not null").select("text_id", (F.length("s") + 1).cast("bigint").alias("size"))
     per = sa.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("rows"), F.count_distinct("s_pos").alias("places"), F.max("row").alias("top"), F.max("s_pos").alias("far"))
