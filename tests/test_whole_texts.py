@@ -26,6 +26,11 @@ def test_fresh_texts_take_few_jobs(spark, data):
     assert sorted(map(tuple, rows)) == sorted((c, 0) for c in fm.CHECKS) and n <= 30
 
 
+def test_damaged_symbols_take_few_jobs(spark, data):
+    rows, n = jobs(spark, "verify_text_index_damaged", data)
+    assert sorted(map(tuple, rows)) == sorted((c, c != "sa_permutation") for c in fm.CHECKS) and n <= 30
+
+
 @pytest.mark.parametrize("whole", [NONE, 70, ALL])
 def test_arrays(spark, whole):
     r = random.Random(7)
